@@ -131,5 +131,6 @@ def exact_quantiles(
                 continue
             h = p * (counts[c] - 1)
             lo, hi = targets[c, math.floor(h)].value, targets[c, math.ceil(h)].value
-            out[c].append(lo + (h - math.floor(h)) * (hi - lo))
+            part = h - math.floor(h)
+            out[c].append((lo + hi) / 2 if part == 0.5 else lo + part * (hi - lo))
     return out

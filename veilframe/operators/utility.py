@@ -66,7 +66,8 @@ def similarity(original: DataFrame, synthetic: DataFrame, cols: Sequence[str] |
 
 
 def _correlations(df: DataFrame, cols: Sequence[str], side: str) -> DataFrame:
-    """(a, b, corr_<side>) for every ordered pair; null where a column is constant."""
+    """(a, b, corr_<side>) for every ordered pair over the complete rows; null for a constant column."""
+    df = df.dropna(subset=list(cols))
     x = [F.col(c).cast("double") for c in cols]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     aggs = [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]

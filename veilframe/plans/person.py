@@ -53,6 +53,16 @@ SELECT * FROM person UNION ALL SELECT * FROM person WHERE last LIKE '%7'
 """
 
 
+# Numeric gaps, a column of one value, an empty text column and a mostly empty date.
+GAPPED_PERSON_SQL = """
+SELECT id, CASE WHEN id LIKE '%0' THEN birthdate END AS birthdate, marital, zip, city, gender,
+       CASE WHEN id LIKE '%7' THEN NULL ELSE healthcare_expenses END AS healthcare_expenses,
+       CASE WHEN id LIKE '%4' THEN NULL ELSE healthcare_coverage END AS healthcare_coverage,
+       CAST(NULL AS STRING) AS passport, CAST(NULL AS DOUBLE) AS lat, 7.5e0 AS lon
+FROM person
+"""
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Temp views for the tables the person view reads, and the view itself."""
     for table in ("customer", "nation", "region", "orders"):
