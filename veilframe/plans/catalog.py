@@ -144,7 +144,7 @@ def stream_ingest_mapped(spark: SparkSession, sf: str) -> DataFrame:
         spark, path, out, scratch_path(spark, "offsets"), schema=people.schema, mode="random", mapping_path=mapping
     )
     query.awaitTermination()
-    return dated(spark.read.schema(people.schema).parquet(out).drop("id"))
+    return dated(spark.read.schema(people.schema).parquet(out).drop("id", "batch"))
 
 
 # --- profiling -----------------------------------------------------------------------------------
@@ -271,7 +271,8 @@ def assemble_synthetic(spark: SparkSession, sf: str) -> DataFrame:
 
 def synthetic_identities(spark: SparkSession, sf: str) -> DataFrame:
     people = wide(spark, sf).select("id", "gender", "drivers", "lat")
-    return synthesis.synthetic_identities(people, "id")
+    named = synthesis.synthetic_identities(people, "id")
+    return named.toDF(*[c.lower() for c in named.columns])
 
 
 def conform(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,8 +313,8 @@ QUERIES: dict[str, Query] = {
     "column_catalogue": column_catalogue,
     "column_catalogue_token": column_catalogue_token,
     "dataset_stats": dataset_stats,
-    "describe": lambda s, sf: rounded(profile.describe_numeric(person(s, sf)), 3),
-    "describe_lineitem": lambda s, sf: rounded(profile.describe_numeric(lineitem(s, sf)), 3),
+    "describe": lambda s, sf: rounded(profile.describe_numeric(person(s, sf)), 4),
+    "describe_lineitem": lambda s, sf: rounded(profile.describe_numeric(lineitem(s, sf)), 4),
     "value_counts": lambda s, sf: profile.value_counts(person(s, sf)),
     "value_counts_lineitem": lambda s, sf: profile.value_counts(lineitem(s, sf)),
     # cleaning
@@ -367,7 +368,7 @@ QUERIES: dict[str, Query] = {
     "holdout_split": lambda s, sf: utility.holdout_split(person(s, sf).select("id"), "id"),
     "similarity": lambda s, sf: rounded(utility.similarity(person(s, sf), shifted(s, sf)), 3),
     "matrix_fidelity": lambda s, sf: rounded(utility.matrix_fidelity(person(s, sf), shifted(s, sf), "id"), 3),
-    "synthetic_quality": lambda s, sf: rounded(utility.synthetic_quality(shifted(s, sf)), 3),
+    "synthetic_quality": lambda s, sf: rounded(utility.synthetic_quality(shifted(s, sf)), 4),
     "compare_tables": lambda s, sf: rounded(utility.compare_tables(wide(s, sf), shifted(s, sf)), 3),
     "model_utility": model_utility,
     "validate": validate,

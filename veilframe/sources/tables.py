@@ -49,7 +49,8 @@ def read_people(
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None).option("escape", '"').option("enforceSchema", False)
-    df = normalise_missing(reader.format(fmt).load(path))
+    loaded = reader.format(fmt).load(path)
+    df = normalise_missing(loaded) if fmt == "csv" else nan_to_null(loaded)
     return first_rows(df, n_records, order_by) if n_records is not None else df
 
 
