@@ -1,4 +1,10 @@
-"""Joins and per-key totals that stay balanced when one key holds much of the table."""
+"""Joins and per-key totals that stay balanced when one key holds much of the table.
+
+Heavy keys are few by definition, so their lookup rows fit a broadcast. The rows of heavy keys still pass
+through the shuffle join for all other keys, but under a salt of their own: they spread over the
+partitions and match nothing there. The salt comes from the input partition and the row's own values, so
+a recomputed task puts every row where it was, and exact copies spread as far as their partitions do.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,22 @@ from pyspark.sql import functions as F
 
 HEAVY_LIMIT = 1_000  # keys treated as heavy; after them no key holds more than rows / 1001
 BROADCAST_ROWS = 200_000
-_SALTS = 4_096
+_SALTS = 1 << 16
+
+
+def _spread_join(
+    rows: DataFrame, table: DataFrame, heavy: DataFrame, on: Sequence[str], names: Sequence[str], spread: Sequence[str]
+) -> DataFrame:
+    """``rows`` plus the ``names`` columns of ``table``; ``heavy`` is at most ``HEAVY_LIMIT`` of its rows."""
+    few = heavy.select(*on, *[F.col(n).alias(f"_heavy_{n}") for n in names], F.lit(True).alias("_hit"))
+    loose = F.col("_hit").isNotNull()
+    for c in on:
+        loose = loose | F.col(c).isNull()
+    salt = F.when(loose, F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.lit(_SALTS)) + 1).otherwise(F.lit(0))
+    salted = rows.join(F.broadcast(few), list(on), "left").withColumn("_salt", salt.cast("bigint"))
+    rest = table.select(*on, *names, F.lit(0).cast("bigint").alias("_salt"))
+    joined = salted.join(rest, [*on, "_salt"], "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"_heavy_{n}", n).alias(n) for n in names])
 
 
 def heavy_keys(df: DataFrame, key: str, min_rows: int = 1_000_000) -> tuple[list, bool]:
@@ -25,48 +46,30 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = 1_000_000) -> tuple[list
     ).first()
     least = max(min_rows, sketch["keyed"] // 1_000)
     heavy = [r["item"] for r in sketch["top"] or [] if r["item"] is not None and r["count"] >= least]
-    return heavy, sketch["keyed"] < sketch["rows"]
+    return heavy, sketch["rows"] - sketch["keyed"] >= min_rows
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str, min_rows: int = 1_000_000) -> DataFrame:
     """Left join to ``table`` (unique on ``key``).
 
-    Heavy keys and null keys take a broadcast of at most ``HEAVY_LIMIT`` lookup rows; the rest is an
-    ordinary shuffle join that Spark may still turn into a broadcast once it knows the size.
+    Without heavy or many null keys it is an ordinary join, which Spark may turn into a broadcast once it
+    knows the size.
     """
-    heavy, has_null = heavy_keys(df, key, min_rows)
-    if not heavy and not has_null:
+    heavy, many_nulls = heavy_keys(df, key, min_rows)
+    if not heavy and not many_nulls:
         return df.join(table, key, "left")
-    is_heavy = F.col(key).isin(heavy) if heavy else F.lit(False)
-    loose = df.filter(F.col(key).isNull() | is_heavy).join(F.broadcast(table.filter(is_heavy)), key, "left")
-    keyed = df.filter(F.col(key).isNotNull() & ~is_heavy).join(table, key, "left")
-    return keyed.unionByName(loose)
+    names = [c for c in table.columns if c != key]
+    few = table.filter(F.col(key).isin(heavy) if heavy else F.lit(False))
+    return _spread_join(df, table, few, [key], names, spread=df.columns)
 
 
 def attach_totals(
     rows: DataFrame, source: DataFrame, on: Sequence[str], totals: dict[str, Column], spread: Sequence[str]
 ) -> DataFrame:
-    """``rows`` plus aggregates of the ``source`` rows that share ``on``.
-
-    The heaviest ``HEAVY_LIMIT`` keys are answered from a broadcast; their rows then enter the shuffle
-    join under a salt from the ``spread`` columns, where they spread out and match nothing. Rows with a
-    null key match nothing either and are spread the same way.
-    """
+    """``rows`` plus aggregates of the ``source`` rows that share ``on``."""
     per_key = source.groupBy(*on).agg(
         *[expr.alias(name) for name, expr in totals.items()], F.count("*").alias("_members")
     )
     keyed = per_key.dropna(subset=list(on))
-    heavy = (
-        keyed.orderBy(F.desc("_members"), *on)
-        .limit(HEAVY_LIMIT)
-        .select(*on, *[F.col(n).alias(f"_heavy_{n}") for n in totals], F.lit(True).alias("_hit"))
-    )
-    with_heavy = rows.join(F.broadcast(heavy), list(on), "left")
-    loose = F.col("_hit")
-    for c in on:
-        loose = loose | F.col(c).isNull()
-    salt = F.when(loose, F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(_SALTS))).otherwise(F.lit(0))
-    rest = keyed.drop("_members").withColumn("_salt", F.lit(0).cast("bigint"))
-    joined = with_heavy.withColumn("_salt", salt.cast("bigint")).join(rest, [*on, "_salt"], "left")
-    merged = {n: F.coalesce(F.col(f"_heavy_{n}"), F.col(n)) for n in totals}
-    return joined.select(*rows.columns, *[e.alias(n) for n, e in merged.items()])
+    heavy = keyed.orderBy(F.desc("_members"), *on).limit(HEAVY_LIMIT)
+    return _spread_join(rows, keyed, heavy, on, list(totals), spread)

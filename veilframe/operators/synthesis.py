@@ -125,14 +125,11 @@ def fit_conditional(
     gives = F.filter(
         F.array(*[F.when(F.col(f"_gives{i}"), F.col(f"_c{i}")) for i in range(3)]), lambda c: c.isNotNull()
     )
-    donors = routed.select(key, *target, F.explode(gives).alias("_cell"))
+    stored = materialise(routed.select(*base.columns, "cell", "size", gives.alias("_cells")), "routed")
+    donors = stored.select(key, *target, F.explode("_cells").alias("_cell"))
     donors = ranked(donors, "_cell", key, slots).select(F.col("_cell").alias("cell"), "rank", *target)
     return ConditionalModel(
-        key,
-        tuple(condition),
-        tuple(target),
-        materialise(routed.select(key, *condition, "cell", "size"), "conditions"),
-        materialise(donors, "donors"),
+        key, tuple(condition), tuple(target), stored.select(key, *condition, "cell", "size"), materialise(donors, "donors")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.storagelevel import StorageLevel
 
 from veilframe.operators.pseudonyms import mask_columns, pseudonymise_id, pseudonymise_table
 from veilframe.schema import PERSON_SCHEMA
@@ -49,8 +50,13 @@ def ingest_dropfolder(
             raise ValueError("random pseudonyms need a mapping_path")
 
         def write_batch(batch: DataFrame, number: int) -> None:
-            done = pseudonymise_table(batch, mapping_path, mode="random", salt=salt)
-            done.write.mode("overwrite").parquet(f"{output}/batch={number}")
+            # Read the files once: the mapping and the join below both need the batch.
+            people = batch.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                done = pseudonymise_table(people, mapping_path, mode="random", salt=salt)
+                done.write.mode("overwrite").parquet(f"{output}/batch={number}")
+            finally:
+                people.unpersist()
 
         writer = people.writeStream.foreachBatch(write_batch)
     else:
