@@ -9,6 +9,7 @@ a recomputed task puts every row where it was, and exact copies spread as far as
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,7 @@ def attach_totals(
     per_key = source.groupBy(*on).agg(
         *[expr.alias(name) for name, expr in totals.items()], F.count("*").alias("_members")
     )
-    keyed = per_key.dropna(subset=list(on))
+    # Both uses keep the same columns and filters, so that they share one exchange.
+    keyed = per_key.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]) & (F.col("_members") > 0))
     heavy = keyed.orderBy(F.desc("_members"), *on).limit(HEAVY_LIMIT)
     return _spread_join(rows, keyed, heavy, on, list(totals), spread)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ class _Target:
     high: float | None = None
     value: float | None = None
 
+    @property
+    def interval(self) -> tuple:
+        return self.column, self.low, self.high
+
     def inside(self) -> Column:
         c = F.col(self.column).cast("double")
         cond = c.isNotNull()
@@ -39,54 +44,70 @@ class _Target:
         return F.when(cond, c)
 
 
+def _by_interval(targets: list[_Target]) -> list[list[_Target]]:
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault(t.interval, []).append(t)
+    return list(groups.values())
+
+
 def _finish_small(df: DataFrame, targets: list[_Target]) -> None:
     """All targets whose interval is small: pick from its sorted values."""
-    picks = [
-        F.element_at(F.sort_array(F.collect_list(t.inside())), t.rank - t.below + 1).alias(f"v{i}")
-        for i, t in enumerate(targets)
-    ]
-    found = df.agg(*picks).first()
-    for i, t in enumerate(targets):
-        t.value = found[f"v{i}"]
+    groups = _by_interval(targets)
+    wanted = reduce(lambda a, b: a | b, [g[0].inside().isNotNull() for g in groups])
+    lists = df.filter(wanted).agg(*[F.sort_array(F.collect_list(g[0].inside())).alias(f"a{i}") for i, g in enumerate(groups)])
+    found = lists.select(
+        *[F.array(*[F.element_at(f"a{i}", t.rank - t.below + 1) for t in g]).alias(f"a{i}") for i, g in enumerate(groups)]
+    ).first()
+    for i, g in enumerate(groups):
+        for t, value in zip(g, found[f"a{i}"]):
+            t.value = value
 
 
 def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
-    """Two scans: bracket each target, then count on both sides of its bracket."""
+    """Two scans: bracket each target, then count the rows under and at the bracket's ends.
+
+    One sketch serves all targets of an interval. Probabilities are put on the sketch's own grid, so that
+    neighbouring ranks share their bracket.
+    """
     margin = 2.0 / accuracy
-    brackets = []
-    for i, t in enumerate(targets):
+
+    def bracket(t: _Target) -> list[float]:
         local = t.rank - t.below
-        p = [max(0.0, local / t.rows - margin), min(1.0, (local + 1) / t.rows + margin)]
-        brackets.append(F.percentile_approx(t.inside(), p, accuracy).alias(f"b{i}"))
-    bounds = df.agg(*brackets).first()
+        low, high = local / t.rows - margin, (local + 1) / t.rows + margin
+        return [max(0.0, math.floor(low * accuracy) / accuracy), min(1.0, math.ceil(high * accuracy) / accuracy)]
+
+    groups = _by_interval(targets)
+    sketches = [
+        F.percentile_approx(g[0].inside(), [p for t in g for p in bracket(t)], accuracy).alias(f"b{i}") for i, g in enumerate(groups)
+    ]
+    found = df.agg(*sketches).first()
+    ends = {id(t): found[f"b{i}"][2 * j : 2 * j + 2] for i, g in enumerate(groups) for j, t in enumerate(g)}
 
+    bounds = list({(t.column, v) for t in targets for v in ends[id(t)]})
     counts = []
-    for i, t in enumerate(targets):
-        lo, hi = bounds[f"b{i}"]
-        c = t.inside()
-        counts += [
-            F.count_if(c < F.lit(lo)).alias(f"l{i}"),
-            F.count_if(c == F.lit(lo)).alias(f"e{i}"),
-            F.count_if((c > F.lit(lo)) & (c < F.lit(hi))).alias(f"m{i}"),
-            F.count_if((c == F.lit(hi)) & F.lit(hi > lo)).alias(f"h{i}"),
-        ]
+    for i, (c, v) in enumerate(bounds):
+        x = F.col(c).cast("double")
+        counts += [F.count_if(x < F.lit(v)).alias(f"l{i}"), F.count_if(x == F.lit(v)).alias(f"e{i}")]
     seen = df.agg(*counts).first()
-
-    for i, t in enumerate(targets):
-        lo, hi = bounds[f"b{i}"]
-        less, at_low, middle, at_high = (seen[f"{x}{i}"] for x in "lemh")
-        local = t.rank - t.below
-        if local < less:
-            t.high, t.rows = lo, less
-        elif local < less + at_low:
+    under = {b: seen[f"l{i}"] for i, b in enumerate(bounds)}
+    equal = {b: seen[f"e{i}"] for i, b in enumerate(bounds)}
+
+    for t in targets:
+        lo, hi = ends[id(t)]
+        at_lo, at_hi = (t.column, lo), (t.column, hi)
+        if t.rank < under[at_lo]:
+            t.high, t.rows = lo, under[at_lo] - t.below
+        elif t.rank < under[at_lo] + equal[at_lo]:
             t.value = lo
-        elif local < less + at_low + middle:
-            t.low, t.high, t.below, t.rows = lo, hi, t.below + less + at_low, middle
-        elif local < less + at_low + middle + at_high:
+        elif t.rank < under[at_hi]:
+            t.low, t.high, t.below = lo, hi, under[at_lo] + equal[at_lo]
+            t.rows = under[at_hi] - t.below
+        elif t.rank < under[at_hi] + equal[at_hi]:
             t.value = hi
         else:
-            passed = less + at_low + middle + at_high
-            t.low, t.below, t.rows = hi, t.below + passed, t.rows - passed
+            passed = under[at_hi] + equal[at_hi]
+            t.low, t.rows, t.below = hi, t.rows - (passed - t.below), passed
 
 
 def exact_quantiles(

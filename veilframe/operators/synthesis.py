@@ -56,10 +56,9 @@ def _cell_text(df: DataFrame, c: str, edges: dict[str, list[float]]) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT))
 
 
-def _routes(cells: DataFrame, min_cell: int) -> DataFrame:
+def _routes(sizes: DataFrame, min_cell: int) -> DataFrame:
     """Per finest cell: the cell to draw from, its size, and whether its rows also donate to the
-    coarser cells. Works on counts only."""
-    sizes = cells.groupBy("_c0", "_c1", "_c2").agg(F.count("*").alias("_n0"))
+    coarser cells. Works on the stored cell counts only."""
     middle = sizes.groupBy("_c1").agg(F.sum("_n0").alias("_n1"))
     whole = sizes.groupBy("_c2").agg(F.sum("_n0").alias("_n2"))
     routed = sizes.join(middle, "_c1").join(whole, "_c2")
@@ -120,7 +119,8 @@ def fit_conditional(
 
     base = df.select(key, *condition, *[c for c in target if c not in condition])
     cells = base.withColumns({"_c0": cell(0, condition), "_c1": cell(1, middle), "_c2": cell(2, [])})
-    routes = materialise(_routes(cells, min_cell), "routes")
+    sizes = materialise(cells.groupBy("_c0", "_c1", "_c2").agg(F.count("*").alias("_n0")), "cells")
+    routes = materialise(_routes(sizes, min_cell), "routes")
     routed = lookup_join(cells, routes, "_c0")
     gives = F.filter(
         F.array(*[F.when(F.col(f"_gives{i}"), F.col(f"_c{i}")) for i in range(3)]), lambda c: c.isNotNull()
