@@ -25,8 +25,8 @@ RESULT_SCHEMA = (
 
 
 def pick_target(original: DataFrame, synthetic: DataFrame, candidates: Sequence[str] = TARGET_CANDIDATES) -> str | None:
-    """The first candidate both tables have."""
-    return next((c for c in candidates if find_column(original, c) and find_column(synthetic, c)), None)
+    """The first candidate both tables have, in the original's spelling."""
+    return next((find_column(original, c) for c in candidates if find_column(original, c) and find_column(synthetic, c)), None)
 
 
 def _estimator(model: str, n_train: int, trees: int, max_depth: int):

@@ -288,12 +288,13 @@ def metric_sql(metric: str, source: str, fields: list[tuple[str, str]], param: s
     return " UNION ALL ".join(parts)
 
 
-def privacy_report_sql(qi: list[str], sensitive: list[str], prefix: str = "") -> str:
+def privacy_parts(source: str, qi: list[str], sensitive: list[str]) -> tuple[str, list[str]]:
+    """The report's rows, and the CTEs they need."""
     k = [("achieved", "flag"), ("min_group_size", "n"), ("total_groups", "n"), ("groups_below_k", "n")]
     l_fields = [("achieved", "flag"), ("l_diverse_groups", "n"), ("total_groups", "n"), ("ratio", "n")]
     t = [("achieved", "flag"), ("t_close_groups", "n"), ("total_groups", "n"), ("ratio", "n")]
     risk = [("total_records", "n"), ("unique_combinations", "n"), ("uniqueness_ratio", "n"), ("risk_level", "text")]
-    all_classes = classes_cte("person", qi, keep_nulls=True).replace("classes AS", "all_classes AS", 1)
+    all_classes = classes_cte(source, qi, keep_nulls=True).replace("classes AS", "all_classes AS", 1)
     body = " UNION ALL ".join(
         [
             metric_sql("k_anonymity", "k_table", k, "k"),
@@ -302,12 +303,17 @@ def privacy_report_sql(qi: list[str], sensitive: list[str], prefix: str = "") ->
             metric_sql("reidentification_risk", "risk_table", risk, None),
         ]
     )
-    return with_views(
-        f"SELECT {prefix} * FROM ({body})",
-        classes_cte("person", qi), l_cte("person", qi, sensitive), *t_ctes("person", qi, sensitive), all_classes,
+    ctes = [
+        classes_cte(source, qi), l_cte(source, qi, sensitive), *t_ctes(source, qi, sensitive), all_classes,
         f"k_table AS ({k_sql()})", f"l_table AS ({l_sql(sensitive)})", f"t_table AS ({t_sql(sensitive)})",
         f"risk_table AS ({RISK.replace('FROM classes', 'FROM all_classes')})",
-    )
+    ]
+    return body, ctes
+
+
+def privacy_report_sql(qi: list[str], sensitive: list[str], prefix: str = "") -> str:
+    body, ctes = privacy_parts("person", qi, sensitive)
+    return with_views(f"SELECT {prefix} * FROM ({body})", *ctes)
 
 
 # --- utility -------------------------------------------------------------------------------------
@@ -379,6 +385,55 @@ def compare_sql() -> str:
     return with_views(" UNION ALL ".join(rows), WIDE_CTE, SHIFTED_CTE)
 
 
+def fact(family: str, metric: str, param: str | None, field: str, number: str = "CAST(NULL AS DOUBLE)", text: str = "CAST(NULL AS VARCHAR)") -> str:
+    label = f"'{param}'" if param else "CAST(NULL AS VARCHAR)"
+    return f"SELECT '{family}' AS family, '{metric}' AS metric, {label} AS param, '{field}' AS field, {number} AS value_num, {text} AS value_str"
+
+
+def validation_parts(original: str, anonymised: str, qi: list[str], sensitive: list[str], numbers: list[str], width: int) -> tuple[str, list[str]]:
+    """Privacy, similarity and shape of two tables as metric rows."""
+    privacy, ctes = privacy_parts(anonymised, qi, sensitive)
+    facts, scores = [], []
+    for c in numbers:
+        stats = {
+            f"{stat}_{side}": f"(SELECT {f}({c}) FROM {t})"
+            for side, t in (("original", original), ("synthetic", anonymised))
+            for stat, f in (("mean", "avg"), ("std", "stddev_samp"))
+        }
+        gaps = {f"{x}_relative_diff": f"abs({stats[x + '_synthetic']} - {stats[x + '_original']}) / (abs({stats[x + '_original']}) + 1e-8)" for x in ("mean", "std")}
+        score = f"1 - ({gaps['mean_relative_diff']} + {gaps['std_relative_diff']}) / 2"
+        scores.append(f"({score})")
+        facts += [fact("utility", "statistical_similarity", f"column={c}", n, e) for n, e in {**stats, **gaps, "similarity_score": score}.items()]
+    facts.append(fact("utility", "statistical_similarity", "column=overall", "similarity_score", f"({' + '.join(scores)}) / {len(numbers)}"))
+    facts.append(fact("utility", "statistical_similarity", "column=overall", "columns_compared", f"{len(numbers)}"))
+    for side, t in (("original", original), ("anonymised", anonymised)):
+        facts.append(fact("dataset_info", "shape", f"side={side}", "rows", f"(SELECT count(*) FROM {t})"))
+        facts.append(fact("dataset_info", "shape", f"side={side}", "columns", str(width)))
+    facts.append(fact("dataset_info", "columns", None, "quasi_identifiers", text=f"'{','.join(qi)}'"))
+    facts.append(fact("dataset_info", "columns", None, "sensitive_attributes", text=f"'{','.join(sensitive)}'"))
+    body = " UNION ALL ".join([privacy, *facts])
+    return f"SELECT family, metric, param, field, {r('value_num', 3)} AS value_num, value_str FROM ({body})", ctes
+
+
+def validate_sql() -> str:
+    body, ctes = validation_parts("person", "masked", ["zip", "race", "city", "state"], ["gender", *MONEY], MONEY, len(COLS))
+    return with_views(body, SHIFTED_CTE, f"masked AS (SELECT {listed(COLS, **MASKS)} FROM shifted)", *ctes)
+
+
+def anonymise_no_synthesis_sql() -> str:
+    body, ctes = validation_parts(
+        "aged", "masked", ["age", "zip", "race", "city", "state"], ["gender", *MONEY],
+        [*MONEY, "age", "birth_month", "birth_year"], len(AGED_COLS),
+    )
+    structure = ["total_records", "total_columns", "missing_values", "duplicate_records"]
+    facts = " UNION ALL ".join(fact("profile", "structure", None, f, f"CAST((SELECT {f} FROM structure) AS DOUBLE)") for f in structure)
+    return with_views(
+        f"SELECT 'original' AS dataset, * FROM ({facts}) UNION ALL SELECT 'pseudonymised', * FROM ({body})",
+        AGED_CTE, f"masked AS (SELECT {listed(AGED_COLS, **MASKS, id=keyed('id'))} FROM aged)", *ctes,
+        f"structure AS ({profile_sql('person', COLS)})",
+    )
+
+
 # --- synthesis -----------------------------------------------------------------------------------
 
 
@@ -638,6 +693,8 @@ def oracles() -> dict[str, str]:
         "matrix_fidelity": fidelity_sql(),
         "synthetic_quality": quality_sql(),
         "compare_tables": compare_sql(),
+        "validate": validate_sql(),
+        "anonymise_no_synthesis": anonymise_no_synthesis_sql(),
         "fit_conditional": with_views("SELECT * FROM donors", *MODEL_CTES),
         "sample_conditional": with_views(f"SELECT id, {SAMPLE_COLS} FROM sampled", *MODEL_CTES, sampled_cte("routed", "id", 42)),
         "sample_conditional_n": with_views(f"SELECT draw, {SAMPLE_COLS} FROM sampled", *MODEL_CTES, *RESAMPLED_CTES, sampled_cte("resampled", "draw", 7)),
