@@ -122,3 +122,25 @@ def test_whole_workflow(spark, small_person):
 
     _, short = L.anonymise_no_synthesis(small_person, "2024-01-01", mode="keyed", models=[])
     assert {r["dataset"] for r in short.select("dataset").distinct().collect()} == {"original", "pseudonymised"}
+
+
+def test_whole_run_on_files(spark, tmp_path, small_person):
+    path, out = str(tmp_path / "people"), str(tmp_path / "out")
+    write_table(small_person, path, "csv")
+    report = L.anonymise_files(
+        spark, path, out, "2024-01-01", n_records=120, order_by=["id"], models=[], reader={"schema": small_person.schema}
+    )
+    assert sorted(os.listdir(out)) == [
+        "catalogue", "codes", "features", "mapping", "processed", "pseudonymised", "report", "scaler", "synthetic"
+    ]
+    assert {spark.read.parquet(f"{out}/{t}").count() for t in ("processed", "features", "mapping", "pseudonymised", "synthetic")} == {120}
+    assert {r["dataset"] for r in report.select("dataset").distinct().collect()} == {"original", "pseudonymised", "synthetic"}
+
+
+@pytest.mark.parametrize("per_scan", [1, 32])
+def test_wide_tables_are_profiled_in_pieces(spark, monkeypatch, per_scan):
+    from veilframe.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "COLUMNS_PER_SCAN", per_scan)
+    df = spark.range(11).select(*[(F.col("id") * i).alias(f"c{i}") for i in range(5)])
+    assert quantiles.exact_quantiles(df, df.columns, [0.5]) == {f"c{i}": [5.0 * i] for i in range(5)}

@@ -93,15 +93,17 @@ def fit_encoder(df: DataFrame, cols: Sequence[str], broadcast_rows: int = BROADC
 def apply_encoder(df: DataFrame, codes: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Replace every encoded column by its codes; unseen values become null.
 
-    The code table is broadcast per column only while that column has few levels.
+    Code tables are broadcast, smallest first, while all of them together stay under ``broadcast_rows``
+    counted levels; the rest take the shuffle join.
     """
     sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()}
-    order = df.columns
-    for c in [c for c in order if c in sizes]:
+    order, held = df.columns, 0
+    for c in sorted((c for c in order if c in sizes), key=lambda c: sizes[c]):
+        held += sizes[c]
         text = F.coalesce(text_of(df, c), F.lit(MISSING_LEVEL))
         table = codes.filter(F.col("column") == c).select(F.col("value").alias("_level"), F.col("code").alias("_code"))
         keyed = df.withColumn("_level", text)
-        if sizes[c] <= broadcast_rows:
+        if held <= broadcast_rows:
             joined = keyed.join(F.broadcast(table), "_level", "left")
         else:
             joined = lookup_join(keyed, table, "_level")

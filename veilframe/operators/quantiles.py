@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 SMALL = 20_000  # rows an interval may hold before its values are put into one array
 ACCURACY = 10_000
+COLUMNS_PER_SCAN = 32  # bounds the sketches and arrays one task holds for a wide table
 
 
 @dataclass
@@ -120,12 +121,18 @@ def exact_quantiles(
     accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of the non-null values, exact at any size."""
-    if not cols:
-        return {}
-    if counts is None:
+    if counts is None and cols:
         found = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
         counts = {c: found[f"n{i}"] for i, c in enumerate(cols)}
+    out: dict[str, list[float | None]] = {}
+    for start in range(0, len(cols), COLUMNS_PER_SCAN):
+        out |= _quantiles(df, cols[start : start + COLUMNS_PER_SCAN], probs, counts, small, accuracy)
+    return out
+
 
+def _quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], counts: dict[str, int], small: int, accuracy: int
+) -> dict[str, list[float | None]]:
     targets: dict[tuple[str, int], _Target] = {}
     for c in cols:
         for p in probs if counts[c] else ():
@@ -143,15 +150,11 @@ def exact_quantiles(
             _narrow(df, many, accuracy)
         open_targets = [t for t in many if t.value is None]
 
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        out[c] = []
-        for p in probs:
-            if not counts[c]:
-                out[c].append(None)
-                continue
-            h = p * (counts[c] - 1)
-            lo, hi = targets[c, math.floor(h)].value, targets[c, math.ceil(h)].value
-            part = h - math.floor(h)
-            out[c].append((lo + hi) / 2 if part == 0.5 else lo + part * (hi - lo))
-    return out
+    def at(c: str, p: float) -> float | None:
+        if not counts[c]:
+            return None
+        h = p * (counts[c] - 1)
+        lo, hi, part = targets[c, math.floor(h)].value, targets[c, math.ceil(h)].value, h - math.floor(h)
+        return (lo + hi) / 2 if part == 0.5 else lo + part * (hi - lo)
+
+    return {c: [at(c, p) for p in probs] for c in cols}

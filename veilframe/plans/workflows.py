@@ -22,6 +22,8 @@ from veilframe.operators.synthesis import synthesise
 from veilframe.operators.utility import compare_tables, similarity_rows, synthetic_quality
 from veilframe.schema import QUASI_IDENTIFIERS, SENSITIVE, Roles, find_column, present, require
 from veilframe.session import materialise
+from veilframe.sources.report import read_report, write_report
+from veilframe.sources.store import save_params, write_features
 from veilframe.sources.tables import read_people, write_table
 
 
@@ -148,3 +150,34 @@ def anonymise(
 
 def anonymise_no_synthesis(df: DataFrame, as_of: dt.date | str, **options) -> tuple[dict[str, DataFrame], DataFrame]:
     return anonymise(df, as_of, synthesis=False, **options)
+
+
+def anonymise_files(
+    spark: SparkSession,
+    path: str,
+    output: str,
+    as_of: dt.date | str,
+    n_records: int | None = None,
+    order_by: Sequence[str] = (),
+    synthesis: bool = True,
+    mode: str = "random",
+    reader: dict | None = None,
+    **options,
+) -> DataFrame:
+    """The whole run on files; returns the report.
+
+    Below ``output``: ``catalogue``, ``processed``, ``features``, ``scaler``, ``codes``, ``mapping``,
+    ``pseudonymised``, ``synthetic`` and ``report``.
+    """
+    people = read_people(spark, path, n_records, order_by, **(reader or {}))
+    write_table(column_catalogue({"input": people}), f"{output}/catalogue")
+    prepared = prepare_features(people, as_of)
+    write_table(prepared.table, f"{output}/processed")
+    write_features(prepared.features, f"{output}/features")
+    save_params(prepared.scaler, f"{output}/scaler")
+    save_params(prepared.codes, f"{output}/codes")
+    tables, report = anonymise(people, as_of, mapping_path=f"{output}/mapping", mode=mode, synthesis=synthesis, **options)
+    for name, table in tables.items():
+        write_table(table, f"{output}/{name}")
+    write_report(report, f"{output}/report")
+    return read_report(spark, f"{output}/report")
