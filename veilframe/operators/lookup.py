@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+HEAVY_ROWS = 1_000_000
 HEAVY_LIMIT = 1_000  # keys treated as heavy; after them no key holds more than rows / 1001
 BROADCAST_ROWS = 200_000
 _SALTS = 1 << 16
@@ -34,7 +35,7 @@ def _spread_join(
     return joined.select(*rows.columns, *[F.coalesce(f"_heavy_{n}", n).alias(n) for n in names])
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = 1_000_000) -> tuple[list, bool]:
+def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> tuple[list, bool]:
     """Keys with at least ``min_rows`` rows and 0.1 % of the table, and whether any key is null.
 
     One scan with a bounded sketch. The list only steers the join, so an over- or under-estimated count
@@ -50,13 +51,15 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = 1_000_000) -> tuple[list
     return heavy, sketch["rows"] - sketch["keyed"] >= min_rows
 
 
-def lookup_join(df: DataFrame, table: DataFrame, key: str, min_rows: int = 1_000_000) -> DataFrame:
+def lookup_join(
+    df: DataFrame, table: DataFrame, key: str, min_rows: int = HEAVY_ROWS, heavy: list | None = None
+) -> DataFrame:
     """Left join to ``table`` (unique on ``key``).
 
     Without heavy or many null keys it is an ordinary join, which Spark may turn into a broadcast once it
-    knows the size.
+    knows the size. A caller that has counted its (never null) keys passes the heavy ones and saves a scan.
     """
-    heavy, many_nulls = heavy_keys(df, key, min_rows)
+    heavy, many_nulls = heavy_keys(df, key, min_rows) if heavy is None else (heavy, False)
     if not heavy and not many_nulls:
         return df.join(table, key, "left")
     names = [c for c in table.columns if c != key]

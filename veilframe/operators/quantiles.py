@@ -89,7 +89,7 @@ def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
     counts = []
     for i, (c, v) in enumerate(bounds):
         x = F.col(c).cast("double")
-        counts += [F.count_if(x < F.lit(v)).alias(f"l{i}"), F.count_if(x == F.lit(v)).alias(f"e{i}")]
+        counts += [F.sum((x < F.lit(v)).cast("int")).alias(f"l{i}"), F.sum((x == F.lit(v)).cast("int")).alias(f"e{i}")]
     seen = df.agg(*counts).first()
     under = {b: seen[f"l{i}"] for i, b in enumerate(bounds)}
     equal = {b: seen[f"e{i}"] for i, b in enumerate(bounds)}

@@ -98,6 +98,13 @@ def column_catalogue(
     )
 
 
+def dtype_summary(catalogue: DataFrame) -> DataFrame:
+    """Columns and known cells per table and type."""
+    return catalogue.groupBy("table", "dtype").agg(
+        F.count("*").alias("columns"), F.sum(F.col("n_rows") - F.col("n_missing")).alias("known_cells")
+    )
+
+
 def assign_roles(df: DataFrame, rules: Rules = ANONYMISATION_RULES, match: str = "substring") -> Roles:
     """The roles of one table's columns. Reads the schema only."""
     names = df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(df.dtypes)], "i int, c string, t string")

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from veilframe.functions.draws import draw_int, draw_rank, uniform
 from veilframe.functions.masks import ADDRESS_REDACTED
 from veilframe.operators.features import feature_names, generalise_birthdate
-from veilframe.operators.lookup import lookup_join
+from veilframe.operators.lookup import HEAVY_LIMIT, HEAVY_ROWS, lookup_join
 from veilframe.operators.ordered import with_row_index
 from veilframe.operators.pseudonyms import redact
 from veilframe.operators.quantiles import exact_quantiles
@@ -104,7 +104,9 @@ def fit_conditional(
     min_cell: int = MIN_CELL,
     backoff: str = "age_group",
     slots: int | None = None,
+    store: bool = True,
 ) -> ConditionalModel:
+    """``store=False`` leaves the donor table unwritten, for a model that is sampled once."""
     (key,) = require(df, [key])
     condition, target = require(df, condition), require(df, target)
     if not target:
@@ -121,7 +123,8 @@ def fit_conditional(
     cells = base.withColumns({"_c0": cell(0, condition), "_c1": cell(1, middle), "_c2": cell(2, [])})
     sizes = materialise(cells.groupBy("_c0", "_c1", "_c2").agg(F.count("*").alias("_n0")), "cells")
     routes = materialise(_routes(sizes, min_cell), "routes")
-    routed = lookup_join(cells, routes, "_c0")
+    top = sizes.filter(F.col("_n0") >= HEAVY_ROWS).orderBy(F.desc("_n0")).limit(HEAVY_LIMIT)
+    routed = lookup_join(cells, routes, "_c0", heavy=[r["_c0"] for r in top.collect()])
     gives = F.filter(
         F.array(*[F.when(F.col(f"_gives{i}"), F.col(f"_c{i}")) for i in range(3)]), lambda c: c.isNotNull()
     )
@@ -129,7 +132,11 @@ def fit_conditional(
     donors = stored.select(key, *target, F.explode("_cells").alias("_cell"))
     donors = ranked(donors, "_cell", key, slots).select(F.col("_cell").alias("cell"), "rank", *target)
     return ConditionalModel(
-        key, tuple(condition), tuple(target), stored.select(key, *condition, "cell", "size"), materialise(donors, "donors")
+        key,
+        tuple(condition),
+        tuple(target),
+        stored.select(key, *condition, "cell", "size"),
+        materialise(donors, "donors") if store else donors,
     )
 
 
@@ -210,5 +217,5 @@ def synthesise(
     (key,) = require(df, [key])
     aged = generalise_birthdate(df, as_of)
     condition, target = feature_names(aged, assign_roles(aged))
-    model = fit_conditional(aged, key, condition, target, bins=bins, min_cell=min_cell)
+    model = fit_conditional(aged, key, condition, target, bins=bins, min_cell=min_cell, store=False)
     return conform(synthetic_identities(sample_conditional(model, n, seed), key, seed))

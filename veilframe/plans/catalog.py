@@ -314,7 +314,7 @@ QUERIES: dict[str, Query] = {
     "profile": lambda s, sf: profile.profile_table(doubled(s, sf)),
     "profile_lineitem": lambda s, sf: profile.profile_table(lineitem(s, sf)),
     "missing_by_column": lambda s, sf: rounded(profile.missing_by_column(person(s, sf))),
-    "dtype_counts": lambda s, sf: profile.dtype_counts(person(s, sf)),
+    "dtype_counts": lambda s, sf: roles.dtype_summary(roles.column_catalogue({"person": person(s, sf), "lineitem": lineitem(s, sf)}, distinct="approx")),
     "column_catalogue": column_catalogue,
     "column_catalogue_token": column_catalogue_token,
     "dataset_stats": dataset_stats,

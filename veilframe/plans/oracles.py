@@ -21,6 +21,10 @@ TYPES = {
 }
 LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM = LINEITEM_NUMBERS + ["l_returnflag", "l_linestatus", "l_shipdate"]
+LINEITEM_TYPES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_shipdate": "timestamp_ntz",
+}
 UNIT = "4503599627370496e0"
 
 
@@ -350,7 +354,7 @@ def fidelity_sql() -> str:
     )
     a, b = MONEY
     gap = f"abs((SELECT corr({a}, {b}) FROM person) - (SELECT corr({a}, {b}) FROM shifted))"
-    mae = f"""(SELECT sum(abs(p.{a} - s.{a}) + abs(p.{b} - s.{b})) / (count(p.{a} - s.{a}) + count(p.{b} - s.{b})) FROM person p JOIN shifted s USING (id))"""
+    mae = f"""(SELECT sum(coalesce(abs(p.{a} - s.{a}), 0) + coalesce(abs(p.{b} - s.{b}), 0)) / (count(p.{a} - s.{a}) + count(p.{b} - s.{b})) FROM person p JOIN shifted s USING (id))"""
     return with_views(f"{per} UNION ALL SELECT 'overall', NULL, NULL, NULL, NULL, {r(mae, 3)}, {r(f'2 * {gap} / 4', 3)}", SHIFTED_CTE)
 
 
@@ -585,9 +589,13 @@ def oracles() -> dict[str, str]:
             + ") WHERE missing_count > 0"
         ),
         "dtype_counts": with_views(
-            "SELECT CASE data_type WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS dtype, CAST(count(*) AS BIGINT) AS columns FROM ("
-            + " UNION ALL ".join(f"SELECT (SELECT any_value(typeof({c})) FROM person) AS data_type" for c in COLS)
-            + ") GROUP BY dtype"
+            'SELECT "table", dtype, CAST(count(*) AS BIGINT) AS columns, CAST(sum(cells) AS BIGINT) AS known_cells FROM ('
+            + " UNION ALL ".join(
+                f"SELECT '{t}' AS \"table\", '{types.get(c, 'string')}' AS dtype, count({c}) AS cells FROM {t}"
+                for t, cols, types in (("person", COLS, TYPES), ("lineitem", LINEITEM, LINEITEM_TYPES))
+                for c in cols
+            )
+            + ') GROUP BY "table", dtype'
         ),
         "column_catalogue": with_views(
             f"""SELECT "table", CAST(position AS INT) AS position, "column", {role_sql('"column"', ANONYMISATION_RULES)} AS role,
@@ -643,7 +651,9 @@ def oracles() -> dict[str, str]:
         "preprocess": with_views(
             "SELECT {} FROM blanked".format(
                 ", ".join(
-                    "CAST(birthdate AS VARCHAR) AS birthdate" if c == "birthdate" else c if c in ("id", *MONEY) else f"coalesce({c}, {mode_of(c, 'blanked')}) AS {c}"
+                    "CAST(birthdate AS VARCHAR) AS birthdate" if c == "birthdate"
+                    else c if c == "id"
+                    else f"coalesce({c}, {median_of(c, 'blanked') if c in MONEY else mode_of(c, 'blanked')}) AS {c}"
                     for c in COLS
                 )
             ),
