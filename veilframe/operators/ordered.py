@@ -22,11 +22,11 @@ def ranged(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) ->
     """``df`` plus its range number and its position in the range, both stored.
 
     ``order_by`` has to be a total order (end it with a unique key): it makes the result repeatable and
-    lets the range sampler split a value that many rows share.
+    lets the range sampler split a value that many rows share. Without ``ranges`` their number is that of
+    the shuffle partitions, less what adaptive execution merges; it merges neighbours, which keeps order.
     """
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        df.repartitionByRange(n, *order_by)
+        (df.repartitionByRange(ranges, *order_by) if ranges else df.repartitionByRange(*order_by))
         .sortWithinPartitions(*order_by)
         .withColumn(RANGE, F.spark_partition_id())
         .withColumn(POSITION, F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)))
