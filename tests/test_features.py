@@ -41,10 +41,10 @@ def test_label_codes_follow_code_points(spark, limit):
     """With a limit of one level the dense index and the shuffle join are taken."""
     values = ["b", "B", "a", "_", "é", None]
     df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "v string, w int")
-    codes = D.fit_encoder(df, ["v", "w"], broadcast_rows=limit)
+    codes = D.fit_encoder(df, ["v", "w"], window_rows=limit)
     expected = {"B": 0, "_": 1, "a": 2, "b": 3, "nan": 4, "é": 5}
     assert dict(rows(codes.filter("column = 'v'"), "value", "code")) == expected
-    out = D.apply_encoder(df.withColumn("raw", F.col("v")), codes, broadcast_rows=limit)
+    out = D.apply_encoder(df.withColumn("raw", F.col("v")), codes, broadcast_bytes=limit)
     assert {r["raw"] or "nan": r["v"] for r in out.collect()} == expected
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.dates import age_group, age_years, birth_month, birth_year, parse_date
-from veilframe.operators.lookup import BROADCAST_ROWS, lookup_join
+from veilframe.operators.lookup import BROADCAST_BYTES, lookup_join
 from veilframe.operators.ordered import with_row_index
 from veilframe.operators.shape import long_values, rows, text_of
 from veilframe.schema import Roles, find_column, present, require
 from veilframe.session import materialise
 
+WINDOW_ROWS = 200_000  # levels one window may number
 MISSING_LEVEL = "nan"  # fixed value: the code table's name for a null
 _SCALE_SCHEMA = "column string, min double, max double, mean double, std double"
 
@@ -74,14 +75,14 @@ def scale_standard(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return apply_scaler(df, fit_scaler(df, cols), "standard")
 
 
-def fit_encoder(df: DataFrame, cols: Sequence[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def fit_encoder(df: DataFrame, cols: Sequence[str], window_rows: int = WINDOW_ROWS) -> DataFrame:
     """(column, value, code): values as text in code-point order, numbered from 0 per column.
 
     Few levels are numbered by a window per column; many get a dense index over range partitions.
     """
     texts = long_values(df, cols).select("column", F.coalesce("value", F.lit(MISSING_LEVEL)).alias("value"))
     levels = materialise(texts.distinct(), "levels")
-    if levels.count() <= broadcast_rows:
+    if levels.count() <= window_rows:
         code = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
         return levels.select("column", "value", code.cast("bigint").alias("code"))
     indexed = materialise(with_row_index(levels, ["column", "value"], "_index"), "indexed")
@@ -90,20 +91,21 @@ def fit_encoder(df: DataFrame, cols: Sequence[str], broadcast_rows: int = BROADC
     return joined.select("column", "value", (F.col("_index") - F.col("_start")).alias("code"))
 
 
-def apply_encoder(df: DataFrame, codes: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def apply_encoder(df: DataFrame, codes: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Replace every encoded column by its codes; unseen values become null.
 
-    Code tables are broadcast, smallest first, while all of them together stay under ``broadcast_rows``
-    counted levels; the rest take the shuffle join.
+    Code tables are broadcast, smallest first, while the measured size of all of them together stays under
+    ``broadcast_bytes``; the rest take the shuffle join.
     """
-    sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()}
+    measured = codes.groupBy("column").agg(F.sum(F.octet_length("value") + 32).alias("bytes")).collect()
+    sizes = {r["column"]: r["bytes"] for r in measured}  # one row per column
     order, held = df.columns, 0
     for c in sorted((c for c in order if c in sizes), key=lambda c: sizes[c]):
         held += sizes[c]
         text = F.coalesce(text_of(df, c), F.lit(MISSING_LEVEL))
         table = codes.filter(F.col("column") == c).select(F.col("value").alias("_level"), F.col("code").alias("_code"))
         keyed = df.withColumn("_level", text)
-        if held <= broadcast_rows:
+        if held <= broadcast_bytes:
             joined = keyed.join(F.broadcast(table), "_level", "left")
         else:
             joined = lookup_join(keyed, table, "_level")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 HEAVY_ROWS = 1_000_000
 HEAVY_LIMIT = 1_000  # keys treated as heavy; after them no key holds more than rows / 1001
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 _SALTS = 1 << 16
 
 

@@ -23,7 +23,7 @@ def null_count(c: str) -> Column:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is missing data here, so only NULL means missing from now on."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in floats}) if floats else df
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
 def text_of(df: DataFrame, c: str) -> Column:

@@ -106,7 +106,10 @@ def fit_conditional(
     slots: int | None = None,
     store: bool = True,
 ) -> ConditionalModel:
-    """``store=False`` leaves the donor table unwritten, for a model that is sampled once."""
+    """Learn p(target | condition). ``key`` is unique per row; draws and ranks are hashed from it.
+
+    ``store=False`` leaves the donor table unwritten, for a model that is sampled once.
+    """
     (key,) = require(df, [key])
     condition, target = require(df, condition), require(df, target)
     if not target:
