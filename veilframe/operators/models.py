@@ -29,12 +29,12 @@ def pick_target(original: DataFrame, synthetic: DataFrame, candidates: Sequence[
     return next((find_column(original, c) for c in candidates if find_column(original, c) and find_column(synthetic, c)), None)
 
 
-def _estimator(model: str, n_train: int, trees: int, max_depth: int):
+def _estimator(model: str, train: DataFrame, trees: int, max_depth: int):
     if model == "random_forest":
         return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=42)
     if model == "logistic_regression":
         # An L2 penalty of weight 1 on the summed loss is 1/n on the mean loss.
-        return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), standardization=False, tol=1e-4)
+        return LogisticRegression(maxIter=1000, regParam=1.0 / max(train.count(), 1), standardization=False, tol=1e-4)
     raise ValueError(f"model must be one of {', '.join(MODELS)}")
 
 
@@ -91,7 +91,7 @@ def model_utility(
             scores = []
             for rows in prepared:
                 train = rows.filter(~F.col("is_test"))
-                scores.append(_score(_estimator(model, train.count(), trees, max_depth).fit(train), test, binary))
+                scores.append(_score(_estimator(model, train, trees, max_depth).fit(train), test, binary))
             (acc_o, auc_o), (acc_s, auc_s) = scores
             gap = acc_s - acc_o if acc_o is not None and acc_s is not None else None
             results.append((model, name, acc_o, acc_s, gap, auc_o, auc_s, gap is not None and abs(gap) < PRESERVED_GAP))

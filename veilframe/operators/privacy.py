@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.operators.lookup import attach_totals
-from veilframe.operators.shape import long_values, rows
+from veilframe.operators.shape import rows, text_of
 from veilframe.schema import QUASI_IDENTIFIERS, SENSITIVE, present, require
 from veilframe.session import materialise
 
@@ -91,17 +91,19 @@ def k_anonymity_detail(df: DataFrame, qi: Sequence[str], ks: Sequence[int] = KS_
 
 
 def value_profile(df: DataFrame, qi: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
-    """(qi, attribute, value, rows), classes with null quasi-identifiers and null values included."""
+    """(qi, attribute, value, rows), classes with null quasi-identifiers and null values included. The
+    attribute is the position in ``sensitive``, which shuffles smaller than its name."""
     both = {c.lower() for c in qi} & {c.lower() for c in sensitive}
     if both:
         raise ValueError(f"quasi-identifiers cannot be sensitive too: {', '.join(sorted(both))}")
-    cells = long_values(df, sensitive, ids=qi, name=ATTRIBUTE, value=VALUE)
+    pairs = [F.struct(F.lit(i).alias(ATTRIBUTE), text_of(df, s).alias(VALUE)) for i, s in enumerate(sensitive)]
+    cells = df.select(*qi, F.inline(F.array(*pairs)))
     return cells.groupBy(*qi, ATTRIBUTE, VALUE).agg(F.count("*").alias(ROWS))
 
 
-def _classes_of(profile: DataFrame, qi: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
+def _classes_of(profile: DataFrame, qi: Sequence[str]) -> DataFrame:
     """Class sizes from the profile: every row counts once under each attribute."""
-    one = profile.filter(F.col(ATTRIBUTE) == sensitive[0])
+    one = profile.filter(F.col(ATTRIBUTE) == 0)
     return one.groupBy(*qi).agg(F.sum(ROWS).alias("class_size"))
 
 
@@ -110,7 +112,7 @@ def _classes_of(profile: DataFrame, qi: Sequence[str], sensitive: Sequence[str])
 
 def _distinct_per_class(profile: DataFrame, qi: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
     known = F.col(VALUE).isNotNull()
-    counts = [F.count_if(known & (F.col(ATTRIBUTE) == s)).alias(f"_d{i}") for i, s in enumerate(sensitive)]
+    counts = [F.count_if(known & (F.col(ATTRIBUTE) == i)).alias(f"_d{i}") for i in range(len(sensitive))]
     return profile.filter(_complete(qi)).groupBy(*qi).agg(*counts)
 
 
@@ -197,8 +199,8 @@ def _distances(profile: DataFrame, qi: Sequence[str], sensitive: Sequence[str])
     c_v, c_gv, n_g, n = exact("_value_rows"), exact(ROWS), exact("_class_rows"), exact("_all_rows")
     term = (F.abs(c_v * n_g - c_gv * n) - c_v * n_g).cast(_EXACT)
     aggs = []
-    for i, s in enumerate(sensitive):
-        mine = F.col(ATTRIBUTE) == s
+    for i in range(len(sensitive)):
+        mine = F.col(ATTRIBUTE) == i
         aggs += [
             F.coalesce(F.sum(F.when(mine & F.col(VALUE).isNotNull(), term)), F.lit(0)).cast(_EXACT).alias(f"_sum{i}"),
             F.max(F.when(mine, n_g)).alias(f"_g{i}"),
@@ -333,7 +335,7 @@ def privacy_report(
         parts = [("k_anonymity", k_anonymity(df, qi), "k"), ("reidentification_risk", reidentification_risk(df, qi), None)]
     else:
         profile = materialise(value_profile(df, qi, sensitive), "profile")
-        classes = _classes_of(profile, qi, sensitive)
+        classes = _classes_of(profile, qi)
         parts = [
             ("k_anonymity", _k_rows(classes.filter(_complete(qi)), KS, detail=False), "k"),
             ("l_diversity", _l_rows(_distinct_per_class(profile, qi, sensitive), sensitive, LS, detail=False), "l"),

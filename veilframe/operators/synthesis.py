@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.draws import draw_int, draw_rank, uniform
+from veilframe.functions.draws import HASH_RANGE, draw_int, draw_rank, hash_bits, uniform
 from veilframe.functions.masks import ADDRESS_REDACTED
 from veilframe.operators.features import feature_names, generalise_birthdate
 from veilframe.operators.lookup import HEAVY_LIMIT, HEAVY_ROWS, lookup_join
@@ -84,8 +84,8 @@ def ranked(df: DataFrame, cell: str, key: str, slots: int) -> DataFrame:
     Slots are ranges of that hash: rank inside the slot plus the rows of the slots before it. The
     result does not depend on the number of slots.
     """
-    digest = F.md5(F.col(key).cast("string"))
-    slot = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(16**8)) * slots)
+    digest = hash_bits(F.col(key).cast("string"))
+    slot = F.floor(digest / F.lit(HASH_RANGE) * slots)
     placed = df.withColumns({"_digest": digest, "_slot": slot.cast("bigint")})
     before = Window.partitionBy(cell).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy(cell, "_slot").agg(F.count("*").alias("_rows"))
@@ -160,12 +160,12 @@ def sample_conditional(model: ConditionalModel, n: int | None = None, seed: int
     """(key, targets, conditions), one row per condition row, or ``n`` rows in all."""
     rows = model.rows if n is None else materialise(_resampled(model, n, seed), "resampled")
     asks = [
-        F.struct(F.lit(c).alias("_column"), draw_rank(F.col(model.key), c, seed, F.col("size")).alias("rank"))
-        for c in model.target
+        F.struct(F.lit(i).alias("_column"), draw_rank(F.col(model.key), c, seed, F.col("size")).alias("rank"))
+        for i, c in enumerate(model.target)
     ]
     requests = rows.select(F.col(model.key).alias("_key"), "cell", F.inline(F.array(*asks)))
     answered = requests.join(model.donors, ["cell", "rank"])
-    picks = [F.max(F.when(F.col("_column") == c, F.col(c))).alias(c) for c in model.target]
+    picks = [F.max(F.when(F.col("_column") == i, F.col(c))).alias(c) for i, c in enumerate(model.target)]
     targets = answered.groupBy(F.col("_key").alias(model.key)).agg(*picks)
     return assemble_synthetic(targets, rows.select(model.key, *[c for c in model.condition if c not in model.target]), model.key)
 

@@ -459,7 +459,7 @@ MODEL_CTES = [
     """counted AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY c0) AS n0, count(*) OVER (PARTITION BY c1) AS n1, count(*) OVER () AS n2 FROM cells)""",
     """routed AS MATERIALIZED (SELECT *, CASE WHEN n0 >= 20 THEN c0 WHEN n1 >= 20 THEN c1 ELSE c2 END AS cell,
         CASE WHEN n0 >= 20 THEN n0 WHEN n1 >= 20 THEN n1 ELSE n2 END AS size FROM counted)""",
-    f"""donors AS MATERIALIZED (SELECT d.cell, CAST(row_number() OVER (PARTITION BY d.cell ORDER BY md5(id), id) AS BIGINT) AS rank, {', '.join(TARGET)}
+    f"""donors AS MATERIALIZED (SELECT d.cell, CAST(row_number() OVER (PARTITION BY d.cell ORDER BY CAST('0x' || substr(md5(id), 1, 13) AS BIGINT), id) AS BIGINT) AS rank, {', '.join(TARGET)}
         FROM (SELECT c0 AS cell, * EXCLUDE (cell) FROM routed UNION ALL SELECT c1, * EXCLUDE (cell) FROM routed UNION ALL SELECT c2, * EXCLUDE (cell) FROM routed) d
         WHERE d.cell IN (SELECT cell FROM routed))""",
 ]
