@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import near_dedup, sql
+from veilframe.llm import near_dedup, packing, sql
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -17,8 +17,18 @@ def op4_setsketch(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf, "documents"))
 
 
+def op7_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.context_totals(packing.length_histogram(_read(spark, sf, "documents")))
+
+
+def op10_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_read(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_setsketch": op4_setsketch,
+    "op7_length_histogram": op7_length_histogram,
+    "op10_best_fit": op10_best_fit,
 }
 
 ORACLES: dict[str, str] = {
