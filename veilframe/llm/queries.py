@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import near_dedup, packing, sql
+from veilframe.llm import ann, near_dedup, packing, sharding, sql
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op1_block_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf, "embeddings"))
+
+
 def op4_setsketch(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf, "documents"))
 
 
+def op5_hypergeometric(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf, "documents"))
+
+
 def op7_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return packing.context_totals(packing.length_histogram(_read(spark, sf, "documents")))
 
@@ -26,11 +34,14 @@ def op10_best_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_block_join": op1_block_join,
     "op4_setsketch": op4_setsketch,
+    "op5_hypergeometric": op5_hypergeometric,
     "op7_length_histogram": op7_length_histogram,
     "op10_best_fit": op10_best_fit,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_block_join": sql.NEAREST,
     "op4_setsketch": sql.NEAR,
 }

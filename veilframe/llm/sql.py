@@ -21,3 +21,11 @@ least AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept
 FROM sets LEFT JOIN least ON doc_id = node"""
 )
+
+NEAREST = """WITH rows AS (SELECT vec_id AS id, max(CAST(embedding AS DOUBLE[])) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+scored AS (SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v) AS score
+  FROM rows q JOIN rows c ON q.id <> c.id AND len(q.v) = len(c.v) WHERE q.id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20"""
