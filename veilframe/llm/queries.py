@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import ann, near_dedup, packing, sharding, sql
+from veilframe.llm import ann, near_dedup, packing, quality, sharding, sql
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_block_join(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(_read(spark, sf, "embeddings"))
 
 
+def op3_boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
 def op4_setsketch(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf, "documents"))
 
@@ -35,6 +39,7 @@ def op10_best_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_join": op1_block_join,
+    "op3_boosted_trees": op3_boosted_trees,
     "op4_setsketch": op4_setsketch,
     "op5_hypergeometric": op5_hypergeometric,
     "op7_length_histogram": op7_length_histogram,
