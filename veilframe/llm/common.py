@@ -72,22 +72,24 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Each batch in slices of about ``SLICE_BYTES``: the rows, their bytes, the offsets of the texts."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch in slices of about ``limit`` bytes: the rows, their bytes, the offsets of the texts."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = packed(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of the words ``[^\\x20\\x09-\\x0D]+``; no word spans two texts."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the runs without separators (``[^\\x20\\x09-\\x0D]+``); none spans two texts."""
+    inside = ~between[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
     cuts = offsets[1:-1]

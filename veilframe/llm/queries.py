@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import ann, near_dedup, packing, quality, sharding, sql
+from veilframe.llm import ann, decontaminate, near_dedup, packing, pii, quality, sharding, sql
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_block_join(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(_read(spark, sf, "embeddings"))
 
 
+def op2_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
 def op3_boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
 
@@ -29,6 +33,10 @@ def op5_hypergeometric(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(_read(spark, sf, "documents"))
 
 
+def op6_lstm_crf(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf, "documents"))
+
+
 def op7_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return packing.context_totals(packing.length_histogram(_read(spark, sf, "documents")))
 
@@ -39,9 +47,11 @@ def op10_best_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_join": op1_block_join,
+    "op2_string_tiling": op2_string_tiling,
     "op3_boosted_trees": op3_boosted_trees,
     "op4_setsketch": op4_setsketch,
     "op5_hypergeometric": op5_hypergeometric,
+    "op6_lstm_crf": op6_lstm_crf,
     "op7_length_histogram": op7_length_histogram,
     "op10_best_fit": op10_best_fit,
 }
