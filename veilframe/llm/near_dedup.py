@@ -7,9 +7,9 @@ likelihood of the registers' order gives an estimate of the similarity, and what
 full sets.
 
 Documents with equal sets are one class from the start. Candidates of a bucket are first compared with the bucket's
-smallest class only; the linked ones are joined into components, and only pairs of a bucket that still lie in different
-components are compared with one another. So a group of copies costs its size and not its square, and no link is lost
-that could join two components.
+smallest class only, and the linked ones are joined into components. Members of a bucket that still lie in different
+components are then compared with one another on their full sets, in chunks, and a task returns no more links than join
+components. So a group of copies costs its size and not its square, and no link is lost that could join two components.
 """
 
 from __future__ import annotations
@@ -201,6 +201,86 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * common >= percent * (F.size("ka") + F.size("kb") - common)).select("a", "b")
 
 
+CHUNK = 512
+SLAB = 4096
+
+
+def forest(labels: list, keys: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different labels, as few as join the labels that links join.
+
+    Intersections of all pairs are products of 0/1 rows over the shingles that two members share, a slab of shingles at a time.
+    """
+    sizes = np.array([len(k) for k in keys])
+    shingle, spot, often = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[spot]
+    owner = np.repeat(np.arange(len(keys)), sizes)[column >= 0]
+    column = column[column >= 0]
+    common = np.zeros((len(keys), len(keys)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, SLAB):
+        inside = (column >= at) & (column < at + SLAB)
+        rows = np.zeros((len(keys), SLAB), np.float32)
+        rows[owner[inside], column[inside] - at] = 1
+        common += rows @ rows.T
+    linked = np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1)
+    root = {x: x for x in labels}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        a, b = top(labels[i]), top(labels[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and lie in different components, enough to join those components.
+
+    A bucket's members are compared on their full sets in chunks; chunks that hold only the bucket's most frequent component
+    are not compared with one another, so that a large group costs its size times the few that are not in it. No pair leaves
+    a task unless it is a link that joins something.
+    """
+    labelled = members.join(labels, members["digest"] == labels["node"], "left").select("bucket", "digest", F.coalesce("component", "digest").alias("label"))
+    counts = labelled.groupBy("bucket", "label").count()
+    split = (
+        counts.groupBy("bucket")
+        .agg(F.count("*").alias("labels"), F.sum("count").alias("all"), F.max(F.struct("count", "label")).alias("most"))
+        .where("labels > 1")
+        .select("bucket", F.col("most.label").alias("main"), F.col("most.count").alias("inner"), (F.col("all") - F.col("most.count")).alias("outer"))
+    )
+    part = lambda n: F.ceil(F.col(n) / (CHUNK // 2)).cast("long")
+    small = F.col("inner") + F.col("outer") <= CHUNK
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    mine = lambda n: F.pmod(F.xxhash64("digest"), part(n))
+    cell = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    cells = (
+        F.when(small, F.array(cell(F.lit(0), F.lit(0))))
+        .when(F.col("label") == F.col("main"), F.transform(numbers(part("outer")), lambda o: cell(o, part("outer") + mine("inner"))))
+        .otherwise(
+            F.concat(
+                F.transform(numbers(part("outer")), lambda o: cell(F.least(o, mine("outer")), F.greatest(o, mine("outer")))),
+                F.transform(numbers(part("inner")), lambda i: cell(mine("outer"), part("outer") + i)),
+            )
+        )
+    )
+    open_ = labelled.join(split, "bucket").select("bucket", "digest", "label", F.explode(cells).alias("cell")).select("bucket", "digest", "label", "cell.*")
+    held = materialise(open_, "open").join(sets, "digest").select("bucket", "x", "y", "digest", "label", "keys")
+
+    def compare(group: pa.Table) -> pa.Table:
+        digests, labels = group["digest"].to_pylist(), group["label"].to_pylist()
+        found = []
+        if len(set(labels)) > 1:
+            found = forest(labels, [k.values.to_numpy().view(U64) for k in group["keys"]], percent)
+        return pa.table({"a": pa.array([digests[i] for i, _ in found], pa.binary()), "b": pa.array([digests[j] for _, j in found], pa.binary())})
+
+    return held.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -225,26 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialise(members.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct(), "stars")
     links = materialise(verified(estimated(stars, classes, margin), sets, percent), "links")
     first = components(links, "components")
-
-    # Pairs that share a bucket and are not yet in one component.
-    labelled = members.join(first, members["digest"] == first["node"], "left").select(
-        "bucket", "digest", F.coalesce("component", "digest").alias("label")
-    )
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    signed = signatures(classes)
-    open_ = materialise(labelled.join(split.select("bucket"), "bucket").join(signed, "digest"), "open")
-    left, right = (open_.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "s0", "s1")]) for x in "ab")
-    apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    pairs = (
-        left.join(right, "bucket")
-        .where("digest_a < digest_b AND label_a <> label_b")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .where(apart <= most_apart(percent / 100))
-        .select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = verified(estimated(pairs, classes, margin), sets, percent)
+    more = cross_links(members.select("bucket", "digest"), first, sets, percent)
     final = components(links.unionByName(more), "components")
 
     named = classes.join(final, classes["digest"] == final["node"], "left").select(
@@ -255,25 +316,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = table.drop("registers").join(names, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def signatures(classes: DataFrame) -> DataFrame:
-    """digest, n and a bit of each register's hash in two longs: equal registers agree, others do by half."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-                bits = np.packbits((mixed(registers.astype(U64) + U64(GOLDEN)) & U64(1)).astype(bool), axis=1)
-                halves = bits.reshape(batch.num_rows, 2, 8).copy().view(np.int64)[:, :, 0]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["digest", "n", "s0", "s1"]
-                )
-
-    return arrow_map(classes.select("digest", "n", "registers"), make, "digest binary, n long, s0 long, s1 long")
-
-
-def most_apart(similarity: float) -> int:
-    """Bits in which two sets of that similarity hardly ever differ by more: mean and five deviations."""
-    p = (1 - similarity) / 2
-    return math.ceil(REGISTERS * p + 5 * math.sqrt(REGISTERS * p * (1 - p)))
