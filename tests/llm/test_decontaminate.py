@@ -45,7 +45,7 @@ def test_tiles_agree_with_plain_tiling():
         assert d.tiles(item, text) == plain_tiles(item.tolist(), text.tolist())
 
 
-def brute(docs, items, coverage=0.6):
+def brute(docs, items, coverage=0.5):
     out = set()
     for doc_id, text, *_ in docs:
         for item_id, passage in items:

@@ -23,7 +23,7 @@ from veilframe.llm.common import U64, arrow_map, gram_hashes, may_hold, membersh
 from veilframe.session import materialise
 
 SEED = 3
-COVERAGE = 0.6
+COVERAGE = 0.5
 
 #: Tokens are runs of ASCII letters and digits and of characters beyond ASCII.
 BETWEEN = np.ones(256, bool)
