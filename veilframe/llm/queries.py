@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import ann, decontaminate, lines, near_dedup, packing, pii, quality, sharding, sql
+from veilframe.llm import ann, decontaminate, lines, near_dedup, packing, pii, quality, sharding, sql, substrings
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return packing.context_totals(packing.length_histogram(_read(spark, sf, "documents")))
 
 
+def op8_gear_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.repeated_spans(_read(spark, sf, "documents"))
+
+
 def op9_set_join(spark: SparkSession, sf: str) -> DataFrame:
     return lines.similar_lines(_read(spark, sf, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hypergeometric": op5_hypergeometric,
     "op6_lstm_crf": op6_lstm_crf,
     "op7_length_histogram": op7_length_histogram,
+    "op8_gear_chunks": op8_gear_chunks,
     "op9_set_join": op9_set_join,
     "op10_best_fit": op10_best_fit,
 }
