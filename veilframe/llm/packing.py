@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import arrow_map, pick, slices
-from veilframe.llm.tokens import Encoder, default_vocabulary
+from veilframe.llm.common import arrow_map, pick
+from veilframe.llm.tokens import Encoder, default_vocabulary, encoder_slices
 from veilframe.operators.ordered import with_row_index
 from veilframe.session import materialise
 
@@ -84,7 +84,7 @@ def token_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) -
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in encoder_slices(batches):
             ids, counts = encoder.encode(data, offsets)
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id).astype("<u4")
@@ -137,7 +137,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str |
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(path), {}
-        for _, data, offsets in slices(batches):
+        for _, data, offsets in encoder_slices(batches):
             for length, count in zip(*(x.tolist() for x in np.unique(encoder.counts(data, offsets), return_counts=True))):
                 seen[length] = seen.get(length, 0) + count
         if seen:
