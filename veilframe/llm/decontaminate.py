@@ -106,7 +106,7 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def covered_tokens(docs: DataFrame, held, least: int) -> DataFrame:
-    """doc_id, tokens (those in runs that the bit set may hold, runs parted by 0), seeds: documents with ``least`` such tokens."""
+    """doc_id, text_hash, tokens (those in runs that the bit set may hold, runs parted by 0), seeds: documents with ``least`` such tokens."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
@@ -134,31 +134,33 @@ def covered_tokens(docs: DataFrame, held, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0).take(pa.array(taken)),
+                    rows.column(1).take(pa.array(taken)),
                     ragged(spread.view(np.int64), counts, pa.int64()),
                     ragged(np.concatenate(seeds).view(np.int64), np.array([len(seeds[t]) for t in taken]), pa.int64()),
                 ],
-                ["doc_id", "tokens", "seeds"],
+                ["doc_id", "text_hash", "tokens", "seeds"],
             )
 
-    return arrow_map(docs, make, "doc_id long, tokens array<bigint>, seeds array<bigint>")
+    return arrow_map(docs, make, "doc_id long, text_hash long, tokens array<bigint>, seeds array<bigint>")
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE
 ) -> DataFrame:
-    """doc_id, item_id, item_tokens, matched_tokens, coverage, n_tiles, reordered: a row for each item found in a document.
+    """doc_id, item_id, item_tokens, matched_tokens, coverage, n_tiles, reordered, text_hash: a row for each item found in a document.
 
     An item is found if tiles cover ``coverage`` of its tokens or more; ``reordered`` says whether tiles come in another order
     than in the item. Tokens ignore the case of A-Z and everything that is no letter or digit. Null and empty texts, and items
     of fewer than three tokens, match nothing. Rows that repeat give one row; rows without an id are one document without an
     id for each distinct content. Other columns play no part. An empty table gives an empty result.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     items = pick(benchmark, item_id=item_col, text=item_text_col).withColumn("item_id", F.col("item_id").cast("long"))
     items = materialise(item_table(items).where(F.size("seeds") > 0).distinct().withColumn("item", F.xxhash64("item_id", "tokens")), "items")
     held = membership(items.select(F.explode("seeds").alias("seed")), "seed")
     shortest = items.agg(F.min(F.size("tokens"))).first()[0] or 1
-    found = materialise(covered_tokens(docs, held, math.ceil(coverage * shortest)).distinct().withColumn("row", F.xxhash64("doc_id", "tokens")), "covered")
+    found = materialise(covered_tokens(docs, held, math.ceil(coverage * shortest)).distinct().withColumn("row", F.xxhash64("doc_id", "text_hash")), "covered")
 
     seeds = items.select("item", F.size("tokens").alias("n"), F.posexplode("seeds").alias("at", "seed"))
     touched = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + SEED - 1)))))
@@ -170,21 +172,22 @@ def contaminated(
         .where(touched(F.col("at")) >= coverage * F.col("n"))
         .select("row", "item")
     )
-    both = pairs.join(found.select("row", "doc_id", F.col("tokens").alias("text")), "row").join(items.select("item", "item_id", "tokens"), "item")
+    both = pairs.join(found.select("row", "doc_id", "text_hash", F.col("tokens").alias("text")), "row").join(items.select("item", "item_id", "tokens"), "item")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
-                text, item = (batch.column(c)[row].values.to_numpy().view(U64) for c in (2, 3))
+                text, item = (batch.column(c)[row].values.to_numpy().view(U64) for c in (3, 4))
                 placed = sorted(tiles(item, text))
                 matched = sum(n for _, _, n in placed)
                 if matched >= coverage * len(item):
                     order = [j for _, j, _ in placed]
-                    out.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), len(item), matched, matched / len(item), len(placed), order != sorted(order)))
-            names = ["doc_id", "item_id", "item_tokens", "matched_tokens", "coverage", "n_tiles", "reordered"]
-            kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.bool_()]
+                    ids = [batch.column(c)[row].as_py() for c in range(3)]
+                    out.append((*ids[:2], len(item), matched, matched / len(item), len(placed), order != sorted(order), ids[2]))
+            names = ["doc_id", "item_id", "item_tokens", "matched_tokens", "coverage", "n_tiles", "reordered", "text_hash"]
+            kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
-    schema = "doc_id long, item_id long, item_tokens long, matched_tokens long, coverage double, n_tiles long, reordered boolean"
-    return arrow_map(both.select("doc_id", "item_id", "text", "tokens"), tile, schema).distinct()
+    schema = "doc_id long, item_id long, item_tokens long, matched_tokens long, coverage double, n_tiles long, reordered boolean, text_hash long"
+    return arrow_map(both.select("doc_id", "item_id", "text_hash", "text", "tokens"), tile, schema).distinct()

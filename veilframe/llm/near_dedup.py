@@ -119,7 +119,7 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def sketch_table(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, digest of the set (null without words), registers."""
+    """doc_id, text_hash, n, digest of the set (null without words), registers."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
@@ -127,11 +127,11 @@ def sketch_table(docs: DataFrame, size: int) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(counts)])
             digests = [_digest(keys[at[t] : at[t + 1]]) if counts[t] else None for t in range(len(counts))]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), fixed_binary(sketches(keys, counts))],
-                ["doc_id", "n", "digest", "registers"],
+                [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), fixed_binary(sketches(keys, counts))],
+                ["doc_id", "text_hash", "n", "digest", "registers"],
             )
 
-    return arrow_map(docs, make, "doc_id long, n long, digest binary, registers binary")
+    return arrow_map(docs, make, "doc_id long, text_hash long, n long, digest binary, registers binary")
 
 
 def band_table(classes: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of ``docs``.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; a component is what links
     reach, named by its smallest id, and the document of that id is kept. A text without words (null, empty, white space)
@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the same id and similar texts all are kept. A null id counts only where no other id is in the component; then the
     component is null. Other columns play no part. An empty table gives an empty result.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     table = materialise(sketch_table(docs, shingle), "sketches")
     classes = materialise(
         table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("registers").alias("registers")),
@@ -299,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = band_table(classes)
     buckets = bands.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = materialise(bands.join(buckets, "bucket").select("bucket", "digest", "leader"), "members")
-    sets = materialise(set_table(docs, members.select("digest").distinct(), shingle), "sets")
+    sets = materialise(set_table(docs.select("text"), members.select("digest").distinct(), shingle), "sets")
 
     margin = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
     stars = materialise(members.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct(), "stars")
@@ -315,4 +316,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = named.join(lowest, "component").select("digest", "component_id")
     placed = table.drop("registers").join(names, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")

@@ -203,3 +203,13 @@ def score_quality(
             )
 
     return arrow_map(docs.select("doc_id", held.alias("held_out"), "text"), make, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns, in one scan and no shuffle."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in slices(batches, text_col):
+            yield rows.filter(pa.array(model.scores(statistics(data, offsets)) >= threshold))
+
+    return docs.mapInArrow(make, docs.schema)
