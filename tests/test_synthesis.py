@@ -54,6 +54,20 @@ def test_small_cells_back_off(spark):
     assert all(n == high == distinct and low == 1 for _, n, low, high, distinct in ranks)
 
 
+def test_no_row_is_lost_to_its_key(spark):
+    """Null and repeated keys: a row for each row, dense ranks in every cell, no empty draw."""
+    data = [(None if i % 3 == 0 else f"k{i % 40}", "F" if i % 2 else "M", "a", f"v{i}") for i in range(150)]
+    df = spark.createDataFrame(data, "id string, gender string, age_group string, t string")
+    model = G.fit_conditional(df.repartition(7), "id", ["gender", "age_group"], ["t"], min_cell=10)
+    out = G.sample_conditional(model)
+    assert rows(out, "id", "gender", "age_group") == rows(df, "id", "gender", "age_group")
+    assert out.filter("t IS NULL").count() == 0
+    ranks = rows(model.donors.groupBy("cell").agg(F.count("*"), F.min("rank"), F.max("rank"), F.count_distinct("rank")))
+    assert all(n == high == distinct and low == 1 for _, n, low, high, distinct in ranks) and sum(r[1] for r in ranks) == 150
+    again = G.sample_conditional(G.fit_conditional(df.repartition(2), "id", ["gender", "age_group"], ["t"], min_cell=10))
+    assert rows(out) == rows(again)
+
+
 def test_any_number_of_rows(spark, aged):
     model = G.fit_conditional(aged, "id", CONDITION, TARGET)
     for n in (0, 7, 4_000):

@@ -5,8 +5,9 @@ own from the rows of the cell, so a synthetic row keeps its condition values, fo
 distribution of each target, and does not repeat one original tuple of quasi-identifiers. Cells with
 too few rows fall back to the age group, then to the whole table.
 
-Draws depend on row keys and the seed only. Finding "the r-th row of the cell" is an equi-join on
-(cell, rank), and ranks are numbered per hash slot of a cell, so no cell ever sits in one task.
+Rows are told apart by a dense index in the order of the key and then of all columns used, so that null and
+repeated keys keep their rows. Draws depend on that index and the seed only. Finding "the r-th row of the cell"
+is an equi-join on (cell, rank), and ranks are numbered per hash slot of a cell, so no cell ever sits in one task.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from veilframe.operators.roles import assign_roles
 from veilframe.schema import PERSON_SCHEMA, find_column, numeric_columns, require
 from veilframe.session import materialise
 
+ROW = "_row"
 BINS = 10
 MIN_CELL = 20
 NULL_TEXT = "?"
@@ -38,7 +40,7 @@ NULL_TEXT = "?"
 
 @dataclass(frozen=True)
 class ConditionalModel:
-    """``rows``: (key, condition columns, cell, size). ``donors``: (cell, rank, target columns)."""
+    """``rows``: (row index, key, condition columns, cell, size). ``donors``: (cell, rank, target columns)."""
 
     key: str
     condition: tuple[str, ...]
@@ -61,12 +63,12 @@ def _routes(sizes: DataFrame, min_cell: int) -> DataFrame:
     coarser cells. Works on the stored cell counts only."""
     middle = sizes.groupBy("_c1").agg(F.sum("_n0").alias("_n1"))
     whole = sizes.groupBy("_c2").agg(F.sum("_n0").alias("_n2"))
-    routed = sizes.join(middle, "_c1").join(whole, "_c2")
+    routed = sizes.join(middle, "_c1").join(F.broadcast(whole), "_c2")  # one row
     level = F.when(F.col("_n0") >= min_cell, 0).when(F.col("_n1") >= min_cell, 1).otherwise(2)
     routed = routed.withColumn("_level", level)
     gives = [routed.groupBy(f"_c{i}").agg(F.max((F.col("_level") == i).cast("int")).alias(f"_gives{i}")) for i in (1, 2)]
     return (
-        routed.join(gives[0], "_c1").join(gives[1], "_c2")
+        routed.join(gives[0], "_c1").join(F.broadcast(gives[1]), "_c2")
         .select(
             "_c0",
             F.when(F.col("_level") == 0, F.col("_c0")).when(F.col("_level") == 1, F.col("_c1")).otherwise(F.col("_c2")).alias("cell"),
@@ -106,7 +108,7 @@ def fit_conditional(
     slots: int | None = None,
     store: bool = True,
 ) -> ConditionalModel:
-    """Learn p(target | condition). ``key`` is unique per row; draws and ranks are hashed from it.
+    """Learn p(target | condition). ``key`` names rows in the result; it may be null or repeat.
 
     ``store=False`` leaves the donor table unwritten, for a model that is sampled once.
     """
@@ -123,6 +125,7 @@ def fit_conditional(
         return F.concat_ws("|", F.lit(str(level)), *[_cell_text(df, c, edges) for c in cols])
 
     base = df.select(key, *condition, *[c for c in target if c not in condition])
+    base = with_row_index(base, base.columns, ROW)
     cells = base.withColumns({"_c0": cell(0, condition), "_c1": cell(1, middle), "_c2": cell(2, [])})
     sizes = materialise(cells.groupBy("_c0", "_c1", "_c2").agg(F.count("*").alias("_n0")), "cells")
     routes = materialise(_routes(sizes, min_cell), "routes")
@@ -132,53 +135,61 @@ def fit_conditional(
         F.array(*[F.when(F.col(f"_gives{i}"), F.col(f"_c{i}")) for i in range(3)]), lambda c: c.isNotNull()
     )
     stored = materialise(routed.select(*base.columns, "cell", "size", gives.alias("_cells")), "routed")
-    donors = stored.select(key, *target, F.explode("_cells").alias("_cell"))
-    donors = ranked(donors, "_cell", key, slots).select(F.col("_cell").alias("cell"), "rank", *target)
+    donors = stored.select(ROW, *target, F.explode("_cells").alias("_cell"))
+    donors = ranked(donors, "_cell", ROW, slots).select(F.col("_cell").alias("cell"), "rank", *target)
     return ConditionalModel(
         key,
         tuple(condition),
         tuple(target),
-        stored.select(key, *condition, "cell", "size"),
+        stored.select(ROW, key, *condition, "cell", "size"),
         materialise(donors, "donors") if store else donors,
     )
 
 
 def _resampled(model: ConditionalModel, n: int, seed: int) -> DataFrame:
-    """``n`` condition rows drawn with replacement; the draw number becomes the key."""
+    """``n`` condition rows drawn with replacement; the draw number becomes row index and key."""
     spark = model.rows.sparkSession
-    indexed = materialise(with_row_index(model.rows, [model.key], "_row"), "indexed")
-    total = indexed.count()
+    total = model.rows.count()
     if not total:
         return model.rows
-    draws = spark.range(n).select(
-        F.col("id").alias("_draw"), F.floor(uniform(F.col("id"), "row", seed) * F.lit(total)).alias("_row")
-    )
-    return draws.join(indexed, "_row").drop("_row", model.key).withColumnRenamed("_draw", model.key)
+    draws = spark.range(n).select(F.col("id").alias("_draw"), F.floor(uniform(F.col("id"), "row", seed) * F.lit(total)).alias(ROW))
+    return draws.join(model.rows.drop(model.key), ROW).withColumn(ROW, F.col("_draw")).withColumnRenamed("_draw", model.key)
 
 
 def sample_conditional(model: ConditionalModel, n: int | None = None, seed: int = 42) -> DataFrame:
     """(key, targets, conditions), one row per condition row, or ``n`` rows in all."""
+    return _sampled(model, n, seed).drop(ROW)
+
+
+def _sampled(model: ConditionalModel, n: int | None, seed: int) -> DataFrame:
     rows = model.rows if n is None else materialise(_resampled(model, n, seed), "resampled")
     asks = [
-        F.struct(F.lit(i).alias("_column"), draw_rank(F.col(model.key), c, seed, F.col("size")).alias("rank"))
+        F.struct(F.lit(i).alias("_column"), draw_rank(F.col(ROW), c, seed, F.col("size")).alias("rank"))
         for i, c in enumerate(model.target)
     ]
-    requests = rows.select(F.col(model.key).alias("_key"), "cell", F.inline(F.array(*asks)))
-    answered = requests.join(model.donors, ["cell", "rank"])
+    requests = rows.select(ROW, "cell", F.inline(F.array(*asks)))
+    # A rank is at most the size of its cell, and every rank has a donor.
+    answered = requests.join(model.donors, ["cell", "rank"], "left")
     picks = [F.max(F.when(F.col("_column") == i, F.col(c))).alias(c) for i, c in enumerate(model.target)]
-    targets = answered.groupBy(F.col("_key").alias(model.key)).agg(*picks)
-    return assemble_synthetic(targets, rows.select(model.key, *[c for c in model.condition if c not in model.target]), model.key)
+    targets = answered.groupBy(ROW).agg(*picks)
+    conditions = rows.select(ROW, model.key, *[c for c in model.condition if c not in model.target])
+    kept = [c for c in conditions.columns if c not in (ROW, model.key)]
+    return assemble_synthetic(targets, conditions, ROW).select(ROW, model.key, *model.target, *kept)
 
 
 def assemble_synthetic(targets: DataFrame, conditions: DataFrame, key: str) -> DataFrame:
-    """Drawn targets next to the preserved conditions of the same row."""
-    return targets.join(conditions, key)
+    """Drawn targets next to the preserved conditions of the same row; ``key`` is unique, and may be null once."""
+    others = conditions.withColumnRenamed(key, "_other")
+    return targets.join(others, F.col(key).eqNullSafe(F.col("_other"))).drop("_other")
 
 
 def synthetic_identities(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Made-up identifiers numbered by a dense index in key order; replaces ``key``."""
-    indexed = with_row_index(df, [key], "_row").drop(key)
-    row = F.col("_row")
+    """Made-up identifiers numbered by a dense index in the order of the key, then of the other columns; replaces ``key``."""
+    return _identified(with_row_index(df, [key, *[c for c in df.columns if c != key]], ROW).drop(key), seed)
+
+
+def _identified(indexed: DataFrame, seed: int) -> DataFrame:
+    row = F.col(ROW)
     ssn = F.concat_ws(
         "-",
         draw_int(row, "ssn-area", seed, 100, 999).cast("string"),
@@ -194,7 +205,7 @@ def synthetic_identities(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
             "ADDRESS": F.lit(ADDRESS_REDACTED),
         }
     )
-    return redact(named.drop("_row"))
+    return redact(named.drop(ROW))
 
 
 def conform(df: DataFrame, schema: T.StructType = PERSON_SCHEMA) -> DataFrame:
@@ -216,9 +227,9 @@ def synthesise(
     bins: int = BINS,
     min_cell: int = MIN_CELL,
 ) -> DataFrame:
-    """A synthetic person table in the canonical layout from a raw person table."""
+    """A synthetic person table in the canonical layout from a raw person table: a row for each row, whatever its key."""
     (key,) = require(df, [key])
     aged = generalise_birthdate(df, as_of)
     condition, target = feature_names(aged, assign_roles(aged))
     model = fit_conditional(aged, key, condition, target, bins=bins, min_cell=min_cell, store=False)
-    return conform(synthetic_identities(sample_conditional(model, n, seed), key, seed))
+    return conform(_identified(_sampled(model, n, seed).drop(key), seed))

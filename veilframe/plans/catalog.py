@@ -280,15 +280,21 @@ def synthetic_identities(spark: SparkSession, sf: str) -> DataFrame:
     return named.toDF(*[c.lower() for c in named.columns])
 
 
+def _named(df: DataFrame) -> DataFrame:
+    return rounded(dated(df)).toDF(*[c.lower() for c in df.columns])
+
+
 def conform(spark: SparkSession, sf: str) -> DataFrame:
-    laid_out = synthesis.conform(wide(spark, sf))
-    return laid_out.select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c.lower()) for c in laid_out.columns if c not in ("LAT", "LON", "HEALTHCARE_EXPENSES", "HEALTHCARE_COVERAGE")])
+    return _named(synthesis.conform(wide(spark, sf)))
 
 
 def synthesise(spark: SparkSession, sf: str) -> DataFrame:
-    done = synthesis.synthesise(person(spark, sf), AS_OF)
-    kept = ["Id", "SSN", "FIRST", "LAST", "RACE", "GENDER", "ADDRESS", "CITY", "STATE", "ZIP", "HEALTHCARE_EXPENSES", "HEALTHCARE_COVERAGE"]
-    return rounded(done.select([F.col(c).alias(c.lower()) for c in kept]))
+    return _named(synthesis.synthesise(person(spark, sf), AS_OF))
+
+
+def synthesise_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """From a table whose ids are missing or repeat."""
+    return _named(synthesis.synthesise(variant(spark, sf, views.LOOSE_PERSON_SQL), AS_OF))
 
 
 def anonymise(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,6 +392,7 @@ QUERIES: dict[str, Query] = {
     "synthetic_identities": synthetic_identities,
     "conform": conform,
     "synthesise": synthesise,
+    "synthesise_gaps": synthesise_gaps,
     # chart data
     "histogram": lambda s, sf: rounded(charts.histogram(pair(s, sf), "healthcare_expenses")),
     "histogram_events": lambda s, sf: rounded(charts.histogram({"events": events(s, sf)}, "value", bins=50)),

@@ -450,16 +450,18 @@ def bins(c: str) -> str:
     return f"coalesce(CAST(list_sum(list_transform((SELECT quantile_cont({c}, {edges}) FROM aged), lambda e: CAST({c} > e AS INT))) AS VARCHAR), '?')"
 
 
+#: Rows are numbered by id, then by the other columns in the order in which the model takes them.
+ROW_ORDER = ", ".join(f"{c} NULLS FIRST" for c in ("id", *CONDITION, *TARGET))
 MODEL_CTES = [
     AGED_CTE,
     f"""binned AS MATERIALIZED (SELECT *, {bins('healthcare_expenses')} AS bin_e,
         CASE WHEN healthcare_coverage IS NULL THEN '?' ELSE {bins('healthcare_coverage')} END AS bin_c FROM aged)""",
-    """cells AS MATERIALIZED (SELECT *, '0|' || coalesce(gender, '?') || '|' || bin_e || '|' || bin_c || '|' || coalesce(age_group, '?') AS c0,
-        '1|' || coalesce(age_group, '?') AS c1, '2' AS c2 FROM binned)""",
+    f"""cells AS MATERIALIZED (SELECT *, '0|' || coalesce(gender, '?') || '|' || bin_e || '|' || bin_c || '|' || coalesce(age_group, '?') AS c0,
+        '1|' || coalesce(age_group, '?') AS c1, '2' AS c2, row_number() OVER (ORDER BY {ROW_ORDER}) - 1 AS n FROM binned)""",
     """counted AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY c0) AS n0, count(*) OVER (PARTITION BY c1) AS n1, count(*) OVER () AS n2 FROM cells)""",
     """routed AS MATERIALIZED (SELECT *, CASE WHEN n0 >= 20 THEN c0 WHEN n1 >= 20 THEN c1 ELSE c2 END AS cell,
         CASE WHEN n0 >= 20 THEN n0 WHEN n1 >= 20 THEN n1 ELSE n2 END AS size FROM counted)""",
-    f"""donors AS MATERIALIZED (SELECT d.cell, CAST(row_number() OVER (PARTITION BY d.cell ORDER BY CAST('0x' || substr(md5(id), 1, 13) AS BIGINT), id) AS BIGINT) AS rank, {', '.join(TARGET)}
+    f"""donors AS MATERIALIZED (SELECT d.cell, CAST(row_number() OVER (PARTITION BY d.cell ORDER BY CAST('0x' || substr(md5(CAST(n AS VARCHAR)), 1, 13) AS BIGINT), n) AS BIGINT) AS rank, {', '.join(TARGET)}
         FROM (SELECT c0 AS cell, * EXCLUDE (cell) FROM routed UNION ALL SELECT c1, * EXCLUDE (cell) FROM routed UNION ALL SELECT c2, * EXCLUDE (cell) FROM routed) d
         WHERE d.cell IN (SELECT cell FROM routed))""",
 ]
@@ -475,12 +477,12 @@ def sampled_cte(source: str, key: str, seed: int) -> str:
     conditions = ", ".join(f"s.{c} AS {c}" for c in CONDITION)
     return f"""requests AS MATERIALIZED ({requests}),
   drawn AS MATERIALIZED (SELECT {key}, {picks} FROM requests JOIN donors USING (cell, rank) GROUP BY {key}),
-  sampled AS (SELECT d.*, {conditions} FROM drawn d JOIN {source} s USING ({key}))"""
+  sampled AS (SELECT d.*{", s.id" if key == "n" else ""}, {conditions} FROM drawn d JOIN {source} s USING ({key}))"""
 
 
 SAMPLE_COLS = ", ".join([*TARGET, "gender", f"{r('healthcare_expenses')} AS healthcare_expenses", f"{r('healthcare_coverage')} AS healthcare_coverage", "age_group"])
 RESAMPLED_CTES = [
-    "indexed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) - 1 AS row_index FROM routed)",
+    "indexed AS MATERIALIZED (SELECT * EXCLUDE (n), n AS row_index FROM routed)",
     f"""resampled AS MATERIALIZED (SELECT d.draw, i.* EXCLUDE (id) FROM
         (SELECT i AS draw, CAST(floor({unit('CAST(i AS VARCHAR)', 'row', 7)} * (SELECT count(*) FROM routed)) AS BIGINT) AS row_index
          FROM range(0, CAST((SELECT 2 * count(*) FROM routed) AS BIGINT)) g(i)) d JOIN indexed i USING (row_index))""",
@@ -559,6 +561,23 @@ def onehot(c: str, levels: list[str]) -> str:
     return ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for v in levels)
 
 
+PERSON_NAMES = [c.lower() for c in PERSON_COLUMNS]
+
+
+def plain_value(c: str) -> str:
+    return r(c) if c in ("lat", "lon", *MONEY) else f"CAST({c} AS VARCHAR)" if c == "birthdate" else c
+
+
+def synthesised_sql(people: str | None = None) -> str:
+    """All columns of the synthetic table: drawn and preserved ones, made-up identities, nulls for what the input lacks."""
+    drawn = {c: plain_value(c) for c in (*CONDITION, *TARGET) if c in PERSON_NAMES}
+    columns = ", ".join(f"{ {**drawn, **IDENTITIES}.get(c, 'NULL') } AS {c}" for c in PERSON_NAMES)
+    ctes = [*MODEL_CTES, sampled_cte("routed", "n", 42)]
+    if not people:
+        return with_views(f"SELECT {columns} FROM sampled", *ctes)
+    return f"WITH {', '.join([f'whole AS ({views.PERSON_SQL})', f'person AS ({people.replace("FROM person", "FROM whole")})', *ctes])} SELECT {columns} FROM sampled"
+
+
 def oracles() -> dict[str, str]:
     gm = ["gender", "marital"]
     keyed_row = {**MASKS, **REDACTIONS, "id": keyed("id")}
@@ -706,28 +725,17 @@ def oracles() -> dict[str, str]:
         "validate": validate_sql(),
         "anonymise_no_synthesis": anonymise_no_synthesis_sql(),
         "fit_conditional": with_views("SELECT * FROM donors", *MODEL_CTES),
-        "sample_conditional": with_views(f"SELECT id, {SAMPLE_COLS} FROM sampled", *MODEL_CTES, sampled_cte("routed", "id", 42)),
+        "sample_conditional": with_views(f"SELECT id, {SAMPLE_COLS} FROM sampled", *MODEL_CTES, sampled_cte("routed", "n", 42)),
         "sample_conditional_n": with_views(f"SELECT draw, {SAMPLE_COLS} FROM sampled", *MODEL_CTES, *RESAMPLED_CTES, sampled_cte("resampled", "draw", 7)),
         "assemble_synthetic": with_views("SELECT id, zip, race, gender FROM person"),
         "synthetic_identities": with_views(
             f"SELECT gender, 'DRIVERS_Redacted' AS drivers, 'LAT_Redacted' AS lat, {', '.join(f'{e} AS {c}' for c, e in IDENTITIES.items())} FROM (SELECT gender, row_number() OVER (ORDER BY id) - 1 AS n FROM person)"
         ),
         "conform": with_views(
-            "SELECT {} FROM wide".format(
-                ", ".join(
-                    f"coalesce(CAST({c.lower()} AS VARCHAR), '') AS {c.lower()}" if c.lower() in WIDE else f"'' AS {c.lower()}"
-                    for c in PERSON_COLUMNS
-                    if c.lower() not in ("lat", "lon", *MONEY)
-                )
-            ),
-            WIDE_CTE,
-        ),
-        "synthesise": with_views(
-            f"""SELECT {', '.join(f'{e} AS {c}' for c, e in IDENTITIES.items())}, race, gender, city, state, zip,
-            {r('healthcare_expenses')} AS healthcare_expenses, {r('healthcare_coverage')} AS healthcare_coverage
-            FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM sampled)""",
-            *MODEL_CTES, sampled_cte("routed", "id", 42),
+            "SELECT {} FROM wide".format(", ".join(f"{plain_value(c)} AS {c}" if c in WIDE else f"NULL AS {c}" for c in PERSON_NAMES)), WIDE_CTE
         ),
+        "synthesise": synthesised_sql(),
+        "synthesise_gaps": synthesised_sql(views.LOOSE_PERSON_SQL),
         "histogram": histogram_sql("pair", "healthcare_expenses", 20, SHIFTED_CTE, PAIR_CTE),
         "histogram_events": histogram_sql("series_events", "value", 50, EVENTS_CTE),
         "density_histogram": density_sql(),

@@ -53,6 +53,13 @@ SELECT * FROM person UNION ALL SELECT * FROM person WHERE last LIKE '%7'
 """
 
 
+# Ids that are missing or repeat, as far as the rows of a table may have them.
+LOOSE_PERSON_SQL = """
+SELECT CASE WHEN id LIKE '%7' THEN NULL WHEN id LIKE '%3' THEN 'patient_again' ELSE id END AS id,
+       birthdate, ssn, first, last, address, city, state, zip, race, gender, marital, healthcare_expenses, healthcare_coverage
+FROM person
+"""
+
 # Numeric gaps, a column of one value, an empty text column and a mostly empty date.
 GAPPED_PERSON_SQL = """
 SELECT id, CASE WHEN id LIKE '%0' THEN birthdate END AS birthdate, marital, zip, city, gender,
