@@ -38,10 +38,10 @@ def test_scaling(spark):
 
 @pytest.mark.parametrize("limit", [200_000, 1])
 def test_label_codes_follow_code_points(spark, limit):
-    """With a limit of one level the dense index and the shuffle join are taken."""
+    """With a limit of one byte the shuffle join is taken."""
     values = ["b", "B", "a", "_", "é", None]
     df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "v string, w int")
-    codes = D.fit_encoder(df, ["v", "w"], window_rows=limit)
+    codes = D.fit_encoder(df, ["v", "w"])
     expected = {"B": 0, "_": 1, "a": 2, "b": 3, "nan": 4, "é": 5}
     assert dict(rows(codes.filter("column = 'v'"), "value", "code")) == expected
     out = D.apply_encoder(df.withColumn("raw", F.col("v")), codes, broadcast_bytes=limit)
@@ -60,14 +60,24 @@ def test_parameters_survive_storage(spark, small_person):
 
 def test_onehot(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,)], "v string")
-    out = D.encode(df, ["v"], "onehot")
+    out = D.encode(df, ["v"], "onehot", max_levels=5)
     assert out.columns == ["v_a", "v_b"] and rows(out) == [(0, 0), (0, 1), (1, 0)]
     with pytest.raises(ValueError, match="levels"):
         D.encode_onehot(df, ["v"], max_levels=1)
+    with pytest.raises(ValueError, match="max_levels"):
+        D.encode(df, ["v"], "onehot")
     with pytest.raises(ValueError, match="method"):
         D.encode(df, ["v"], "other")
 
 
+def test_onehot_names(spark):
+    """Dots and names that differ in case only give columns every operator can take."""
+    df = spark.createDataFrame([("St. Louis", "a"), ("White", "b"), ("white", None)], "v string, `V_White` string")
+    out = D.encode_onehot(df, ["v"], max_levels=5)
+    assert out.columns == ["V_White", "v_St_ Louis", "v_White_2", "v_white_3"]
+    assert rows(out.select("v_St_ Louis", "v_White_2", "v_white_3")) == [(0, 0, 1), (0, 1, 0), (1, 0, 0)]
+
+
 def test_roles_of_the_canonical_columns(spark):
     roles = assign_roles(spark.createDataFrame([], PERSON_SCHEMA))
     assert roles == Roles(

@@ -35,14 +35,19 @@ def test_null_keys_and_null_values(spark):
     assert {tuple(r)[1:5] for r in V.t_closeness(empty, QI, ["GENDER"]).collect()} == {(True, 6, 6, 1.0)}
 
 
+def test_a_quasi_identifier_may_be_sensitive_too(spark):
+    """Within its own class it has one value; the other attributes are as without it."""
+    df = spark.createDataFrame(FRAME, SCHEMA)
+    assert rows(V.l_diversity(df, QI, ["ZIP"]).select("l", "l_diverse_groups")) == [(2, 0), (3, 0), (5, 0)]
+    assert V.privacy_report(df, QI, ["GENDER", "ZIP"]).filter("metric = 't_closeness'").count() > 0
+
+
 def test_bad_arguments(spark):
     df = spark.createDataFrame(FRAME, SCHEMA)
     with pytest.raises(ValueError):
         V.k_anonymity(df, [])
     with pytest.raises(ValueError):
         V.k_anonymity(df, ["NOPE"])
-    with pytest.raises(ValueError):
-        V.l_diversity(df, QI, ["ZIP"])
     with pytest.raises(ValueError):
         V.equivalence_classes(df, QI, null_keys="other")
 

@@ -42,12 +42,23 @@ def test_wrong_header_and_missing_file_raise(spark, tmp_path):
         read_people(spark, str(tmp_path / "nothing")).collect()
 
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_first_rows(spark, monkeypatch, limit):
-    monkeypatch.setattr("veilframe.sources.tables.LIMIT_ROWS", limit)
+def test_keyed_ids_need_a_secret(spark, tmp_path):
+    with pytest.raises(ValueError, match="secret"):
+        ingest_dropfolder(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "offsets"))
+
+
+def test_first_rows(spark):
     df = spark.range(100).repartition(7)
     assert rows(first_rows(df, 5, ["id"])) == [(i,) for i in range(5)]
-    assert first_rows(df, 3).count() == 3
+    some = first_rows(df, 30)
+    assert some.count() == 30 and rows(some) == rows(some) and first_rows(df, 500).count() == 100
+
+
+def test_cells_with_newlines_quotes_and_commas(spark, tmp_path):
+    cells = ["two\nlines", "win\r\nlines", 'say "hi", you', "a,b", "plain"]
+    df = spark.createDataFrame(list(enumerate(cells)), "id int, text string")
+    write_table(df, str(tmp_path / "csv"), "csv")
+    assert rows(read_people(spark, str(tmp_path / "csv"), schema=df.schema)) == rows(df)
 
 
 def test_report_round_trip(spark, small_person):
@@ -81,7 +92,7 @@ def test_dropfolder_takes_every_file_once(spark, tmp_path, mode):
     options = {"mode": mode, "mapping_path": str(tmp_path / "mapping"), "max_files": 1}
 
     def run():
-        ingest_dropfolder(spark, inbox, out, offsets, **options).awaitTermination()
+        ingest_dropfolder(spark, inbox, out, offsets, secret="s", **options).awaitTermination()
         return spark.read.schema(_masked_schema()).parquet(out)
 
     _csv(inbox, "a.csv", person_line(1))
@@ -120,7 +131,7 @@ def test_whole_workflow(spark, small_person):
     assert ("synthetic", "ml_performance", "model=random_forest", "accuracy_difference") in found
     assert found["synthetic", "k_anonymity", "k=2", "total_groups"] > 0
 
-    _, short = L.anonymise_no_synthesis(small_person, "2024-01-01", mode="keyed", models=[])
+    _, short = L.anonymise_no_synthesis(small_person, "2024-01-01", mode="keyed", secret="s", models=[])
     assert {r["dataset"] for r in short.select("dataset").distinct().collect()} == {"original", "pseudonymised"}
 
 

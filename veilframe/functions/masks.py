@@ -58,8 +58,11 @@ def mask_zip(c: Column) -> Column:
 
 
 def keyed_uuid(c: Column, secret: str, namespace: str) -> Column:
-    """UUID-shaped digest of (secret, namespace, id): reproducible, needs no mapping and no join."""
-    h = F.sha2(F.concat_ws(":", F.lit(secret), F.lit(namespace), c.cast("string")), 256)
+    """UUID-shaped digest of (secret, namespace, id): reproducible, needs no mapping and no join. The lengths in front keep
+    parts apart that hold colons."""
+    if not secret:
+        raise ValueError("keyed pseudonyms need a secret; without one ids can be found by trying them")
+    h = F.sha2(F.concat_ws(":", F.lit(f"{len(secret)}:{len(namespace)}"), F.lit(secret), F.lit(namespace), c.cast("string")), 256)
     shaped = F.concat_ws(
         "-",
         F.substring(h, 1, 8),

@@ -41,28 +41,30 @@ def histogram(series: dict[str, DataFrame], col: str, bins: int = 20) -> DataFra
 
 
 def density_histogram(
-    series: dict[str, DataFrame], cols: Sequence[str] | None = None, bins: int = 30, max_columns: int = 6
+    series: dict[str, DataFrame], cols: Sequence[str] | None = None, bins: int = 30, max_columns: int | None = None
 ) -> DataFrame:
-    """(series, column, bin, count, density): equal bins over each series' own range, area 1."""
+    """(series, column, bin, bin_start, bin_end, count, density): equal bins over each series' own range, area 1; empty bins too."""
     first, *others = series.values()
     if cols is None:
         cols = [c for c in numeric_columns(first) if all(find_column(o, c) in numeric_columns(o) for o in others)][:max_columns]
-    schema = "series string, column string, bin bigint, count bigint, density double"
+    schema = "series string, column string, bin bigint, bin_start double, bin_end double, count bigint, density double"
     parts = []
     for name, df in series.items():
         x = {c: F.col(find_column(df, c)).cast("double") for c in cols}
         ranges = df.agg(*[F.struct(F.min(e).alias("low"), F.max(e).alias("high"), F.count(e).alias("n")).alias(f"r{i}") for i, e in enumerate(x.values())]).first()
-        cells = []
+        cells, edges = [], []
         for i, (c, e) in enumerate(x.items()):
-            r = ranges[f"r{i}"]
-            if r["n"]:
-                width = (r["high"] - r["low"]) / bins or 1.0 / bins
-                scale = F.lit(r["n"] * width)
-                cells.append(F.struct(F.lit(c).alias("column"), F.when(e.isNotNull(), _bin(e, r["low"], r["high"], bins)).alias("bin"), scale.alias("scale")))
+            low, high, n = ranges[f"r{i}"]
+            if n:
+                width = (high - low) / bins or 1.0 / bins
+                cells.append(F.struct(F.lit(c).alias("column"), F.when(e.isNotNull(), _bin(e, low, high, bins)).alias("bin")))
+                edges += [(c, b + 1, low + b * width, low + (b + 1) * width, n * width) for b in range(bins)]
         if not cells:
             continue
-        counts = df.select(F.inline(F.array(*cells))).dropna(subset=["bin"]).groupBy("column", "bin", "scale").agg(F.count("*").alias("count"))
-        parts.append(counts.select(F.lit(name).alias("series"), "column", "bin", "count", (F.col("count") / F.col("scale")).alias("density")))
+        counts = df.select(F.inline(F.array(*cells))).dropna(subset=["bin"]).groupBy("column", "bin").agg(F.count("*").alias("count"))
+        drawn = df.sparkSession.createDataFrame(edges, "column string, bin bigint, bin_start double, bin_end double, scale double")
+        filled = drawn.join(counts, ["column", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
+        parts.append(filled.select(F.lit(name).alias("series"), "column", "bin", "bin_start", "bin_end", "count", (F.col("count") / F.col("scale")).alias("density")))
     return reduce(DataFrame.unionByName, parts) if parts else first.sparkSession.createDataFrame([], schema)
 
 
@@ -80,9 +82,10 @@ def box_stats(series: dict[str, DataFrame], col: str) -> DataFrame:
     parts = []
     for name, df in series.items():
         c = find_column(df, col)
-        q1, q2, q3 = exact_quantiles(df, [c], [0.25, 0.5, 0.75])[c]
-        if q1 is None:
+        found = exact_quantiles(df, [c], [0.25, 0.5, 0.75])[c]
+        if found[0] is None:
             continue
+        q1, q2, q3 = map(float, found)
         x = F.col(c).cast("double")
         reach = 1.5 * (q3 - q1)
         within = F.when((x >= F.lit(q1 - reach)) & (x <= F.lit(q3 + reach)), x)

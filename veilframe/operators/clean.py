@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ def _fill_medians(df: DataFrame, cols: Sequence[str], counts: dict[str, int]) ->
     for c, m in medians.items():
         dtype = df.schema[c].dataType.simpleString()
         # An integer column becomes a double where its median needs one.
-        keep = dtype if m.is_integer() or dtype in ("double", "float") else "double"
+        keep = dtype if isinstance(m, (int, Decimal)) or dtype in ("double", "float") else "double"
         out[c] = F.coalesce(F.col(c).cast(keep), F.lit(m).cast(keep))
     return df.withColumns(out) if out else df
 

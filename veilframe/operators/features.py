@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.dates import age_group, age_years, birth_month, birth_year, parse_date
@@ -15,7 +15,6 @@ from veilframe.operators.shape import long_values, rows, text_of
 from veilframe.schema import Roles, find_column, present, require
 from veilframe.session import materialise
 
-WINDOW_ROWS = 200_000  # levels one window may number
 MISSING_LEVEL = "nan"  # fixed value: the code table's name for a null
 _SCALE_SCHEMA = "column string, min double, max double, mean double, std double"
 
@@ -75,16 +74,10 @@ def scale_standard(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return apply_scaler(df, fit_scaler(df, cols), "standard")
 
 
-def fit_encoder(df: DataFrame, cols: Sequence[str], window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """(column, value, code): values as text in code-point order, numbered from 0 per column.
-
-    Few levels are numbered by a window per column; many get a dense index over range partitions.
-    """
+def fit_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, code): values as text in code-point order, numbered from 0 per column by a dense index."""
     texts = long_values(df, cols).select("column", F.coalesce("value", F.lit(MISSING_LEVEL)).alias("value"))
     levels = materialise(texts.distinct(), "levels")
-    if levels.count() <= window_rows:
-        code = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
-        return levels.select("column", "value", code.cast("bigint").alias("code"))
     indexed = materialise(with_row_index(levels, ["column", "value"], "_index"), "indexed")
     starts = indexed.groupBy("column").agg(F.min("_index").alias("_start"))  # one row per column
     joined = indexed.join(F.broadcast(starts), "column")
@@ -118,8 +111,24 @@ def encode_label(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return apply_encoder(df, materialise(fit_encoder(df, cols), "codes")) if cols else df
 
 
-def encode_onehot(df: DataFrame, cols: Sequence[str], max_levels: int = 1_000) -> DataFrame:
-    """One 0/1 column ``{col}_{value}`` per value in sorted order; null gives all zeros."""
+def _level_names(taken: Sequence[str], wanted: Sequence[str]) -> list[str]:
+    """Names no later operator stumbles over: dots become underscores, and names equal but for case are numbered."""
+    seen, out = {c.lower() for c in taken}, []
+    for name in (w.replace(".", "_").replace("`", "_") for w in wanted):
+        number, unique = 1, name
+        while unique.lower() in seen:
+            number += 1
+            unique = f"{name}_{number}"
+        seen.add(unique.lower())
+        out.append(unique)
+    return out
+
+
+def encode_onehot(df: DataFrame, cols: Sequence[str], max_levels: int) -> DataFrame:
+    """One 0/1 column ``{col}_{value}`` per value in sorted order; null gives all zeros.
+
+    Levels become columns, so they have to fit a plan: the caller says how many a column may have, and more is an error.
+    """
     cols = present(df, cols)
     if not cols:
         return df
@@ -128,17 +137,19 @@ def encode_onehot(df: DataFrame, cols: Sequence[str], max_levels: int = 1_000) -
     wide = [c for c in cols if len(levels[c]) > max_levels]
     if wide or len(seen) > max_levels * len(cols):
         raise ValueError(f"more than {max_levels} levels in {', '.join(wide or cols)}")
-    flags = {
-        f"{c}_{v}": F.when(text_of(df, c) == F.lit(v), 1).otherwise(0) for c in cols for v in levels[c]
-    }
-    return df.withColumns(flags).drop(*cols)
+    pairs = [(c, v) for c in cols for v in levels[c]]
+    names = _level_names([c for c in df.columns if c not in cols], [f"{c}_{v}" for c, v in pairs])
+    flags = [F.when(text_of(df, c) == F.lit(v), 1).otherwise(0).alias(name) for (c, v), name in zip(pairs, names)]
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in cols], *flags)
 
 
-def encode(df: DataFrame, cols: Sequence[str], method: str = "label") -> DataFrame:
+def encode(df: DataFrame, cols: Sequence[str], method: str = "label", max_levels: int | None = None) -> DataFrame:
     if method == "label":
         return encode_label(df, cols)
     if method == "onehot":
-        return encode_onehot(df, cols)
+        if max_levels is None:
+            raise ValueError("one-hot encoding needs max_levels")
+        return encode_onehot(df, cols, max_levels)
     raise ValueError("method must be 'label' or 'onehot'")
 
 

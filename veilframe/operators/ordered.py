@@ -37,8 +37,12 @@ def ranged(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) ->
 def with_row_index(
     df: DataFrame, order_by: Sequence[str], name: str = "row_index", ranges: int | None = None
 ) -> DataFrame:
-    """Dense 0-based index in ``order_by`` order."""
-    placed = ranged(df, order_by, ranges)
+    """Dense 0-based index in ``order_by`` order; without one, in the order in which the rows are stored."""
+    if order_by:
+        placed = ranged(df, order_by, ranges)
+    else:
+        spots = {RANGE: F.spark_partition_id(), POSITION: F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION))}
+        placed = materialise(df.withColumns(spots), "placed")
     sizes = placed.groupBy(RANGE).agg(F.count("*").alias("_rows"))
     before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     # At most one row per range, hence the broadcast and the unpartitioned window.

@@ -92,10 +92,7 @@ def k_anonymity_detail(df: DataFrame, qi: Sequence[str], ks: Sequence[int] = KS_
 
 def value_profile(df: DataFrame, qi: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
     """(qi, attribute, value, rows), classes with null quasi-identifiers and null values included. The
-    attribute is the position in ``sensitive``, which shuffles smaller than its name."""
-    both = {c.lower() for c in qi} & {c.lower() for c in sensitive}
-    if both:
-        raise ValueError(f"quasi-identifiers cannot be sensitive too: {', '.join(sorted(both))}")
+    attribute is the position in ``sensitive``, which shuffles smaller than its name. A column may be both."""
     pairs = [F.struct(F.lit(i).alias(ATTRIBUTE), text_of(df, s).alias(VALUE)) for i, s in enumerate(sensitive)]
     cells = df.select(*qi, F.inline(F.array(*pairs)))
     return cells.groupBy(*qi, ATTRIBUTE, VALUE).agg(F.count("*").alias(ROWS))

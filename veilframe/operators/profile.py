@@ -25,8 +25,19 @@ def profile_table(df: DataFrame) -> DataFrame:
     )
 
 
+COLUMNS_PER_SCAN = 100  # a plan's cost grows faster than its number of aggregates
+
+
+def _batches(cols: Sequence[str]) -> list[list[str]]:
+    return [list(cols[i : i + COLUMNS_PER_SCAN]) for i in range(0, len(cols), COLUMNS_PER_SCAN)]
+
+
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Columns with any null: count and percentage of rows."""
+    return reduce(DataFrame.unionByName, [_missing(df.select(*[F.col(f"`{c}`") for c in part])) for part in _batches(df.columns)])
+
+
+def _missing(df: DataFrame) -> DataFrame:
     totals = df.agg(F.count("*").alias("_rows"), *[null_count(c).alias(f"_m{i}") for i, c in enumerate(df.columns)])
     cells = [
         F.struct(
@@ -68,6 +79,8 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approxima
     ``approximate`` takes the quartiles from ``percentile_approx`` in the same scan.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
+    if len(cols) > COLUMNS_PER_SCAN:
+        return reduce(DataFrame.unionByName, [describe_numeric(df, part, approximate) for part in _batches(cols)])
     schema = "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
     aggs = []
     for i, c in enumerate(cols):

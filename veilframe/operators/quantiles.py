@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,7 @@ class _Target:
         return self.column, self.low, self.high
 
     def inside(self) -> Column:
-        c = F.col(self.column).cast("double")
+        c = F.col(self.column)  # in its own type: doubles cannot tell large integers apart
         cond = c.isNotNull()
         if self.low is not None:
             cond &= c > F.lit(self.low)
@@ -88,7 +89,7 @@ def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
     bounds = list({(t.column, v) for t in targets for v in ends[id(t)]})
     counts = []
     for i, (c, v) in enumerate(bounds):
-        x = F.col(c).cast("double")
+        x = F.col(c)
         counts += [F.sum((x < F.lit(v)).cast("int")).alias(f"l{i}"), F.sum((x == F.lit(v)).cast("int")).alias(f"e{i}")]
     seen = df.agg(*counts).first()
     under = {b: seen[f"l{i}"] for i, b in enumerate(bounds)}
@@ -120,7 +121,7 @@ def exact_quantiles(
     small: int = SMALL,
     accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of the non-null values, exact at any size."""
+    """Linearly interpolated quantiles of the non-null values, exact at any size; values of a column keep its type."""
     if counts is None and cols:
         found = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
         counts = {c: found[f"n{i}"] for i, c in enumerate(cols)}
@@ -155,6 +156,12 @@ def _quantiles(
             return None
         h = p * (counts[c] - 1)
         lo, hi, part = targets[c, math.floor(h)].value, targets[c, math.ceil(h)].value, h - math.floor(h)
+        if lo == hi or not part:
+            return lo
+        if isinstance(lo, Decimal):
+            return lo + (hi - lo) * Decimal(part)
+        if isinstance(lo, int) and part == 0.5 and (lo + hi) % 2 == 0:
+            return (lo + hi) // 2
         return (lo + hi) / 2 if part == 0.5 else lo + part * (hi - lo)
 
     return {c: [at(c, p) for p in probs] for c in cols}

@@ -140,8 +140,8 @@ def synthetic_quality(synthetic: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def compare_tables(original: DataFrame, synthetic: DataFrame, max_columns: int = 5) -> DataFrame:
-    """Row and column ratios, common columns, and mean and std of the first common numeric columns."""
+def compare_tables(original: DataFrame, synthetic: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Row and column ratios, common columns, and mean and std of the common numeric columns (of the first few if asked)."""
     common = [c for c in original.columns if find_column(synthetic, c) is not None]
     sides = original.agg(F.count("*").alias("o"), F.lit(None).cast("bigint").alias("s")).unionByName(
         synthetic.agg(F.lit(None).cast("bigint").alias("o"), F.count("*").alias("s"))
@@ -166,7 +166,7 @@ def compare_tables(original: DataFrame, synthetic: DataFrame, max_columns: int =
 
 
 def similarity_rows(original: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """The similarity table as metric rows."""
-    return metric_rows(similarity(original, synthetic), "utility", "statistical_similarity", "column").filter(
-        F.col("value_num").isNotNull() | F.col("value_str").isNotNull()
-    )
+    """The similarity table as metric rows: fields that only the columns or only the overall row have appear there alone."""
+    overall, counted = F.col("param") == "column=overall", F.col("field") == "columns_compared"
+    scored = metric_rows(similarity(original, synthetic), "utility", "statistical_similarity", "column")
+    return scored.filter((F.col("field") == "similarity_score") | (overall == counted))

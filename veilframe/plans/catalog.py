@@ -82,6 +82,20 @@ def read_first_people(spark: SparkSession, sf: str) -> DataFrame:
     return dated(tables.read_people(spark, path, n_records=100, order_by=["healthcare_expenses", "id"], schema=people.schema))
 
 
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells with newlines, quotes and commas, written and read again."""
+    people, path = variant(spark, sf, views.QUOTED_PERSON_SQL), scratch_path(spark, "quoted")
+    tables.write_table(people, path, "csv")
+    return tables.read_people(spark, path, schema=people.schema)
+
+
+def first_people_unordered(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows a limit without an order keeps, the same rows at a second use."""
+    people = tables.first_rows(person(spark, sf), 100)
+    again = people.join(people.select("id"), "id", "left_semi")
+    return again.agg(F.count("*").alias("n"))
+
+
 def write_table(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "table")
     tables.write_table(person(spark, sf), path)
@@ -166,6 +180,18 @@ def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
 # --- cleaning ------------------------------------------------------------------------------------
 
 
+def large_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole numbers that doubles cannot tell apart, and decimals."""
+    big = F.lit(9007199254740992).cast("bigint") + F.col("l_orderkey")
+    gaps = lineitem(spark, sf).select(
+        "l_orderkey",
+        F.when(F.col("l_linenumber") > 1, big).alias("big"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("decimal(12,2)")).alias("exact"),
+    )
+    filled = clean.impute_median(gaps, ["big", "exact"])
+    return filled.groupBy("l_orderkey").agg(F.max("big").alias("big"), F.max("exact").cast("double").alias("exact"))
+
+
 def fill_by_group(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["birthdate", "ssn", "zip", "marital"]
     people = person(spark, sf).select("id", "gender", *cols)
@@ -192,6 +218,14 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     return people.select("id", parse_date(text).cast("string").alias("birthdate"))
 
 
+def onehot_cities(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels with a dot, and levels that differ in case only."""
+    people = person(spark, sf)
+    level = F.when(F.col("id").endswith("1"), F.lit("St. Louis")).when(F.col("id").endswith("2"), F.lit("White")).otherwise(F.lit("white"))
+    done = features.encode(people.select("id", level.alias("city")), ["city"], "onehot", max_levels=10)
+    return done.toDF("id", "dotted", "upper", "lower")
+
+
 def price_bands(spark: SparkSession, sf: str) -> DataFrame:
     band = bucketize(F.col("o_totalprice"), [0, 50_000, 150_000, 300_000], ["low", "middle", "high"])
     return orders(spark, sf).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
@@ -243,6 +277,11 @@ def validate_with_models(spark: SparkSession, sf: str) -> DataFrame:
     return workflows.validate(original, anonymised, models=["logistic_regression"])
 
 
+def _density(series: dict[str, DataFrame], digits: int) -> DataFrame:
+    edges = {c: F.round(c, 4) for c in ("bin_start", "bin_end")}
+    return charts.density_histogram(series).withColumns({**edges, "density": F.round("density", digits)})
+
+
 def _aged(spark: SparkSession, sf: str) -> DataFrame:
     return features.generalise_birthdate(person(spark, sf), AS_OF)
 
@@ -309,6 +348,8 @@ QUERIES: dict[str, Query] = {
     # sources and sinks
     "read_people": read_people,
     "read_first_people": read_first_people,
+    "first_people_unordered": first_people_unordered,
+    "csv_round_trip": csv_round_trip,
     "write_table": write_table,
     "feature_store": feature_store,
     "parameter_store": parameter_store,
@@ -331,6 +372,7 @@ QUERIES: dict[str, Query] = {
     # cleaning
     "dedupe": lambda s, sf: dated(clean.drop_duplicate_rows(doubled(s, sf))),
     "impute_median": lambda s, sf: rounded(clean.impute_median(gapped(s, sf)).drop("birthdate"), 3),
+    "impute_median_exact": large_medians,
     "impute_mode": lambda s, sf: clean.impute_mode(gapped(s, sf)).select("id", "marital", "zip", "passport"),
     "sparse_columns": lambda s, sf: clean.drop_sparse_columns(gapped(s, sf)),
     "sparse_rows": lambda s, sf: clean.drop_sparse_rows(gapped(s, sf).select("id", "birthdate", "marital", "zip", "passport", "lat"), 0.5).select("id", "marital", "zip"),
@@ -349,7 +391,8 @@ QUERIES: dict[str, Query] = {
     "minmax_lineitem": lambda s, sf: rounded(features.scale_minmax(lineitem(s, sf), ["l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")),
     "standard": lambda s, sf: rounded(features.scale_standard(gapped(s, sf), ["healthcare_expenses", "healthcare_coverage", "lon"]).select("id", "healthcare_expenses", "healthcare_coverage", "lon")),
     "label_encode": lambda s, sf: features.encode(person(s, sf), ["race", "marital", "city", "zip", "last"]).select("id", "race", "marital", "city", "zip", "last"),
-    "onehot": lambda s, sf: features.encode(person(s, sf).select("id", "race", "marital"), ["race", "marital"], "onehot"),
+    "onehot": lambda s, sf: features.encode(person(s, sf).select("id", "race", "marital"), ["race", "marital"], "onehot", max_levels=100),
+    "onehot_cities": onehot_cities,
     "split_features": split_features,
     "prepare_features": prepare_features,
     # pseudonyms
@@ -368,6 +411,7 @@ QUERIES: dict[str, Query] = {
     "k_anonymity_detail": lambda s, sf: rounded(privacy.k_anonymity_detail(person(s, sf), PLACE + ["zip", "gender"])),
     "l_diversity": lambda s, sf: rounded(privacy.l_diversity(person(s, sf), PLACE, ["gender", "marital"])),
     "l_diversity_lineitem": lambda s, sf: rounded(privacy.l_diversity(lineitem(s, sf), ["l_suppkey", "l_returnflag"], ["l_linestatus", "l_quantity"])),
+    "l_diversity_overlap": lambda s, sf: rounded(privacy.l_diversity(person(s, sf), [*PLACE, "gender"], ["gender", "marital"])),
     "l_diversity_detail": lambda s, sf: rounded(privacy.l_diversity_detail(person(s, sf), PLACE, ["gender", "marital"])),
     "t_closeness": lambda s, sf: rounded(privacy.t_closeness(person(s, sf), PLACE, ["gender", "marital"])),
     "t_closeness_lineitem": lambda s, sf: rounded(privacy.t_closeness(lineitem(s, sf), ["l_suppkey"], ["l_returnflag", "l_quantity"])),
@@ -380,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "similarity": lambda s, sf: rounded(utility.similarity(person(s, sf), shifted(s, sf)), 3),
     "matrix_fidelity": lambda s, sf: rounded(utility.matrix_fidelity(person(s, sf), shifted(s, sf), "id"), 3),
     "synthetic_quality": lambda s, sf: rounded(utility.synthetic_quality(shifted(s, sf)), 4),
+    "compare_tables_lineitem": lambda s, sf: rounded(utility.compare_tables(lineitem(s, sf), lineitem(s, sf).filter("l_linenumber > 1")), 3),
     "compare_tables": lambda s, sf: rounded(utility.compare_tables(wide(s, sf), shifted(s, sf)), 3),
     "model_utility": model_utility,
     "validate": validate,
@@ -396,7 +441,8 @@ QUERIES: dict[str, Query] = {
     # chart data
     "histogram": lambda s, sf: rounded(charts.histogram(pair(s, sf), "healthcare_expenses")),
     "histogram_events": lambda s, sf: rounded(charts.histogram({"events": events(s, sf)}, "value", bins=50)),
-    "density_histogram": lambda s, sf: rounded(charts.density_histogram(pair(s, sf)), 12),
+    "density_histogram": lambda s, sf: _density(pair(s, sf), 12),
+    "density_histogram_lineitem": lambda s, sf: _density({"lineitem": lineitem(s, sf)}, 9),
     "category_counts": lambda s, sf: charts.category_counts(pair(s, sf), "gender"),
     "box_stats": lambda s, sf: rounded(charts.box_stats(pair(s, sf), "healthcare_expenses"), 4),
     "box_stats_events": lambda s, sf: rounded(charts.box_stats({"events": events(s, sf)}, "value"), 4),

@@ -138,7 +138,7 @@ REDACTIONS = {c: f"'{c.upper()}_Redacted'" for c in ("drivers", "passport", "mai
 
 
 def keyed(c: str, namespace: str = "person") -> str:
-    h = f"sha256('{SECRET}:{namespace}:' || {c})"
+    h = f"sha256('{len(SECRET)}:{len(namespace)}:{SECRET}:{namespace}:' || {c})"
     return (
         f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-4' || substr({h}, 14, 3) || '-a' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
     )
@@ -375,6 +375,20 @@ def quality_sql() -> str:
     )
 
 
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def compare_lines_sql() -> str:
+    """lineitem against its rows above line 1: equal columns, all numeric ones."""
+    none = "CAST(NULL AS VARCHAR)"
+    width = "(SELECT count(*) FROM (DESCRIBE lineitem))"
+    figures = {"row_ratio": "CAST((SELECT count(*) FROM part_) AS DOUBLE) / (SELECT count(*) FROM lineitem)", "column_ratio": "1e0", "common_columns": width, "column_overlap": "1e0"}
+    stats = {"mean_original": ("avg", "lineitem"), "mean_synthetic": ("avg", "part_"), "std_original": ("stddev_samp", "lineitem"), "std_synthetic": ("stddev_samp", "part_")}
+    rows = [f"SELECT '{m}' AS metric, {none} AS \"column\", {r(f'CAST({e} AS DOUBLE)', 3)} AS value" for m, e in figures.items()]
+    rows += [f"SELECT '{m}', '{c}', {r(f'(SELECT {f}(CAST({c} AS DOUBLE)) FROM {t})', 3)}" for m, (f, t) in stats.items() for c in LINE_NUMBERS]
+    return f"WITH part_ AS (SELECT * FROM lineitem WHERE l_linenumber > 1) {' UNION ALL '.join(rows)}"
+
+
 def compare_sql() -> str:
     none = "CAST(NULL AS VARCHAR)"
     figures = {
@@ -516,15 +530,22 @@ def histogram_sql(source: str, c: str, n_bins: int, *ctes: str) -> str:
     )
 
 
-def density_sql() -> str:
-    parts = [
-        f"""SELECT series, '{c}' AS "column", bin, CAST(count(*) AS BIGINT) AS count, {r('count(*) / (max(n) * ((max(hi) - max(lo)) / 30))', 12)} AS density
-        FROM (SELECT series, n, lo, hi, CAST(least(floor(({c} - lo) * 30 / (hi - lo)) + 1, 30) AS BIGINT) AS bin
-              FROM pair JOIN (SELECT series, min({c}) AS lo, max({c}) AS hi, count({c}) AS n FROM pair GROUP BY series) USING (series) WHERE {c} IS NOT NULL)
-        GROUP BY series, bin"""
-        for c in MONEY
-    ]
-    return with_views(" UNION ALL ".join(parts), SHIFTED_CTE, PAIR_CTE)
+def density_sql(source: str, cols: list[str], digits: int, *ctes: str) -> str:
+    """Every bin of every series and column, with its edges; a bin without values counts 0."""
+    parts = []
+    for c in cols:
+        ranges = f"(SELECT series, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, count({c}) AS n FROM {source} GROUP BY series)"
+        start = "CASE WHEN hi = lo THEN lo + (bin - 1) * (1e0 / 30) ELSE lo + (bin - 1) * ((hi - lo) / 30) END"
+        end = "CASE WHEN hi = lo THEN lo + bin * (1e0 / 30) ELSE lo + bin * ((hi - lo) / 30) END"
+        width = "CASE WHEN hi = lo THEN 1e0 / 30 ELSE (hi - lo) / 30 END"
+        parts.append(
+            f"""SELECT series, '{c}' AS "column", bin, {r(start, 4)} AS bin_start, {r(end, 4)} AS bin_end, CAST(coalesce(k, 0) AS BIGINT) AS count,
+            {r(f'coalesce(k, 0) / (n * ({width}))', digits)} AS density
+            FROM (SELECT *, CAST(unnest(range(1, 31)) AS BIGINT) AS bin FROM {ranges})
+            LEFT JOIN (SELECT series, CASE WHEN lo = hi THEN 1 ELSE CAST(least(floor((CAST({c} AS DOUBLE) - lo) * 30 / (hi - lo)) + 1, 30) AS BIGINT) END AS bin, count(*) AS k
+                       FROM {source} JOIN {ranges} USING (series) WHERE {c} IS NOT NULL GROUP BY ALL) USING (series, bin)"""
+        )
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
 
 
 def box_sql(source: str, c: str, *ctes: str) -> str:
@@ -584,6 +605,8 @@ def oracles() -> dict[str, str]:
     return {
         "read_people": with_views(people(**CSV_BLANKS)),
         "read_first_people": with_views(people(**CSV_BLANKS) + " ORDER BY healthcare_expenses, id LIMIT 100"),
+        "first_people_unordered": with_views("SELECT least(100, count(*)) AS n FROM person"),
+        "csv_round_trip": with_views("SELECT id, nullif(address, '') AS address, city, healthcare_expenses FROM quoted", f"quoted AS ({views.QUOTED_PERSON_SQL})"),
         "write_table": with_views(people()),
         "feature_store": FEATURE_ROWS,
         "parameter_store": with_views(
@@ -636,6 +659,12 @@ def oracles() -> dict[str, str]:
         "value_counts": with_views(value_counts_sql("person", [c for c in COLS if c not in TYPES])),
         "value_counts_lineitem": value_counts_sql("lineitem", ["l_returnflag", "l_linestatus"]),
         "dedupe": with_views(f"SELECT DISTINCT {listed(COLS, **DATED)} FROM doubled", DOUBLED_CTE),
+        "impute_median_exact": """WITH known AS (SELECT l_orderkey, CASE WHEN l_linenumber > 1 THEN 9007199254740992 + l_orderkey END AS big,
+              CASE WHEN l_linenumber > 1 THEN CAST(l_quantity AS DECIMAL(12, 2)) END AS exact FROM lineitem),
+            ranked AS (SELECT big, row_number() OVER (ORDER BY big) AS k, count(*) OVER () AS n FROM known WHERE big IS NOT NULL),
+            middle AS (SELECT CAST(sum(big) // count(*) AS BIGINT) AS m FROM ranked WHERE k IN ((n + 1) // 2, n // 2 + 1))
+            SELECT l_orderkey, max(coalesce(big, (SELECT m FROM middle))) AS big,
+              CAST(max(coalesce(exact, CAST((SELECT quantile_cont(exact, 0.5) FROM known) AS DECIMAL(12, 2)))) AS DOUBLE) AS exact FROM known GROUP BY l_orderkey""",
         "impute_median": with_views(
             f"""SELECT id, marital, zip, city, gender, {r(f"coalesce(healthcare_expenses, {median_of('healthcare_expenses', 'gapped')})", 3)} AS healthcare_expenses,
             {r(f"coalesce(healthcare_coverage, {median_of('healthcare_coverage', 'gapped')})", 3)} AS healthcare_coverage, passport, lat, lon FROM gapped""",
@@ -689,6 +718,9 @@ def oracles() -> dict[str, str]:
         "onehot": with_views(
             f"SELECT id, {onehot('race', ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])}, {onehot('marital', ['M', 'S'])} FROM person"
         ),
+        "onehot_cities": with_views(
+            "SELECT id, CAST(id LIKE '%1' AS INTEGER) AS dotted, CAST(id LIKE '%2' AS INTEGER) AS upper, CAST(NOT (id LIKE '%1' OR id LIKE '%2') AS INTEGER) AS lower FROM person"
+        ),
         "split_features": FEATURE_ROWS,
         "prepare_features": with_views(f"SELECT {', '.join(AGED_COLS)} FROM prepared", AGED_CTE, FILLED_CTE, PREPARED_CTE),
         "pseudonymise_id": with_views(
@@ -710,6 +742,7 @@ def oracles() -> dict[str, str]:
         "k_anonymity_detail": with_views(k_sql((2, 3, 5, 10, 20), detail=True), classes_cte("person", FINE)),
         "l_diversity": with_views(l_sql(gm), l_cte("person", PLACE, gm)),
         "l_diversity_lineitem": with_views(l_sql(["l_linestatus", "l_quantity"]), l_cte("lineitem", ["l_suppkey", "l_returnflag"], ["l_linestatus", "l_quantity"])),
+        "l_diversity_overlap": with_views(l_sql(gm), l_cte("person", [*PLACE, "gender"], gm)),
         "l_diversity_detail": with_views(l_sql(gm, detail=True), l_cte("person", PLACE, gm)),
         "t_closeness": with_views(t_sql(gm), *t_ctes("person", PLACE, gm)),
         "t_closeness_lineitem": with_views(t_sql(["l_returnflag", "l_quantity"]), *t_ctes("lineitem", ["l_suppkey"], ["l_returnflag", "l_quantity"])),
@@ -722,6 +755,7 @@ def oracles() -> dict[str, str]:
         "matrix_fidelity": fidelity_sql(),
         "synthetic_quality": quality_sql(),
         "compare_tables": compare_sql(),
+        "compare_tables_lineitem": compare_lines_sql(),
         "validate": validate_sql(),
         "anonymise_no_synthesis": anonymise_no_synthesis_sql(),
         "fit_conditional": with_views("SELECT * FROM donors", *MODEL_CTES),
@@ -738,7 +772,8 @@ def oracles() -> dict[str, str]:
         "synthesise_gaps": synthesised_sql(views.LOOSE_PERSON_SQL),
         "histogram": histogram_sql("pair", "healthcare_expenses", 20, SHIFTED_CTE, PAIR_CTE),
         "histogram_events": histogram_sql("series_events", "value", 50, EVENTS_CTE),
-        "density_histogram": density_sql(),
+        "density_histogram": density_sql("pair", list(MONEY), 12, f"person AS ({views.PERSON_SQL})", SHIFTED_CTE, PAIR_CTE),
+        "density_histogram_lineitem": density_sql("lines", LINE_NUMBERS, 9, "lines AS (SELECT 'lineitem' AS series, * FROM lineitem)"),
         "category_counts": with_views("SELECT series, gender AS value, CAST(count(*) AS BIGINT) AS count FROM pair GROUP BY series, gender", SHIFTED_CTE, PAIR_CTE),
         "box_stats": box_sql("pair", "healthcare_expenses", SHIFTED_CTE, PAIR_CTE),
         "box_stats_events": box_sql("series_events", "value", EVENTS_CTE),

@@ -60,6 +60,13 @@ SELECT CASE WHEN id LIKE '%7' THEN NULL WHEN id LIKE '%3' THEN 'patient_again' E
 FROM person
 """
 
+# Addresses with newlines, quotes and commas.
+QUOTED_PERSON_SQL = """
+SELECT id, CASE WHEN id LIKE '%1' THEN concat(address, chr(10), city) WHEN id LIKE '%2' THEN concat('"', address, '", ', city)
+                WHEN id LIKE '%3' THEN concat(city, chr(13), chr(10), 'x') ELSE address END AS address, city, healthcare_expenses
+FROM person
+"""
+
 # Numeric gaps, a column of one value, an empty text column and a mostly empty date.
 GAPPED_PERSON_SQL = """
 SELECT id, CASE WHEN id LIKE '%0' THEN birthdate END AS birthdate, marital, zip, city, gender,

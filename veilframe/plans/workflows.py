@@ -36,7 +36,7 @@ def preprocess(
     **reader,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read, profile, classify and clean: (cleaned table, profile, column catalogue)."""
-    people = read_people(spark, path, n_records, order_by, **reader)
+    people = materialise(read_people(spark, path, n_records, order_by, **reader), "people")
     cleaned = clean(people)
     if output:
         write_table(cleaned, output)
@@ -106,8 +106,7 @@ def _report_part(metrics: DataFrame, dataset: str) -> DataFrame:
 
 
 def _quality_rows(original: DataFrame, synthetic: DataFrame) -> DataFrame:
-    quality = synthetic_quality(synthetic).filter("metric <> 'categorical_stats'")
-    both = quality.unionByName(compare_tables(original, synthetic), allowMissingColumns=True)
+    both = synthetic_quality(synthetic).unionByName(compare_tables(original, synthetic), allowMissingColumns=True)
     return both.select(
         F.lit("utility").alias("family"),
         F.lit("synthetic_quality").alias("metric"),
@@ -169,11 +168,12 @@ def anonymise_files(
     Below ``output``: ``catalogue``, ``processed``, ``features``, ``scaler``, ``codes``, ``mapping``,
     ``pseudonymised``, ``synthetic`` and ``report``.
     """
-    people = read_people(spark, path, n_records, order_by, **(reader or {}))
+    people = materialise(read_people(spark, path, n_records, order_by, **(reader or {})), "people")
     write_table(column_catalogue({"input": people}), f"{output}/catalogue")
     prepared = prepare_features(people, as_of)
     write_table(prepared.table, f"{output}/processed")
-    write_features(prepared.features, f"{output}/features")
+    processed = spark.read.schema(prepared.table.schema).parquet(f"{output}/processed")
+    write_features(split_features(processed, prepared.roles, find_column(people, "Id")), f"{output}/features")
     save_params(prepared.scaler, f"{output}/scaler")
     save_params(prepared.codes, f"{output}/codes")
     tables, report = anonymise(people, as_of, mapping_path=f"{output}/mapping", mode=mode, synthesis=synthesis, **options)

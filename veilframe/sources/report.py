@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.session import materialise
+
 METRICS_SCHEMA = (
     "dataset string, family string, metric string, param string, field string, value_num double, value_str string"
 )
 
 
 def write_report(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """``path/json``: one object per metric value; ``path/text``: one readable line each."""
+    """``path/json``: one object per metric value; ``path/text``: one readable line each. The plan runs once."""
+    metrics = materialise(metrics, "metrics")
     metrics.write.mode(mode).json(f"{path}/json")
     report_lines(metrics).write.mode(mode).text(f"{path}/text")
 

@@ -12,7 +12,6 @@ from veilframe.operators.ordered import with_row_index
 from veilframe.operators.shape import nan_to_null
 from veilframe.schema import PERSON_SCHEMA
 
-LIMIT_ROWS = 100_000  # a plain limit gathers its rows in one task
 # Spellings a CSV cell may use for a missing value.
 MISSING_TEXT = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -29,11 +28,10 @@ def normalise_missing(df: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows in ``order_by`` order (any ``n`` rows without one)."""
-    if n <= LIMIT_ROWS:
-        return (df.orderBy(*order_by) if order_by else df).limit(n)
-    if not order_by:
-        raise ValueError(f"more than {LIMIT_ROWS} rows need an order_by")
+    """The first ``n`` rows in ``order_by`` order (the first stored ones without one, the same at every use).
+
+    One plan for every ``n``; no task gathers the rows.
+    """
     return with_row_index(df, order_by, "_row").filter(F.col("_row") < n).drop("_row")
 
 
@@ -44,11 +42,17 @@ def read_people(
     order_by: Sequence[str] = (),
     schema: T.StructType | str | None = PERSON_SCHEMA,
     fmt: str = "csv",
+    multi_line: bool = True,
 ) -> DataFrame:
-    """A person table from CSV with header (or parquet). ``schema=None`` infers the types."""
+    """A person table from CSV with header (or parquet). ``schema=None`` infers the types.
+
+    Quoted cells may hold newlines. Such files cannot be split: a caller who knows that no cell does turns ``multi_line`` off,
+    so that one large file is read by many tasks.
+    """
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None).option("escape", '"').option("enforceSchema", False)
+        reader = reader.option("multiLine", multi_line)
     loaded = reader.format(fmt).load(path)
     df = normalise_missing(loaded) if fmt == "csv" else nan_to_null(loaded)
     return first_rows(df, n_records, order_by) if n_records is not None else df
@@ -58,4 +62,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     writer = df.write.mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"').option("emptyValue", "")
+        # The writer would trim cells otherwise, also newlines at their ends.
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.format(fmt).save(path)

@@ -12,12 +12,13 @@ from veilframe.schema import PERSON_SCHEMA
 from veilframe.sources.tables import normalise_missing
 
 
-def _dropped(spark: SparkSession, path: str, schema: T.StructType, max_files: int) -> DataFrame:
+def _dropped(spark: SparkSession, path: str, schema: T.StructType, max_files: int, multi_line: bool) -> DataFrame:
     files = (
         spark.readStream.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("maxFilesPerTrigger", max_files)
     )
     return normalise_missing(files.csv(path))
@@ -34,6 +35,7 @@ def ingest_dropfolder(
     secret: str = "",
     salt: str = "",
     max_files: int = 1_000,
+    multi_line: bool = True,
 ) -> StreamingQuery:
     """Pseudonymise every new CSV file once and append it as parquet.
 
@@ -41,7 +43,7 @@ def ingest_dropfolder(
     the mapping per micro-batch; a batch goes to a folder of its own number and is overwritten when it is
     repeated, and ids mapped by a failed attempt are simply known in the next one.
     """
-    people = _dropped(spark, path, schema, max_files)
+    people = _dropped(spark, path, schema, max_files, multi_line)
     if mode == "keyed":
         masked = pseudonymise_id(mask_columns(people, salt), mode="keyed", secret=secret)
         writer = masked.writeStream.format("parquet").option("path", output).outputMode("append")
