@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import masks
 from veilframe.operators.lookup import lookup_join
 from veilframe.schema import REDACTED, find_column, present, require
+from veilframe.session import materialise
 from veilframe.sources.store import load_mapping, save_mapping
 
 REQUIRED = ("Id", "SSN", "FIRST", "LAST", "ADDRESS", "CITY", "STATE", "ZIP")
@@ -22,8 +23,14 @@ def extend_mapping(df: DataFrame, column: str, mapping_path: str, namespace: str
     ids = df.select(F.col(column).cast("string").alias("original")).dropna().distinct()
     known = load_mapping(df.sparkSession, mapping_path)
     if known is not None:
-        ids = ids.join(known.filter(F.col("namespace") == namespace), "original", "left_anti")
-    save_mapping(ids.select(F.lit(namespace).alias("namespace"), "original", F.uuid().alias("pseudonym")), mapping_path)
+        # The ids at hand find themselves in the mapping: Spark broadcasts them while they are few, so that a batch does not
+        # shuffle the mapping.
+        ids = materialise(ids, "ids")
+        held = known.filter(F.col("namespace") == namespace).join(ids, "original", "left_semi").select("original")
+        ids = ids.join(held, "original", "left_anti")
+    fresh = materialise(ids.select(F.lit(namespace).alias("namespace"), "original", F.uuid().alias("pseudonym")), "fresh")
+    if known is None or not fresh.isEmpty():
+        save_mapping(fresh, mapping_path)
     return load_mapping(df.sparkSession, mapping_path).filter(F.col("namespace") == namespace)
 
 

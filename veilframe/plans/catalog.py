@@ -344,6 +344,13 @@ def anonymise_no_synthesis(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(workflows.anonymise_no_synthesis(person(spark, sf), AS_OF, mode="keyed", secret=SECRET, models=[])[1], 3)
 
 
+def anonymise_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole run from a CSV file to its stored report, without synthesis."""
+    path, people = _people_csv(spark, sf)
+    options = {"synthesis": False, "mode": "keyed", "secret": SECRET, "models": [], "reader": {"schema": people.schema}}
+    return rounded(workflows.anonymise_files(spark, path, scratch_path(spark, "run"), AS_OF, **options), 3)
+
+
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "read_people": read_people,
@@ -450,4 +457,5 @@ QUERIES: dict[str, Query] = {
     # workflows
     "anonymise": anonymise,
     "anonymise_no_synthesis": anonymise_no_synthesis,
+    "anonymise_files": anonymise_files,
 }

@@ -530,6 +530,13 @@ def histogram_sql(source: str, c: str, n_bins: int, *ctes: str) -> str:
     )
 
 
+def from_file(sql: str) -> str:
+    """The same over what a CSV file gives back: blank cells are nulls."""
+    view = f"person AS ({views.PERSON_SQL})"
+    assert view in sql
+    return sql.replace(view, f"whole AS ({views.PERSON_SQL}), person AS (SELECT {listed(COLS, **CSV_BLANKS)} FROM whole)", 1)
+
+
 def density_sql(source: str, cols: list[str], digits: int, *ctes: str) -> str:
     """Every bin of every series and column, with its edges; a bin without values counts 0."""
     parts = []
@@ -758,6 +765,7 @@ def oracles() -> dict[str, str]:
         "compare_tables_lineitem": compare_lines_sql(),
         "validate": validate_sql(),
         "anonymise_no_synthesis": anonymise_no_synthesis_sql(),
+        "anonymise_files": from_file(anonymise_no_synthesis_sql()),
         "fit_conditional": with_views("SELECT * FROM donors", *MODEL_CTES),
         "sample_conditional": with_views(f"SELECT id, {SAMPLE_COLS} FROM sampled", *MODEL_CTES, sampled_cte("routed", "n", 42)),
         "sample_conditional_n": with_views(f"SELECT draw, {SAMPLE_COLS} FROM sampled", *MODEL_CTES, *RESAMPLED_CTES, sampled_cte("resampled", "draw", 7)),
