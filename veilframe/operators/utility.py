@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,18 +68,20 @@ def similarity(original: DataFrame, synthetic: DataFrame, cols: Sequence[str] |
 
 
 def _correlations(df: DataFrame, cols: Sequence[str], side: str) -> DataFrame:
-    """(a, b, corr_<side>) for every ordered pair over the complete rows; null for a constant column."""
-    df = df.dropna(subset=list(cols))
-    x = [F.col(c).cast("double") for c in cols]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs = [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    cells = []
-    for i in range(len(cols)):
-        for j in range(len(cols)):
-            scale = F.sqrt(F.col(f"c{i}_{i}")) * F.sqrt(F.col(f"c{j}_{j}"))
-            corr = F.try_divide(F.col(f"c{min(i, j)}_{max(i, j)}"), scale)
-            cells.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), corr.alias(f"corr_{side}")))
-    return rows(df.agg(*aggs), cells)
+    """(a, b, corr_<side>) for every ordered pair over the complete rows; null for a constant column.
+
+    One pass sums the products of whole vectors, so that the plan does not grow with the square of the width; the driver sees
+    one matrix of columns by columns.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]).dropna()
+    vectors = VectorAssembler(inputCols=numbers.columns, outputCol="_v").transform(numbers).select("_v")
+    blank = [[None] * len(cols)] * len(cols)
+    matrix, varies = blank, [False] * len(cols)
+    if len(vectors.take(2)) == 2:
+        matrix = Correlation.corr(vectors, "_v").first()[0].toArray().tolist()
+        varies = [v > 0 for v in vectors.select(Summarizer.variance(F.col("_v"))).first()[0]]
+    cells = [(a, b, matrix[i][j] if varies[i] and varies[j] else None) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(cells, f"a string, b string, corr_{side} double")
 
 
 def matrix_fidelity(real: DataFrame, synthetic: DataFrame, key: str, cols: Sequence[str] | None = None) -> DataFrame:
