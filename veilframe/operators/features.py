@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.dates import age_group, age_years, birth_month, birth_year, parse_date
-from veilframe.operators.lookup import BROADCAST_BYTES, lookup_join
+from veilframe.operators.lookup import BROADCAST_BYTES, heavy_keys_of, lookup_join
 from veilframe.operators.ordered import with_row_index
 from veilframe.operators.shape import long_values, rows, text_of
 from veilframe.schema import Roles, find_column, present, require
@@ -88,20 +88,27 @@ def apply_encoder(df: DataFrame, codes: DataFrame, broadcast_bytes: int = BROADC
     """Replace every encoded column by its codes; unseen values become null.
 
     Code tables are broadcast, smallest first, while the measured size of all of them together stays under
-    ``broadcast_bytes``; the rest take the shuffle join.
+    ``broadcast_bytes``; the rest take the shuffle join. Their heavy values are found in one scan of the input, so that the
+    number of jobs does not depend on the number of columns.
     """
     measured = codes.groupBy("column").agg(F.sum(F.octet_length("value") + 32).alias("bytes")).collect()
     sizes = {r["column"]: r["bytes"] for r in measured}  # one row per column
-    order, held = df.columns, 0
-    for c in sorted((c for c in order if c in sizes), key=lambda c: sizes[c]):
+    order, held, small = df.columns, 0, set()
+    smallest_first = sorted((c for c in order if c in sizes), key=lambda c: sizes[c])
+    for c in smallest_first:
         held += sizes[c]
+        if held <= broadcast_bytes:
+            small.add(c)
+    large = {c: F.coalesce(text_of(df, c), F.lit(MISSING_LEVEL)) for c in smallest_first if c not in small}
+    heavy = heavy_keys_of(df, large) if large else {}
+    for c in smallest_first:
         text = F.coalesce(text_of(df, c), F.lit(MISSING_LEVEL))
         table = codes.filter(F.col("column") == c).select(F.col("value").alias("_level"), F.col("code").alias("_code"))
         keyed = df.withColumn("_level", text)
-        if held <= broadcast_bytes:
+        if c in small:
             joined = keyed.join(F.broadcast(table), "_level", "left")
         else:
-            joined = lookup_join(keyed, table, "_level")
+            joined = lookup_join(keyed, table, "_level", heavy=heavy[c])
         df = joined.withColumn(c, F.col("_code")).select(*order)
     return df
 

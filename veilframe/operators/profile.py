@@ -14,13 +14,20 @@ from veilframe.schema import numeric_columns, string_columns
 
 
 def profile_table(df: DataFrame) -> DataFrame:
-    """Rows, columns, missing cells and duplicate rows, from one grouping by whole row."""
-    cells = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), 1).otherwise(0) for c in df.columns])
-    distinct = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-    return distinct.select("_copies", cells.alias("_missing")).agg(
+    """Rows, columns, missing cells and duplicate rows, from one grouping.
+
+    Rows are grouped by two 64-bit hashes of their cells, so that no full row is shuffled. Hashes skip nulls, so where the
+    nulls are is hashed as well.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    blank = [c.isNull() for c in cols]
+    cells = reduce(lambda a, b: a + b, [b.cast("int") for b in blank])
+    keys = [F.xxhash64(*cols, *blank).alias("_h1"), F.xxhash64(F.lit(1), *reversed(cols), *blank).alias("_h2")]
+    distinct = df.select(*keys, cells.alias("_missing")).groupBy("_h1", "_h2").agg(F.count("*").alias("_copies"), F.sum("_missing").alias("_missing"))
+    return distinct.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_records"),
         F.lit(len(df.columns)).cast("bigint").alias("total_columns"),
-        F.coalesce(F.sum(F.col("_copies") * F.col("_missing")), F.lit(0)).alias("missing_values"),
+        F.coalesce(F.sum("_missing"), F.lit(0)).alias("missing_values"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_records"),
     )
 
