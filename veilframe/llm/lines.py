@@ -4,9 +4,10 @@ A line is the set of its words. Sets are ordered by rarity, so that two sets of
 prefixes: they meet in an equi-join on prefix words, under filters by size, by position of the shared word, and by a parity
 signature (the bits in which two signatures differ are words that one set alone has). What is left is verified on full sets.
 
-Equal sets are one class from the start. A prefix word that many classes share, as the lines of many near copies do, is not
-joined: its classes are compared inside tasks, chunk by chunk, on their full sets, and only counts leave the task. A pair is
-counted at its rarest common word alone, in one way or the other, so nothing is counted twice and no pair is lost.
+Equal sets are one class from the start. What the join leaves are candidates; their components are compared inside tasks, a
+set shipped once, so that a family of near copies costs its members and not its pairs. A prefix word that very many classes
+share is not joined: its classes are compared inside tasks too, chunk by chunk. Only counts leave a task. A pair that shares such
+words is counted at the least of them, any other pair in its component, so nothing is counted twice and no pair is lost.
 
 Rarity is a logarithm of how often words of a hashed counter occur in all texts; any fixed order gives the same links, so
 colliding counters cost time only. A counter of one tells that a word cannot be shared, and it is left out of the join.
@@ -18,18 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import GOLDEN, U64, arrow_map, may_hold, membership, mixed, pick, ragged, slices, word_hashes, words
+from veilframe.llm.common import GOLDEN, U64, arrow_map, components, may_hold, membership, mixed, pick, ragged, slices, word_hashes, words
 from veilframe.session import materialise
 
 COUNTERS = 1 << 24
-CROWD = 64
-CHUNK = 512
+CROWD = 512
+CHUNK = 2048
 SLAB = 4096
 #: Jaccard of 4/5: overlap * 9 >= 4 * (sum of sizes). Sets of three words or fewer match only themselves.
 LEAST_SIZE = 4
+#: Words above which a set spreads its parity over 128 bits instead of 64. A set at most a quarter larger has its own, so
+#: sets on both sides of the border are compared in what they have in common: both halves folded into one.
+WIDE = 50
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,19 +102,25 @@ def word_counters(docs: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 
-def _sums(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two order-free 64-bit digests of each set, and its parity signature."""
+def _sums(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two order-free 64-bit digests of each set, and its parity signature; the second half only of sets above ``WIDE``."""
     at = np.concatenate([[0], np.cumsum(sizes)])
     total = lambda x: np.diff(np.concatenate([np.zeros(1, U64), np.cumsum(x)])[at])
-    bit = U64(1) << (mixed(keys + U64(3 * GOLDEN % (1 << 64))) & U64(63))
-    parity = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(bit)])[at]
-    return total(mixed(keys + U64(GOLDEN))), total(mixed(keys ^ U64(GOLDEN))), parity[1:] ^ parity[:-1]
+    spot = mixed(keys + U64(3 * GOLDEN % (1 << 64)))
+    bit = U64(1) << (spot & U64(63))
+    half = (spot >> U64(63)).astype(bool) & (np.repeat(sizes, sizes) > WIDE)
+    parities = []
+    for own in (np.where(half, U64(0), bit), np.where(half, bit, U64(0))):
+        run = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(own)])[at]
+        parities.append(run[1:] ^ run[:-1])
+    return total(mixed(keys + U64(GOLDEN))), total(mixed(keys ^ U64(GOLDEN))), *parities
 
 
 def line_table(docs: DataFrame, rare) -> DataFrame:
-    """A row for each line with words: doc_id, text_hash, line_no, d1, d2 (digest), size, parity, skip, prefix.
+    """A row for each line with words: doc_id, text_hash, line_no, d1, d2 (digest), size, parity, more, skip, prefix.
 
-    The prefix is null where it cannot match another set and where the task has given it before.
+    The prefix holds the upper halves of hashes: two words that share one meet in the join for nothing, and are told apart after
+    it. It is null where it cannot match another set and where the task has given it before.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +128,7 @@ def line_table(docs: DataFrame, rare) -> DataFrame:
         for rows, data, offsets in slices(batches):
             starts, text, number = split_lines(data, offsets)
             keys, sizes = ordered_sets(data, starts, rare.value)
-            d1, d2, parity = _sums(keys, sizes)
+            d1, d2, parity, more = _sums(keys, sizes)
             at = np.concatenate([[0], np.cumsum(sizes)])
             single = np.concatenate([[0], np.cumsum(rare.value[keys & U64(COUNTERS - 1)] == 1)])
             skip = single[at[1:]] - single[at[:-1]]  # words without partners are the rarest, so they come first
@@ -135,7 +145,7 @@ def line_table(docs: DataFrame, rare) -> DataFrame:
             spots = np.repeat(first[kept] - (np.cumsum(own[kept]) - own[kept]), own[kept]) + np.arange(own[kept].sum())
             ends = np.concatenate([[0], np.cumsum(own[kept])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(
-                pa.array(ends[:-1].tolist() + [int(ends[-1])], mask=np.append(~take[kept], False), type=pa.int32()), pa.array(keys[spots].view(np.int64))
+                pa.array(ends[:-1].tolist() + [int(ends[-1])], mask=np.append(~take[kept], False), type=pa.int32()), pa.array((keys[spots] >> U64(32)).astype(np.uint32).view(np.int32))
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -146,26 +156,27 @@ def line_table(docs: DataFrame, rare) -> DataFrame:
                     pa.array(d2[kept].view(np.int64)),
                     pa.array(sizes[kept]),
                     pa.array(parity[kept].view(np.int64)),
+                    pa.array(more[kept].view(np.int64)),
                     pa.array(skip[kept]),
                     prefix,
                 ],
-                ["doc_id", "text_hash", "line_no", "d1", "d2", "size", "parity", "skip", "prefix"],
+                ["doc_id", "text_hash", "line_no", "d1", "d2", "size", "parity", "more", "skip", "prefix"],
             )
 
-    schema = "doc_id long, text_hash long, line_no long, d1 long, d2 long, size long, parity long, skip long, prefix array<bigint>"
+    schema = "doc_id long, text_hash long, line_no long, d1 long, d2 long, size long, parity long, more long, skip long, prefix array<int>"
     return arrow_map(docs, make, schema)
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, rare) -> DataFrame:
-    """d1, d2, keys: the full sets, rarest word first, of the wanted d1."""
-    held = membership(wanted.select("d1"), "d1")
+    """d1, d2, keys: full sets; at least those of the wanted d1, each once for a task that has it."""
+    held = membership(wanted, "d1")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
+        given: set[tuple[int, int]] = set()
         for _, data, offsets in slices(batches):
             starts, _, _ = split_lines(data, offsets)
             keys, sizes = ordered_sets(data, starts, rare.value)
-            d1, d2, _ = _sums(keys, sizes)
+            d1, d2, *_ = _sums(keys, sizes)
             take = []
             for line in np.flatnonzero(may_hold(held.value, d1) & (sizes >= LEAST_SIZE)).tolist():
                 if (name := (int(d1[line]), int(d2[line]))) not in given:
@@ -182,28 +193,131 @@ def set_table(docs: DataFrame, wanted: DataFrame, rare) -> DataFrame:
                     ["d1", "d2", "keys"],
                 )
 
-    found = arrow_map(docs.select("text"), make, "d1 long, d2 long, keys array<bigint>")
-    return found.groupBy("d1", "d2").agg(F.first("keys").alias("keys")).join(wanted, "d1", "left_semi")
+    return arrow_map(docs.select("text"), make, "d1 long, d2 long, keys array<bigint>")
 
 
-def crowd_links(token: int, same_chunk: bool, left: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    """Which members of a chunk, or of two (``left`` tells the first), are linked and share no word rarer than ``token``."""
-    sizes = np.array([len(k) for k in keys])
-    word, spot, often = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+def _incidence(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Owner and column of the values that two lists or more have, and how many columns there are."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    _, spot, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[spot]
-    owner = np.repeat(np.arange(len(keys)), sizes)
-    earlier = np.concatenate([np.arange(len(k)) < int(np.flatnonzero(k == U64(token))[0]) for k in keys])
-    shared = np.zeros((len(keys), len(keys)), np.float32)
-    before = np.zeros_like(shared)
-    for at in range(0, int(column.max(initial=-1)) + 1, SLAB):
+    return owner[column >= 0], column[column >= 0], int((often > 1).sum())
+
+
+def _shared(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each two lists share, by products of 0/1 rows, a slab of values at a time."""
+    owner, column, width = _incidence(lists)
+    total = np.zeros((len(lists), len(lists)), np.float32)
+    for at in range(0, width, SLAB):
         inside = (column >= at) & (column < at + SLAB)
-        for mask, total in ((inside, shared), (inside & earlier, before)):
-            rows = np.zeros((len(keys), SLAB), np.float32)
-            rows[owner[mask], column[mask] - at] = 1
-            total += rows @ rows.T
-    linked = (9 * shared >= 4 * (sizes[:, None] + sizes[None, :])) & (before == 0)
+        rows = np.zeros((len(lists), min(SLAB, width - at)), np.float32)
+        rows[owner[inside], column[inside] - at] = 1
+        total += rows @ rows.T
+    return total
+
+
+def linked_sets(keys: list[np.ndarray], crowds: list[np.ndarray], token: int | None = None) -> np.ndarray:
+    """Which sets are similar and counted here: those that share no crowded prefix word, or for a ``token`` none less than it."""
+    sizes = np.array([len(k) for k in keys])
+    if len(keys) == 2:
+        common = np.full((2, 2), len(np.intersect1d(*keys, assume_unique=True)), np.float32)
+    else:
+        common = _shared(keys)
+    linked = 9 * common >= 4 * (sizes[:, None] + sizes[None, :])
+    less = [c if token is None else c[c < token] for c in crowds]
+    if sum(map(len, less)):
+        linked &= _shared(less) == 0
     np.fill_diagonal(linked, False)
-    return linked if same_chunk else linked & (left[:, None] != left[None, :])
+    return linked
+
+
+def _place_key(p: dict) -> tuple:
+    return p["null_id"], p["doc_id"] or 0, p["text_hash"], p["line_no"]
+
+
+def compare(group: pa.Table) -> pa.Table:
+    """Links and the earliest linked place of the sets of a cell: components whole, or a chunk or two of a large group."""
+    d1, d2, chunk, part = (group[c].to_numpy() for c in ("d1", "d2", "chunk", "component"))
+    keys = [k.values.to_numpy().view(U64) for k in group["keys"]]
+    crowds = [np.sort(c.values.to_numpy()) if c.is_valid else np.zeros(0, np.int32) for c in group["crowds"]]
+    places = group["place"].to_pylist()
+    token = group["key"][0].as_py() if group["kind"][0].as_py() else None
+    across = group["x"][0].as_py() != group["y"][0].as_py()
+    seen: dict[tuple, int] = {}
+    for k, name in enumerate(zip(part.tolist(), d1.tolist(), d2.tolist())):
+        seen.setdefault(name, k)  # several tasks may have given a set
+    members: dict[int, list[int]] = {}
+    for (component, _, _), k in seen.items():
+        members.setdefault(component, []).append(k)
+    out = []
+    for own in members.values():
+        if len(own) < 2:
+            continue
+        linked = linked_sets([keys[k] for k in own], [crowds[k] for k in own], token)
+        if across:
+            linked &= chunk[own][:, None] != chunk[own][None, :]
+        links = linked.sum(1)
+        if not links.any():
+            continue
+        order = sorted(range(len(own)), key=lambda k: _place_key(places[own[k]]))
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own))
+        best = np.where(linked, rank[None, :], len(own)).min(1)
+        out += [(int(d1[own[k]]), int(d2[own[k]]), int(links[k]), places[own[order[best[k]]]]) for k in np.flatnonzero(links).tolist()]
+    column = lambda k, kind: pa.array([r[k] for r in out], kind)
+    return pa.table({"d1": column(0, pa.int64()), "d2": column(1, pa.int64()), "links": column(2, pa.int64()), "earliest": column(3, group.schema.field("place").type)})
+
+
+def candidates(table: DataFrame) -> DataFrame:
+    """a, b: classes (d1) that may be similar, token null; or a class, null, and a crowded token with its number of members."""
+    # Several tasks may have given a class; the window spills and does not hold a frequent word's rows in memory.
+    meeting = (
+        table.where("size(prefix) > 0")
+        .select("d1", "size", "parity", "more", "skip", F.posexplode("prefix").alias("at", "token"))
+        .select("token", "d1", "size", "parity", "more", (F.col("at") + F.col("skip")).alias("at"))
+        .withColumn("members", F.count("*").over(Window.partitionBy("token")))
+    )
+    alone = meeting.where(F.col("members") <= CROWD)
+    left, right = (alone.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("d1", "size", "parity", "more", "at")]) for x in "ab")
+    apart = "bit_count(parity_a ^ parity_b) + bit_count(more_a ^ more_b)"
+    folded = "bit_count(parity_a ^ more_a ^ parity_b ^ more_b)"
+    pairs = (
+        left.join(right, "token")
+        .where("d1_a < d1_b AND 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
+        .where("9 * least(size_a - at_a, size_b - at_b) >= 4 * (size_a + size_b)")
+        .where(f"9 * if((size_a > {WIDE}) = (size_b > {WIDE}), {apart}, {folded}) <= size_a + size_b")
+        .select(F.col("d1_a").alias("a"), F.col("d1_b").alias("b"))
+        .distinct()
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    crowd = meeting.where(F.col("members") > CROWD).select(F.col("d1").alias("a"), none("long").alias("b"), "token", "members").distinct()
+    return pairs.select("a", "b", none("int").alias("token"), none("long").alias("members")).unionByName(crowd)
+
+
+def cells(found: DataFrame) -> DataFrame:
+    """kind, key, x, y, component, chunk, d1, crowds: which sets are compared with which, each component and crowd in chunks."""
+    crowd = found.where("token IS NOT NULL")
+    crowds = crowd.groupBy(F.col("a").alias("d1")).agg(F.collect_set("token").alias("crowds"))  # at most a prefix
+    labels = components(found.where("token IS NULL").select("a", "b"), "families").withColumnRenamed("node", "d1")
+    families = materialise(labels.join(labels.groupBy("component").agg(F.count("*").alias("members")), "component"), "labels")
+    few = max(1, families.count() // 2_000)
+    zero = F.lit(0).cast("long")
+    small = families.where(F.col("members") <= CHUNK).select(
+        F.lit(0).alias("kind"), F.pmod(F.xxhash64("component"), F.lit(few)).alias("key"), zero.alias("x"), zero.alias("y"), "component", zero.alias("chunk"), "d1"
+    )
+    large = (
+        families.where(F.col("members") > CHUNK)
+        .select(F.lit(0).alias("kind"), F.col("component").alias("key"), "component", "members", "d1")
+        .unionByName(crowd.select(F.lit(1).alias("kind"), F.col("token").cast("long").alias("key"), zero.alias("component"), "members", F.col("a").alias("d1")))
+    )
+    chunks = F.ceil(F.col("members") / (CHUNK // 2)).cast("long")
+    mine = F.pmod(F.xxhash64("d1"), chunks)
+    cell = lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"))
+    large = large.select("kind", "key", F.explode(F.transform(F.sequence(zero, chunks - 1), cell)).alias("cell"), "component", mine.alias("chunk"), "d1")
+    # Small families share cells of about two thousand sets; x = y = -1 keeps them apart from a large family's key.
+    small = small.withColumns({"x": F.lit(-1).cast("long"), "y": F.lit(-1).cast("long")})
+    every = small.unionByName(large.select("kind", "key", "cell.*", "component", "chunk", "d1"))
+    return every.join(crowds, "d1", "left")
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,75 +334,12 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rare = word_counters(docs)
     table = materialise(line_table(docs, rare), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "line_no")
-    classes = materialise(
-        table.groupBy("d1", "d2").agg(
-            F.min(place).alias("place"), F.max("size").alias("size"), F.max("parity").alias("parity"), F.max("skip").alias("skip"), F.max("prefix").alias("prefix")
-        ),
-        "classes",
-    )
-    meeting = classes.where("size(prefix) > 0").select(
-        "d1", "size", "parity", F.posexplode("prefix").alias("at", "token"), "skip"
-    ).select("token", "d1", "size", "parity", (F.col("at") + F.col("skip")).alias("at"))
-    crowded = materialise(meeting.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") > CROWD), "crowded")
-    marked = meeting.join(crowded, "token", "left")
-    alone = marked.where("members IS NULL")
-    a, b = (alone.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("d1", "size", "parity", "at")]) for x in "ab")
-    pairs = materialise(
-        a.join(b, "token")
-        .where("d1_a < d1_b AND 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
-        .where("9 * least(size_a - at_a, size_b - at_b) >= 4 * (size_a + size_b)")
-        .where("9 * bit_count(parity_a ^ parity_b) <= size_a + size_b")
-        .select("d1_a", "d1_b")
-        .distinct(),
-        "pairs",
-    )
-    chunks = F.ceil(F.col("members") / (CHUNK // 2)).cast("long")
-    mine = F.pmod(F.xxhash64("d1"), chunks)
-    cell = lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"))
-    crowd = materialise(
-        meeting.join(crowded, "token")
-        .select("token", "d1", mine.alias("chunk"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), cell)).alias("cell"))
-        .select("token", "d1", "chunk", "cell.*"),
-        "crowd",
-    )
-    wanted = pairs.select(F.col("d1_a").alias("d1")).unionByName(pairs.select(F.col("d1_b").alias("d1"))).unionByName(crowd.select("d1")).distinct()
-    sets = materialise(set_table(docs, wanted, rare).join(classes.select("d1", "d2", "place"), ["d1", "d2"]), "sets")
-
-    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("d1", "d2", "keys", "place")])
-    common = F.array_intersect("keys_a", "keys_b")
-    verified = (
-        pairs.join(side("a"), "d1_a")
-        .join(side("b"), "d1_b")
-        .withColumn("common", common)
-        .where(9 * F.size("common") >= 4 * (F.size("keys_a") + F.size("keys_b")))
-        .withColumn("token", F.element_at("common", 1))
-        .join(crowded.select("token"), "token", "left_anti")
-    )
-    half = lambda x, y: verified.select(F.col(f"d1_{x}").alias("d1"), F.col(f"d2_{x}").alias("d2"), F.lit(1).cast("long").alias("links"), F.col(f"place_{y}").alias("earliest"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        chunk = group["chunk"].to_numpy()
-        keys = [k.values.to_numpy().view(U64) for k in group["keys"]]
-        same = group["x"][0] == group["y"][0]
-        linked = crowd_links(group["token"][0].as_py() & (1 << 64) - 1, same, chunk == group["x"][0].as_py(), keys)
-        links = linked.sum(1)
-        names = ("null_id", "doc_id", "text_hash", "line_no")
-        places = [tuple(p[n] for n in names) for p in group["place"].to_pylist()]
-        order = sorted(range(len(places)), key=lambda k: (places[k][0], places[k][1] or 0, *places[k][2:]))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        has = np.flatnonzero(links)
-        best = np.where(linked[has], rank[None, :], len(order)).min(1)
-        earliest = pa.array([dict(zip(names, places[order[k]])) for k in best.tolist()], group.schema.field("place").type)
-        return pa.table({"d1": group["d1"].take(pa.array(has)), "d2": group["d2"].take(pa.array(has)), "links": pa.array(links[has]), "earliest": earliest})
-
-    of_crowd = (
-        crowd.join(sets, "d1")
-        .select("token", "x", "y", "chunk", "d1", "d2", "keys", "place")
-        .groupBy("token", "x", "y")
-        .applyInArrow(compare, "d1 long, d2 long, links long, earliest struct<null_id: boolean, doc_id: bigint, text_hash: bigint, line_no: bigint>")
-    )
-    links = half("a", "b").unionByName(half("b", "a")).unionByName(of_crowd).groupBy("d1", "d2").agg(F.sum("links").alias("n_links"), F.min("earliest").alias("earliest"))
+    classes = materialise(table.groupBy("d1", "d2").agg(F.min(place).alias("place")), "classes")
+    todo = materialise(cells(materialise(candidates(table), "candidates")).join(classes, "d1"), "cells")
+    compared = todo.join(set_table(docs, todo.select("d1").distinct(), rare), ["d1", "d2"])
+    shape = "d1 long, d2 long, links long, earliest struct<null_id: boolean, doc_id: bigint, text_hash: bigint, line_no: bigint>"
+    found = compared.groupBy("kind", "key", "x", "y").applyInArrow(compare, shape)
+    links = found.groupBy("d1", "d2").agg(F.sum("links").alias("n_links"), F.min("earliest").alias("earliest"))
     known = classes.select("d1", "d2", "place").join(links, ["d1", "d2"], "left").select(
         "d1", "d2", F.col("place").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.least("place", F.coalesce("earliest", "place")).alias("earliest")
     )
