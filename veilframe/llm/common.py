@@ -1,6 +1,6 @@
 """Helpers of the operators: texts as byte arrays, word hashes, durable tables, a fixed-size membership filter.
 
-Texts arrive as Arrow batches. They are cut into slices of a few megabytes (a longer text is a slice of its own), and
+Texts arrive as Arrow batches. They are cut into slices of half a megabyte (a longer text is a slice of its own), and
 all numpy work runs over the bytes of a slice at once, so that memory depends on the longest text and not on the input.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilframe.session import materialise
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 GOLDEN = 0x9E3779B97F4A7C15
 _BASE = U64(0xD6E8FEB86659FD93)
@@ -123,6 +123,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
+def share(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, or all if it has fewer: those whose hashed key is low enough, the same at every run."""
+    cells = 1 << 30
+    return df.where(F.pmod(F.xxhash64(F.lit(17), *key), F.lit(cells)) < int(min(1.0, rows / max(1, df.count())) * cells))
+
+
 def arrow_map(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(make, schema)
 
