@@ -47,7 +47,7 @@ def edited(rng, words, n):
 
 
 def make_rows(rng, docs):
-    bases = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 4, 5, 9, 12, 30]))] for _ in range(14)]
+    bases = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 4, 5, 9, 12, 30, 54, 57]))] for _ in range(14)]
     rows = []
     for i in range(docs):
         text = "\n".join(edited(rng, rng.choice(bases), rng.choice([0, 0, 1, 1, 2, 4])) for _ in range(rng.randint(1, 4)))
