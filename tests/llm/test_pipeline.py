@@ -62,3 +62,16 @@ def test_odd_rows_go_through(spark):
         for name, stage in cp.STAGES:
             docs = cp.materialise(stage(spark, docs, "/root/testdata/sf0.001"), name)
         assert (docs.count() > 0) == (count > 0)
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    """Pairs between 0.80 and 0.85 go as well, those just below 0.80 stay."""
+    words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    rows = []
+    for k in range(40):  # n words in front of an own ending: Jaccard (n - 4) / (n + 16)
+        n = (80, 84, 100, 110)[k % 4]
+        rows += [(100 * k + e, " ".join(words(k, n) + [f"end{k}y{e}z{i}" for i in range(10)]), "en", "s", 0) for e in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(r[0] for r in near_brute([r[:2] for r in rows], 80) if r[3])
+    assert sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, MEDIUM).collect()) == want
+    assert 40 < len(want) < sum(r[3] for r in near_brute([r[:2] for r in rows]))

@@ -44,10 +44,16 @@ from veilframe.session import materialise
 REGISTERS = 128
 BASE = 1.001
 RATE = 20.0
-BANDS, ROWS = 25, 5
+MISS = 1e-6
 TOP = 65535
 
 
+def banding(percent: int, registers: int = REGISTERS) -> tuple[int, int]:
+    """Bands and rows of a band: as many rows as let two sets of just that similarity miss all bands with a chance of at most ``MISS``."""
+    fitting = [(registers // rows, rows) for rows in range(1, registers + 1) if (1 - (percent / 100) ** rows) ** (registers // rows) <= MISS]
+    return fitting[-1]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, sorted, end to end, and how many each text has."""
     starts, ends, owner = words(data, offsets)
@@ -134,20 +140,21 @@ def sketch_table(docs: DataFrame, size: int) -> DataFrame:
     return arrow_map(docs, make, "doc_id long, text_hash long, n long, digest binary, registers binary")
 
 
-def band_table(classes: DataFrame) -> DataFrame:
+def band_table(classes: DataFrame, percent: int) -> DataFrame:
     """bucket, digest: a row for each band of each class."""
+    n_bands, n_rows = banding(percent)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-            bands = registers[:, : BANDS * ROWS].reshape(batch.num_rows, BANDS, ROWS).astype(U64)
-            key = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=U64)), bands.shape[:2])
-            for r in range(ROWS):
+            bands = registers[:, : n_bands * n_rows].reshape(batch.num_rows, n_bands, n_rows).astype(U64)
+            key = np.broadcast_to(mixed(np.arange(1, n_bands + 1, dtype=U64)), bands.shape[:2])
+            for r in range(n_rows):
                 key = mixed(key * U64(GOLDEN) + bands[:, :, r])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.T.reshape(-1).view(np.int64)), pa.concat_arrays([batch.column(0)] * BANDS)], ["bucket", "digest"]
+                [pa.array(key.T.reshape(-1).view(np.int64)), pa.concat_arrays([batch.column(0)] * n_bands)], ["bucket", "digest"]
             )
 
     return arrow_map(classes.select("digest", "registers"), make, "bucket long, digest binary")
@@ -297,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("registers").alias("registers")),
         "classes",
     )
-    bands = band_table(classes)
+    bands = band_table(classes, percent)
     buckets = bands.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = materialise(bands.join(buckets, "bucket").select("bucket", "digest", "leader"), "members")
     sets = materialise(set_table(docs.select("text"), members.select("digest").distinct(), shingle), "sets")
