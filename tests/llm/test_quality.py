@@ -65,3 +65,19 @@ def test_odd_rows(spark):
     assert [r["held_out"] for r in out if r["doc_id"] is None] == [False]
     assert {r["score"] for r in quality.score_quality(docs, known.where("false")).collect()} == {0.5}
     assert quality.score_quality(docs.where("false"), known).collect() == []
+
+
+def test_an_id_that_repeats_is_one_training_row(spark):
+    """A hot id brings one row, whichever order its rows come in; the model is that of the table without repeats."""
+    rows = [(i, ("good words here. " if i % 2 else "BAD!! || 123 <> ") * (1 + i % 9)) for i in range(200)]
+    hot = [(1, f"variant {k} of a hot text") for k in range(300)] + [(2, rows[2][1])] * 300
+    docs = spark.createDataFrame(rows + hot, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0, None) for i in range(200)], LABELS)
+    known = labels.selectExpr("doc_id", "quality AS label")
+    first = quality.labelled_rows(docs, known).collect()
+    assert len(first) == 200 and {r["doc_id"] for r in first} == set(range(200))
+    assert sorted(first) == sorted(quality.labelled_rows(docs.orderBy("text").repartition(3), known).collect())
+    one = docs.selectExpr("*", "xxhash64(text) AS h").groupBy("doc_id").agg({"h": "min"}).toDF("doc_id", "h")
+    alone = docs.selectExpr("*", "xxhash64(text) AS h").join(one, ["doc_id", "h"]).select("doc_id", "text").distinct()
+    a, b = quality.fit(docs, labels), quality.fit(alone, labels)
+    assert len(a.feature) and a.prior == b.prior and np.array_equal(a.value, b.value) and np.array_equal(a.feature, b.feature)

@@ -150,14 +150,22 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
     return Model(prior, *(np.array([tree[i] for tree in forest]) for i in range(3)))
 
 
-def _statistics_of(docs: DataFrame, extra: str) -> DataFrame:
+def _statistics_of(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
             x = statistics(data, offsets)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), flat], ["doc_id", extra, "x"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], flat], ["doc_id", "label", "text_hash", "x"])
 
-    return arrow_map(docs.select("doc_id", extra, "text"), make, f"doc_id long, {extra} int, x array<double>")
+    rows = docs.select("doc_id", "label", F.xxhash64("text").alias("text_hash"), "text")
+    return arrow_map(rows, make, "doc_id long, label int, text_hash long, x array<double>")
+
+
+def labelled_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, label, x: a row for each id of ``known`` that ``docs`` has, however often it repeats there."""
+    # ``known`` is bounded by a parameter, hence the broadcast; what leaves a task is a row for each of its ids.
+    rows = _statistics_of(docs.join(F.broadcast(known), "doc_id"))
+    return rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("x", "text_hash").alias("x"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, sample_rows: int = SAMPLE_ROWS, label_col: str = "quality") -> Model:
@@ -165,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, sample_rows: i
 
     The sample is the documents whose hashed ids come first, the same at every run; of very many labels only about four times
     as many are looked at, chosen by hash as well. Where labels of an id disagree the lower
-    one counts; null labels and ids do not.
+    one counts; null labels and ids do not. Of rows that repeat an id the one whose text has the smallest hash counts.
     """
     known = (
         pick(share(labels, 4 * sample_rows, "doc_id"), doc_id="doc_id", label=label_col)
@@ -176,8 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, sample_rows: i
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    # The sample is bounded by a parameter, hence the broadcast.
-    rows = _statistics_of(docs.join(F.broadcast(known), "doc_id"), "label").toArrow()
+    rows = labelled_rows(docs, known).toArrow()
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, len(FEATURES))
     order = np.lexsort([*x.T[::-1], rows["doc_id"].to_numpy()])
     return train(x[order], rows["label"].to_numpy()[order].astype(float))
