@@ -86,3 +86,11 @@ def test_box(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 100]], "x double")
     r = I.box_stats({"a": df}, "X").first()
     assert (r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"], r["outliers"]) == (2, 3, 4, 1, 4, 1)
+
+
+def test_registered_validation_trains_both_models(spark):
+    """Random forest and logistic regression have a row for every field in a registered validation."""
+    from veilframe.plans.catalog import QUERIES
+
+    found = {r["param"] for r in QUERIES["validate_with_models"](spark, SMALL).filter("metric = 'ml_performance'").collect()}
+    assert found == {"model=random_forest", "model=logistic_regression"}

@@ -161,6 +161,18 @@ def stream_ingest_mapped(spark: SparkSession, sf: str) -> DataFrame:
     return dated(spark.read.schema(people.schema).parquet(out).drop("id", "batch"))
 
 
+def stream_ingest_mapped_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Random ids of a drop folder, summarised: no row and no id is lost."""
+    path, people = _people_csv(spark, sf)
+    out, mapping = scratch_path(spark, "ingested"), scratch_path(spark, "mapping")
+    query = ingest_dropfolder(
+        spark, path, out, scratch_path(spark, "offsets"), schema=people.schema, mode="random", mapping_path=mapping
+    )
+    query.awaitTermination()
+    done = spark.read.schema(people.schema).parquet(out)
+    return done.agg(F.count("*").alias("n"), F.count("id").alias("ids"), F.countDistinct("id").alias("distinct_ids"))
+
+
 # --- profiling -----------------------------------------------------------------------------------
 
 
@@ -264,7 +276,7 @@ def mapping_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_utility(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(models.model_utility(person(spark, sf), shifted(spark, sf), "id", trees=100, max_depth=5))
+    return rounded(models.model_utility(person(spark, sf), shifted(spark, sf), "id"))
 
 
 def validate(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +286,7 @@ def validate(spark: SparkSession, sf: str) -> DataFrame:
 
 def validate_with_models(spark: SparkSession, sf: str) -> DataFrame:
     original, anonymised = person(spark, sf), pseudonyms.mask_columns(shifted(spark, sf))
-    return workflows.validate(original, anonymised, models=["logistic_regression"])
+    return workflows.validate(original, anonymised)
 
 
 def _density(series: dict[str, DataFrame], digits: int) -> DataFrame:
@@ -337,13 +349,22 @@ def synthesise_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anonymise(spark: SparkSession, sf: str) -> DataFrame:
-    return workflows.anonymise(person(spark, sf), AS_OF, mapping_path=scratch_path(spark, "mapping"), models=["logistic_regression"])[1]
+    return workflows.anonymise(person(spark, sf), AS_OF, mapping_path=scratch_path(spark, "mapping"))[1]
 
 
 def anonymise_no_synthesis(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(workflows.anonymise_no_synthesis(person(spark, sf), AS_OF, mode="keyed", secret=SECRET, models=[])[1], 3)
 
 
+def anonymise_no_synthesis_with_models(spark: SparkSession, sf: str) -> DataFrame:
+    return workflows.anonymise_no_synthesis(person(spark, sf), AS_OF, mode="keyed", secret=SECRET)[1]
+
+
+def anonymise_files_with_models(spark: SparkSession, sf: str) -> DataFrame:
+    path, people = _people_csv(spark, sf)
+    return workflows.anonymise_files(spark, path, scratch_path(spark, "run"), AS_OF, synthesis=False, mode="keyed", secret=SECRET, reader={"schema": people.schema})
+
+
 def anonymise_files(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run from a CSV file to its stored report, without synthesis."""
     path, people = _people_csv(spark, sf)
@@ -364,6 +385,7 @@ QUERIES: dict[str, Query] = {
     "report_store": report_store,
     "stream_ingest": stream_ingest,
     "stream_ingest_mapped": stream_ingest_mapped,
+    "stream_ingest_mapped_ids": stream_ingest_mapped_ids,
     # profiling
     "profile": lambda s, sf: profile.profile_table(doubled(s, sf)),
     "profile_lineitem": lambda s, sf: profile.profile_table(lineitem(s, sf)),
@@ -457,5 +479,7 @@ QUERIES: dict[str, Query] = {
     # workflows
     "anonymise": anonymise,
     "anonymise_no_synthesis": anonymise_no_synthesis,
+    "anonymise_no_synthesis_with_models": anonymise_no_synthesis_with_models,
     "anonymise_files": anonymise_files,
+    "anonymise_files_with_models": anonymise_files_with_models,
 }
