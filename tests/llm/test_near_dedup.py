@@ -105,3 +105,13 @@ def test_components_of_chains_and_stars(spark):
     got = dict(map(tuple, components(spark.createDataFrame(chain + star + chain[:5], "a long, b long"), "t").collect()))
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(51)}}
     assert components(spark.createDataFrame([], "a long, b long"), "t").collect() == []
+
+
+def test_bands_suffice_for_the_similarity():
+    """The chance to share no band stays below one in a million at any similarity that is not refused."""
+    assert near_dedup.banding(85) == (25, 5)
+    for percent in range(11, 101):
+        bands, rows = near_dedup.banding(percent)
+        assert bands * rows <= near_dedup.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(None, percent=10)

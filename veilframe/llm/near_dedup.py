@@ -51,6 +51,8 @@ TOP = 65535
 def banding(percent: int, registers: int = REGISTERS) -> tuple[int, int]:
     """Bands and rows of a band: as many rows as let two sets of just that similarity miss all bands with a chance of at most ``MISS``."""
     fitting = [(registers // rows, rows) for rows in range(1, registers + 1) if (1 - (percent / 100) ** rows) ** (registers // rows) <= MISS]
+    if not fitting:
+        raise ValueError(f"{registers} registers do not suffice for percent={percent}")
     return fitting[-1]
 
 
@@ -295,8 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reach, named by its smallest id, and the document of that id is kept. A text without words (null, empty, white space)
     has no set, is linked with nothing and is its own component. Rows that repeat are one class and stay rows; among rows
     with the same id and similar texts all are kept. A null id counts only where no other id is in the component; then the
-    component is null. Other columns play no part. An empty table gives an empty result.
+    component is null. Other columns play no part. An empty table gives an empty result. Two linked sets share no band with a
+    chance of at most ``MISS``; a ``percent`` too low for that is refused.
     """
+    banding(percent)
     docs = pick(docs, doc_id=id_col, text=text_col)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     table = materialise(sketch_table(docs, shingle), "sketches")
