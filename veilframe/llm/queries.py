@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import ann, decontaminate, lines, near_dedup, packing, pii, prefix_trie, quality, runs, sharding, sql, substrings
+from veilframe.llm import ann, class_lm, decontaminate, lines, near_dedup, packing, pii, prefix_trie, quality, runs, sharding, sql, substrings
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -94,6 +94,12 @@ def op11_square_catcher(spark: SparkSession, sf: str) -> DataFrame:
     return run_digests(runs.periodic_runs(repeat_tails(_read(spark, sf, "documents"))))
 
 
+def op12_brown_classes(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    held_out = F.coalesce(F.pmod(crc_of("doc_id"), F.lit(5)) == 1, F.lit(False))
+    return class_lm.score(docs, class_lm.fit(docs.where(~held_out))).withColumn("held_out", held_out)
+
+
 def borrowed_starts(sequences: DataFrame, most: int = 8) -> DataFrame:
     """Every conversation c with its first h = CRC(c) % 9 turns taken from conversation c - c % 5, none where that is absent."""
     base, h = F.col("conv_id") - F.pmod("conv_id", F.lit(5)), F.pmod(crc_of("conv_id"), F.lit(most + 1)).cast("int")
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_set_join": op9_set_join,
     "op10_best_fit": op10_best_fit,
     "op11_square_catcher": op11_square_catcher,
+    "op12_brown_classes": op12_brown_classes,
     "op13_hash_trie": op13_hash_trie,
 }
 
