@@ -32,8 +32,9 @@ COUNTED = 1 << 20
 #: Classes, the last of which holds the boundary alone.
 CLASSES = 128
 ROUNDS = 4
-PART_PAIRS = 1 << 20
-FLUSH = 1 << 22
+#: Pairs of a part, in both directions, on average; and words that a task counts before it hands on their counts.
+PART_PAIRS = 1 << 18
+FLUSH = 1 << 21
 
 
 @dataclass
@@ -148,8 +149,8 @@ def unit_parts(pairs: DataFrame, n_pairs: int) -> DataFrame:
 
 
 def _part_arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for row in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-        yield tuple(np.frombuffer(blob, kind) for blob, kind in zip(row, (np.int32, np.int32, bool, np.int64)))
+    for k in range(batch.num_rows):
+        yield tuple(np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in enumerate((np.int32, np.int32, bool, np.int64), 1))
 
 
 def class_matrix(parts: DataFrame, classes: np.ndarray) -> np.ndarray:
