@@ -34,7 +34,7 @@ CLASSES = 128
 ROUNDS = 4
 #: Pairs of a part, in both directions, on average; and words that a task counts before it hands on their counts.
 PART_PAIRS = 1 << 18
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 @dataclass
