@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import masks
 from veilframe.operators import pseudonyms as N
 from veilframe.session import scratch_path
-from veilframe.sources.store import load_mapping
+from veilframe.sources.mapping import load_mapping
 
 SCHEMA = "Id string, SSN string, FIRST string, LAST string, ADDRESS string, CITY string, STATE string, ZIP string"
 PEOPLE = [

@@ -10,6 +10,7 @@ from veilframe.operators.privacy import privacy_report
 from veilframe.plans import workflows as L
 from veilframe.schema import PERSON_SCHEMA
 from veilframe.session import durable_dir, scratch_path
+from veilframe.sources.mapping import load_mapping
 from veilframe.sources.report import read_report, write_report
 from veilframe.sources.tables import first_rows, read_people, write_table
 from veilframe.streaming.dropfolder import ingest_dropfolder
@@ -144,7 +145,8 @@ def test_whole_run_on_files(spark, tmp_path, small_person):
     assert sorted(os.listdir(out)) == [
         "catalogue", "codes", "features", "mapping", "processed", "pseudonymised", "report", "scaler", "synthetic"
     ]
-    assert {spark.read.parquet(f"{out}/{t}").count() for t in ("processed", "features", "mapping", "pseudonymised", "synthetic")} == {120}
+    assert {spark.read.parquet(f"{out}/{t}").count() for t in ("processed", "features", "pseudonymised", "synthetic")} == {120}
+    assert load_mapping(spark, f"{out}/mapping").count() == 120
     assert {r["dataset"] for r in report.select("dataset").distinct().collect()} == {"original", "pseudonymised", "synthetic"}
 
 

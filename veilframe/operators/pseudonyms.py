@@ -6,39 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import masks
-from veilframe.operators.lookup import lookup_join
+from veilframe.operators.lookup import HEAVY_ROWS, heavy_keys
 from veilframe.schema import REDACTED, find_column, present, require
 from veilframe.session import materialise
-from veilframe.sources.store import load_mapping, save_mapping
+from veilframe.sources.mapping import FEW_IDS, Commit, add_rows, table_of
 
 REQUIRED = ("Id", "SSN", "FIRST", "LAST", "ADDRESS", "CITY", "STATE", "ZIP")
 
 
+def _extended(df: DataFrame, column: str, mapping_path: str, namespace: str) -> tuple[Commit, list[str] | None]:
+    """The commit that holds every id of ``df``, and the ids themselves while they are few."""
+    spark = df.sparkSession
+    ids = materialise(df.select(F.col(column).cast("string").alias("original")).dropna().distinct(), "ids")
+    few = [r["original"] for r in ids.limit(FEW_IDS + 1).collect()]
+    few = few if len(few) <= FEW_IDS else None
+
+    def missing(known: DataFrame) -> DataFrame:
+        # Few ids open the files of their buckets only; many are shuffled to the buckets, which stay where they are.
+        held = known.filter(F.col("original").isin(few)) if few is not None else known
+        return ids.join(held, "original", "left_anti").select("original", F.uuid().alias("pseudonym"))
+
+    return add_rows(spark, mapping_path, namespace, missing), few
+
+
 def extend_mapping(df: DataFrame, column: str, mapping_path: str, namespace: str = "person") -> DataFrame:
     """Give every id not yet in the mapping a random UUID; returns the mapping of the namespace.
 
-    Only new rows are appended, and they are stored before anyone reads them: a recomputed ``uuid()``
-    would differ. A repeated run finds all ids known and appends nothing. One writer at a time.
+    A repeated run finds all ids known and adds nothing. Any number of writers may extend one mapping at a time: the first to
+    publish an id decides its pseudonym.
     """
-    ids = df.select(F.col(column).cast("string").alias("original")).dropna().distinct()
-    known = load_mapping(df.sparkSession, mapping_path)
-    if known is not None:
-        # The ids at hand find themselves in the mapping: Spark broadcasts them while they are few, so that a batch does not
-        # shuffle the mapping.
-        ids = materialise(ids, "ids")
-        held = known.filter(F.col("namespace") == namespace).join(ids, "original", "left_semi").select("original")
-        ids = ids.join(held, "original", "left_anti")
-    fresh = materialise(ids.select(F.lit(namespace).alias("namespace"), "original", F.uuid().alias("pseudonym")), "fresh")
-    if known is None or not fresh.isEmpty():
-        save_mapping(fresh, mapping_path)
-    return load_mapping(df.sparkSession, mapping_path).filter(F.col("namespace") == namespace)
-
-
-def apply_mapping(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Replace ids by their pseudonyms, at most one exchange on the id."""
-    table = mapping.select(F.col("original").alias("_original"), F.col("pseudonym").alias("_pseudonym"))
-    joined = lookup_join(df.withColumn("_original", F.col(column).cast("string")), table, "_original")
-    return joined.withColumn(column, F.col("_pseudonym")).select(*df.columns)
+    return table_of(df.sparkSession, _extended(df, column, mapping_path, namespace)[0])
+
+
+def apply_mapping(df: DataFrame, column: str, mapping: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Replace ids by their pseudonyms; of a stored mapping only ``df`` is shuffled, by the id.
+
+    Heavy ids get theirs from a broadcast of at most ``HEAVY_LIMIT`` rows. They and null ids go through the join under keys
+    that match nothing and spread over the buckets.
+    """
+    named = df.withColumn("_original", F.col(column).cast("string"))
+    table = mapping.select(F.col("original").alias("_key"), F.col("pseudonym").alias("_pseudonym"))
+    heavy, many_nulls = heavy_keys(named, "_original", min_rows)
+    if not heavy and not many_nulls:
+        joined = named.withColumnRenamed("_original", "_key").join(table, "_key", "left")
+        return joined.withColumn(column, F.col("_pseudonym")).select(*df.columns)
+    few = table.filter(F.col("_key").isin(heavy) if heavy else F.lit(False)).toDF("_original", "_heavy")
+    loose = F.col("_heavy").isNotNull() | F.col("_original").isNull()
+    salt = F.concat(F.lit("\0"), F.xxhash64(F.spark_partition_id(), *df.columns).cast("string"))
+    salted = named.join(F.broadcast(few), "_original", "left").withColumn("_key", F.when(loose, salt).otherwise(F.col("_original")))
+    joined = salted.join(table, "_key", "left")
+    return joined.withColumn(column, F.coalesce("_heavy", "_pseudonym")).select(*df.columns)
 
 
 def pseudonymise_id(
@@ -58,7 +75,14 @@ def pseudonymise_id(
         raise ValueError("mode must be 'random' or 'keyed'")
     if not mapping_path:
         raise ValueError("random pseudonyms need a mapping_path")
-    return apply_mapping(df, column, extend_mapping(df, column, mapping_path, namespace))
+    commit, few = _extended(df, column, mapping_path, namespace)
+    mapping = table_of(df.sparkSession, commit)
+    if few is None:
+        return apply_mapping(df, column, mapping)
+    # At most ``FEW_IDS`` rows: neither side is shuffled, and no id is too heavy.
+    table = mapping.filter(F.col("original").isin(few)).select(F.col("original").alias("_original"), F.col("pseudonym").alias("_pseudonym"))
+    joined = df.withColumn("_original", F.col(column).cast("string")).join(F.broadcast(table), "_original", "left")
+    return joined.withColumn(column, F.col("_pseudonym")).select(*df.columns)
 
 
 def redact(df: DataFrame, cols: tuple[str, ...] = REDACTED) -> DataFrame:

@@ -16,7 +16,7 @@ from veilframe.plans import person as views
 from veilframe.plans import workflows
 from veilframe.plans.person import person, variant
 from veilframe.session import scratch_path
-from veilframe.sources import report, store, tables
+from veilframe.sources import mapping, report, store, tables
 from veilframe.streaming.dropfolder import ingest_dropfolder
 
 AS_OF = "2024-01-01"
@@ -130,8 +130,8 @@ def mapping_store(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs on overlapping tables: every id keeps one pseudonym."""
     people, path = person(spark, sf), scratch_path(spark, "mapping")
     pseudonyms.extend_mapping(people.filter("gender = 'M'"), "id", path)
-    mapping = pseudonyms.extend_mapping(people, "id", path)
-    return mapping.groupBy("original").agg(
+    known = pseudonyms.extend_mapping(people, "id", path)
+    return known.groupBy("original").agg(
         F.count("*").alias("pseudonyms"), F.max(F.length("pseudonym")).cast("bigint").alias("pseudonym_length")
     )
 
@@ -153,9 +153,9 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_ingest_mapped(spark: SparkSession, sf: str) -> DataFrame:
     path, people = _people_csv(spark, sf)
-    out, mapping = scratch_path(spark, "ingested"), scratch_path(spark, "mapping")
+    out, ids = scratch_path(spark, "ingested"), scratch_path(spark, "mapping")
     query = ingest_dropfolder(
-        spark, path, out, scratch_path(spark, "offsets"), schema=people.schema, mode="random", mapping_path=mapping
+        spark, path, out, scratch_path(spark, "offsets"), schema=people.schema, mode="random", mapping_path=ids
     )
     query.awaitTermination()
     return dated(spark.read.schema(people.schema).parquet(out).drop("id", "batch"))
@@ -164,9 +164,9 @@ def stream_ingest_mapped(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest_mapped_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Random ids of a drop folder, summarised: no row and no id is lost."""
     path, people = _people_csv(spark, sf)
-    out, mapping = scratch_path(spark, "ingested"), scratch_path(spark, "mapping")
+    out, ids = scratch_path(spark, "ingested"), scratch_path(spark, "mapping")
     query = ingest_dropfolder(
-        spark, path, out, scratch_path(spark, "offsets"), schema=people.schema, mode="random", mapping_path=mapping
+        spark, path, out, scratch_path(spark, "offsets"), schema=people.schema, mode="random", mapping_path=ids
     )
     query.awaitTermination()
     done = spark.read.schema(people.schema).parquet(out)
@@ -269,7 +269,7 @@ def mapping_stats(spark: SparkSession, sf: str) -> DataFrame:
     pseudonyms.extend_mapping(person(spark, sf), "id", path)
     pseudonyms.extend_mapping(customer(spark, sf), "c_custkey", path, namespace="customer")
     pseudonyms.extend_mapping(person(spark, sf), "id", path)
-    return pseudonyms.mapping_stats(store.load_mapping(spark, path))
+    return pseudonyms.mapping_stats(mapping.load_mapping(spark, path))
 
 
 # --- utility and synthesis -----------------------------------------------------------------------

@@ -1,12 +1,9 @@
-"""Stored features, fitted parameters and the pseudonym mapping."""
+"""Stored features and fitted parameters."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-MAPPING_SCHEMA = "original string, pseudonym string, namespace string"
-
 
 def write_features(features: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """(row_key, condition, target); names are kept as column metadata in the parquet schema."""
@@ -26,18 +23,3 @@ def save_params(params: DataFrame, path: str, mode: str = "errorifexists") -> No
 
 def load_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def save_mapping(new_rows: DataFrame, path: str) -> None:
-    """Append new pairs; pairs already stored are never rewritten."""
-    new_rows.select("original", "pseudonym", "namespace").write.mode("append").partitionBy("namespace").parquet(path)
-
-
-def load_mapping(spark: SparkSession, path: str) -> DataFrame | None:
-    """The mapping table, or None where nothing has been stored yet."""
-    try:
-        return spark.read.schema(MAPPING_SCHEMA).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
