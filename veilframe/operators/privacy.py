@@ -98,6 +98,11 @@ def value_profile(df: DataFrame, qi: Sequence[str], sensitive: Sequence[str]) ->
     return cells.groupBy(*qi, ATTRIBUTE, VALUE).agg(F.count("*").alias(ROWS))
 
 
+def merged_profile(profiles: DataFrame, qi: Sequence[str]) -> DataFrame:
+    """One profile of the rows of several: counts of equal cells are added."""
+    return profiles.groupBy(*qi, ATTRIBUTE, VALUE).agg(F.sum(ROWS).alias(ROWS))
+
+
 def _classes_of(profile: DataFrame, qi: Sequence[str]) -> DataFrame:
     """Class sizes from the profile: every row counts once under each attribute."""
     one = profile.filter(F.col(ATTRIBUTE) == 0)
@@ -330,13 +335,22 @@ def privacy_report(
     qi, sensitive = _checked(df, present(df, qi)), present(df, sensitive)
     if not sensitive:
         parts = [("k_anonymity", k_anonymity(df, qi), "k"), ("reidentification_risk", reidentification_risk(df, qi), None)]
-    else:
-        profile = materialise(value_profile(df, qi, sensitive), "profile")
-        classes = _classes_of(profile, qi)
-        parts = [
+        return _report_rows(parts)
+    return report_of_profile(materialise(value_profile(df, qi, sensitive), "profile"), qi, sensitive)
+
+
+def report_of_profile(profile: DataFrame, qi: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
+    """The privacy report of the rows that a (stored) value profile counts."""
+    classes = _classes_of(profile, qi)
+    return _report_rows(
+        [
             ("k_anonymity", _k_rows(classes.filter(_complete(qi)), KS, detail=False), "k"),
             ("l_diversity", _l_rows(_distinct_per_class(profile, qi, sensitive), sensitive, LS, detail=False), "l"),
             ("t_closeness", _t_rows(_distances(profile, qi, sensitive), sensitive, TS, detail=False), "t"),
             ("reidentification_risk", _risk_row(classes), None),
         ]
+    )
+
+
+def _report_rows(parts: Sequence[tuple[str, DataFrame, str | None]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [metric_rows(table, "privacy", name, param) for name, table, param in parts])

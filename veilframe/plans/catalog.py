@@ -17,7 +17,7 @@ from veilframe.plans import workflows
 from veilframe.plans.person import person, variant
 from veilframe.session import scratch_path
 from veilframe.sources import mapping, report, store, tables
-from veilframe.streaming.dropfolder import ingest_dropfolder
+from veilframe.streaming.dropfolder import ingest_dropfolder, latest_report
 
 AS_OF = "2024-01-01"
 SECRET = "catalog"
@@ -173,6 +173,18 @@ def stream_ingest_mapped_ids(spark: SparkSession, sf: str) -> DataFrame:
     return done.agg(F.count("*").alias("n"), F.count("id").alias("ids"), F.countDistinct("id").alias("distinct_ids"))
 
 
+def stream_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The privacy report that stands after the last of several files has arrived."""
+    people, path = person(spark, sf), scratch_path(spark, "people")
+    tables.write_table(people.repartition(5, "id"), path, "csv")
+    out, reports = scratch_path(spark, "ingested"), scratch_path(spark, "reports")
+    query = ingest_dropfolder(
+        spark, path, out, scratch_path(spark, "offsets"), schema=people.schema, secret=SECRET, max_files=2, report=reports, qi=PLACE, sensitive=["gender", "marital"]
+    )
+    query.awaitTermination()
+    return rounded(latest_report(spark, reports).drop("dataset"))
+
+
 # --- profiling -----------------------------------------------------------------------------------
 
 
@@ -386,6 +398,7 @@ QUERIES: dict[str, Query] = {
     "stream_ingest": stream_ingest,
     "stream_ingest_mapped": stream_ingest_mapped,
     "stream_ingest_mapped_ids": stream_ingest_mapped_ids,
+    "stream_report": stream_report,
     # profiling
     "profile": lambda s, sf: profile.profile_table(doubled(s, sf)),
     "profile_lineitem": lambda s, sf: profile.profile_table(lineitem(s, sf)),

@@ -628,6 +628,7 @@ def oracles() -> dict[str, str]:
         "stream_ingest": with_views(people(**MASKS, id=keyed("id"))),
         "stream_ingest_mapped": with_views(f"SELECT {listed([c for c in COLS if c != 'id'], **DATED, **MASKS)} FROM person"),
         "stream_ingest_mapped_ids": with_views("SELECT COUNT(*) AS n, COUNT(id) AS ids, COUNT(DISTINCT id) AS distinct_ids FROM person"),
+        "stream_report": privacy_report_sql(PLACE, gm),
         "profile": with_views(profile_sql("doubled", COLS), DOUBLED_CTE),
         "profile_lineitem": profile_sql("lineitem", LINEITEM),
         "missing_by_column": with_views(
