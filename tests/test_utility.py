@@ -71,6 +71,15 @@ def test_models(spark):
     assert model_utility(three, three, "id", models=["logistic_regression"]).first()["auc_original"] is None
 
 
+def test_trees_grow_deep_enough(spark):
+    """The classes alternate along a feature: every level cuts off an end, so that ten levels are too few."""
+    df = spark.range(3_000).select("id", (F.col("id") % 30).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("gender"))
+    deep, flat = (
+        model_utility(df, df, "id", models=["random_forest"], trees=5, **depth).first()["accuracy_original"] for depth in ({}, {"max_depth": 10})
+    )
+    assert deep > 0.95 and flat < 0.85
+
+
 def test_histograms_keep_every_value(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (1.0,), (None,)], "x double")
     out = rows(I.histogram({"a": df}, "x", bins=2), "series", "bin", "count")

@@ -89,6 +89,13 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_people(spark, path, schema=people.schema)
 
 
+def csv_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The same cells from files that are cut into splits wherever a line ends."""
+    people, path = variant(spark, sf, views.QUOTED_PERSON_SQL), scratch_path(spark, "quoted")
+    tables.write_table(people, path, "csv")
+    return tables.read_people(spark, path, schema=people.schema, split_bytes=0)
+
+
 def first_people_unordered(spark: SparkSession, sf: str) -> DataFrame:
     """How many rows a limit without an order keeps, the same rows at a second use."""
     people = tables.first_rows(person(spark, sf), 100)
@@ -291,6 +298,16 @@ def model_utility(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(models.model_utility(person(spark, sf), shifted(spark, sf), "id"))
 
 
+def model_utility_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Models whose scores follow from the tables: a feature tells the target, in the second synthetic table the wrong way round."""
+    flag = lambda value: F.when(F.col("gender") == value, 1.0).otherwise(0.0).alias("flag")
+    side = lambda df, value: df.where("gender IS NOT NULL").select("id", "gender", flag(value))
+    original = side(person(spark, sf), "M")
+    same = models.model_utility(original, side(shifted(spark, sf), "M"), "id")
+    turned = models.model_utility(original, side(shifted(spark, sf), "F"), "id")
+    return rounded(same.withColumn("feature", F.lit("same")).unionByName(turned.withColumn("feature", F.lit("turned"))))
+
+
 def validate(spark: SparkSession, sf: str) -> DataFrame:
     anonymised = pseudonyms.mask_columns(shifted(spark, sf))
     return rounded(workflows.validate(person(spark, sf), anonymised, models=[]), 3)
@@ -390,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "read_first_people": read_first_people,
     "first_people_unordered": first_people_unordered,
     "csv_round_trip": csv_round_trip,
+    "csv_split": csv_split,
     "write_table": write_table,
     "feature_store": feature_store,
     "parameter_store": parameter_store,
@@ -469,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "compare_tables_lineitem": lambda s, sf: rounded(utility.compare_tables(lineitem(s, sf), lineitem(s, sf).filter("l_linenumber > 1")), 3),
     "compare_tables": lambda s, sf: rounded(utility.compare_tables(wide(s, sf), shifted(s, sf)), 3),
     "model_utility": model_utility,
+    "model_utility_known": model_utility_known,
     "validate": validate,
     "validate_with_models": validate_with_models,
     # synthesis

@@ -614,6 +614,7 @@ def oracles() -> dict[str, str]:
         "read_first_people": with_views(people(**CSV_BLANKS) + " ORDER BY healthcare_expenses, id LIMIT 100"),
         "first_people_unordered": with_views("SELECT least(100, count(*)) AS n FROM person"),
         "csv_round_trip": with_views("SELECT id, nullif(address, '') AS address, city, healthcare_expenses FROM quoted", f"quoted AS ({views.QUOTED_PERSON_SQL})"),
+        "csv_split": with_views("SELECT id, nullif(address, '') AS address, city, healthcare_expenses FROM quoted", f"quoted AS ({views.QUOTED_PERSON_SQL})"),
         "write_table": with_views(people()),
         "feature_store": FEATURE_ROWS,
         "parameter_store": with_views(
@@ -765,6 +766,9 @@ def oracles() -> dict[str, str]:
         "synthetic_quality": quality_sql(),
         "compare_tables": compare_sql(),
         "compare_tables_lineitem": compare_lines_sql(),
+        "model_utility_known": """SELECT feature, model, 'gender' AS target, 1e0 AS accuracy_original, good AS accuracy_synthetic, good - 1e0 AS accuracy_difference,
+            1e0 AS auc_original, good AS auc_synthetic, good = 1e0 AS utility_preserved
+            FROM (VALUES ('same', 1e0), ('turned', 0e0)) f(feature, good), (VALUES ('random_forest'), ('logistic_regression')) m(model)""",
         "validate": validate_sql(),
         "anonymise_no_synthesis": anonymise_no_synthesis_sql(),
         "anonymise_files": from_file(anonymise_no_synthesis_sql()),

@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 from veilframe.operators.ordered import with_row_index
 from veilframe.operators.shape import nan_to_null
 from veilframe.schema import PERSON_SCHEMA
+from veilframe.sources.split_csv import largest_file, read_split_csv
 
+#: A multi-line CSV file above this size is not left to one task.
+SPLIT_BYTES = 256 << 20
 # Spellings a CSV cell may use for a missing value.
 MISSING_TEXT = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -43,13 +46,18 @@ def read_people(
     schema: T.StructType | str | None = PERSON_SCHEMA,
     fmt: str = "csv",
     multi_line: bool = True,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """A person table from CSV with header (or parquet). ``schema=None`` infers the types.
 
-    Quoted cells may hold newlines. Such files cannot be split: a caller who knows that no cell does turns ``multi_line`` off,
-    so that one large file is read by many tasks.
+    Quoted cells may hold newlines. Spark's reader cannot split such files, so where a schema is given and a file is larger than
+    ``split_bytes``, ``read_split_csv`` reads them by many tasks; its quotes have to be balanced. A caller who knows that no cell
+    holds a newline turns ``multi_line`` off.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read
+    if fmt == "csv" and multi_line and schema is not None and largest_file(spark, path) > split_bytes:
+        df = normalise_missing(read_split_csv(spark, path, spark.createDataFrame([], schema).schema))
+        return first_rows(df, n_records, order_by) if n_records is not None else df
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None).option("escape", '"').option("enforceSchema", False)
         reader = reader.option("multiLine", multi_line)
