@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.dates import age_group, age_years, birth_month, birth_year, parse_date
-from veilframe.operators.lookup import BROADCAST_BYTES, heavy_keys_of, lookup_join
+from veilframe.operators.lookup import BROADCAST_BYTES, lookup_join
 from veilframe.operators.ordered import with_row_index
 from veilframe.operators.shape import long_values, rows, text_of
 from veilframe.schema import Roles, find_column, present, require
@@ -88,29 +88,40 @@ def apply_encoder(df: DataFrame, codes: DataFrame, broadcast_bytes: int = BROADC
     """Replace every encoded column by its codes; unseen values become null.
 
     Code tables are broadcast, smallest first, while the measured size of all of them together stays under
-    ``broadcast_bytes``; the rest take the shuffle join. Their heavy values are found in one scan of the input, so that the
-    number of jobs does not depend on the number of columns.
+    ``broadcast_bytes``; all others are joined at once.
     """
     measured = codes.groupBy("column").agg(F.sum(F.octet_length("value") + 32).alias("bytes")).collect()
     sizes = {r["column"]: r["bytes"] for r in measured}  # one row per column
-    order, held, small = df.columns, 0, set()
-    smallest_first = sorted((c for c in order if c in sizes), key=lambda c: sizes[c])
-    for c in smallest_first:
+    order, held, large = df.columns, 0, []
+    for c in sorted((c for c in order if c in sizes), key=lambda c: sizes[c]):
         held += sizes[c]
-        if held <= broadcast_bytes:
-            small.add(c)
-    large = {c: F.coalesce(text_of(df, c), F.lit(MISSING_LEVEL)) for c in smallest_first if c not in small}
-    heavy = heavy_keys_of(df, large) if large else {}
-    for c in smallest_first:
-        text = F.coalesce(text_of(df, c), F.lit(MISSING_LEVEL))
+        if held > broadcast_bytes:
+            large.append(c)
+            continue
         table = codes.filter(F.col("column") == c).select(F.col("value").alias("_level"), F.col("code").alias("_code"))
-        keyed = df.withColumn("_level", text)
-        if c in small:
-            joined = keyed.join(F.broadcast(table), "_level", "left")
-        else:
-            joined = lookup_join(keyed, table, "_level", heavy=heavy[c])
+        joined = df.withColumn("_level", _level_of(df, c)).join(F.broadcast(table), "_level", "left")
         df = joined.withColumn(c, F.col("_code")).select(*order)
-    return df
+    return _encode_cells(df, codes, large) if large else df
+
+
+def _level_of(df: DataFrame, c: str) -> Column:
+    return F.coalesce(text_of(df, c), F.lit(MISSING_LEVEL))
+
+
+def _encode_cells(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Codes of large columns by one join, however many there are.
+
+    The cells leave their rows as (row number, column and value), meet the code table in a join that spreads heavy cells, and come
+    back to their rows by number; the other columns are shuffled once, for that.
+    """
+    placed = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "placed")
+    cell = lambda column, value: F.concat(column, F.lit("\0"), value)
+    cells = [F.struct(F.lit(i).alias("_at"), cell(F.lit(c), _level_of(placed, c)).alias("_cell")) for i, c in enumerate(cols)]
+    table = codes.filter(F.col("column").isin(list(cols))).select(cell(F.col("column"), F.col("value")).alias("_cell"), F.col("code").alias("_code"))
+    found = lookup_join(placed.select("_row", F.inline(F.array(*cells))), table, "_cell")
+    back = found.groupBy("_row").agg(*[F.max(F.when(F.col("_at") == i, F.col("_code"))).alias(f"_code{i}") for i in range(len(cols))])
+    coded = {c: F.col(f"_code{i}").alias(c) for i, c in enumerate(cols)}
+    return placed.join(back, "_row").select(*[coded.get(c, F.col(f"`{c}`")) for c in df.columns])
 
 
 def encode_label(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -51,16 +51,6 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> tuple[lis
     return heavy, sketch["rows"] - sketch["keyed"] >= min_rows
 
 
-def heavy_keys_of(df: DataFrame, keys: dict[str, Column], min_rows: int = HEAVY_ROWS) -> dict[str, list]:
-    """The same for several keys that are never null, all in one scan: a list for each name."""
-    named = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys.values())])
-    sketch = named.agg(
-        F.count("*").alias("rows"), *[F.expr(f"approx_top_k(_k{i}, {HEAVY_LIMIT}, {10 * HEAVY_LIMIT})").alias(f"t{i}") for i in range(len(keys))]
-    ).first()
-    least = max(min_rows, sketch["rows"] // 1_000)
-    return {name: [r["item"] for r in sketch[f"t{i}"] or [] if r["count"] >= least] for i, name in enumerate(keys)}
-
-
 def lookup_join(
     df: DataFrame, table: DataFrame, key: str, min_rows: int = HEAVY_ROWS, heavy: list | None = None
 ) -> DataFrame:

@@ -21,7 +21,7 @@ from veilframe.operators.roles import assign_roles, column_catalogue
 from veilframe.operators.synthesis import synthesise
 from veilframe.operators.utility import compare_tables, similarity_rows, synthetic_quality
 from veilframe.schema import QUASI_IDENTIFIERS, SENSITIVE, Roles, find_column, present, require
-from veilframe.session import materialise
+from veilframe.session import materialise, run_scope
 from veilframe.sources.report import read_report, write_report
 from veilframe.sources.store import save_params, write_features
 from veilframe.sources.tables import read_people, write_table
@@ -166,18 +166,19 @@ def anonymise_files(
     """The whole run on files; returns the report.
 
     Below ``output``: ``catalogue``, ``processed``, ``features``, ``scaler``, ``codes``, ``mapping``,
-    ``pseudonymised``, ``synthetic`` and ``report``.
+    ``pseudonymised``, ``synthetic`` and ``report``. Nothing else is left, also after a failure.
     """
-    people = materialise(read_people(spark, path, n_records, order_by, **(reader or {})), "people")
-    write_table(column_catalogue({"input": people}), f"{output}/catalogue")
-    prepared = prepare_features(people, as_of)
-    write_table(prepared.table, f"{output}/processed")
-    processed = spark.read.schema(prepared.table.schema).parquet(f"{output}/processed")
-    write_features(split_features(processed, prepared.roles, find_column(people, "Id")), f"{output}/features")
-    save_params(prepared.scaler, f"{output}/scaler")
-    save_params(prepared.codes, f"{output}/codes")
-    tables, report = anonymise(people, as_of, mapping_path=f"{output}/mapping", mode=mode, synthesis=synthesis, **options)
-    for name, table in tables.items():
-        write_table(table, f"{output}/{name}")
-    write_report(report, f"{output}/report")
+    with run_scope(spark):
+        people = materialise(read_people(spark, path, n_records, order_by, **(reader or {})), "people")
+        write_table(column_catalogue({"input": people}), f"{output}/catalogue")
+        prepared = prepare_features(people, as_of)
+        write_table(prepared.table, f"{output}/processed")
+        processed = spark.read.schema(prepared.table.schema).parquet(f"{output}/processed")
+        write_features(split_features(processed, prepared.roles, find_column(people, "Id")), f"{output}/features")
+        save_params(prepared.scaler, f"{output}/scaler")
+        save_params(prepared.codes, f"{output}/codes")
+        tables, report = anonymise(people, as_of, mapping_path=f"{output}/mapping", mode=mode, synthesis=synthesis, **options)
+        for name, table in tables.items():
+            write_table(table, f"{output}/{name}")
+        write_report(report, f"{output}/report")
     return read_report(spark, f"{output}/report")

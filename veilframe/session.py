@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilframe.sources.files import remove
+
+_SCOPE: ContextVar[list[str] | None] = ContextVar("veilframe_scope", default=None)
+
 
 def build_session(app_name: str = "veilframe", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -40,7 +47,28 @@ def durable_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{durable_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new name in the shared folder; inside ``run_scope`` what is stored there goes with the scope."""
+    path = f"{durable_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (held := _SCOPE.get()) is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end or after a failure, all intermediate tables that are stored inside.
+
+    Only for work that writes its results elsewhere: a DataFrame made inside may still read them. Scopes nest, each one takes
+    its own; threads started inside do not belong to it.
+    """
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        held = _SCOPE.get()
+        _SCOPE.reset(token)
+        for path in held:
+            remove(spark, path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.storagelevel import StorageLevel
 from veilframe.operators.privacy import report_of_profile, value_profile
 from veilframe.operators.pseudonyms import mask_columns, pseudonymise_id, pseudonymise_table
 from veilframe.schema import PERSON_SCHEMA, QUASI_IDENTIFIERS, SENSITIVE, present, require
-from veilframe.session import materialise
+from veilframe.session import materialise, run_scope
 from veilframe.sources.files import names_in
 from veilframe.sources.report import read_report, write_report
 from veilframe.sources.tables import normalise_missing
@@ -71,8 +71,9 @@ def ingest_dropfolder(
             # Read the files once: the mapping and the join below both need the batch.
             people = batch.persist(StorageLevel.MEMORY_AND_DISK) if mode == "random" else batch
             try:
-                done = pseudonymise_table(people, mapping_path, mode=mode, secret=secret, salt=salt)
-                done.write.mode("overwrite").parquet(f"{output}/batch={number}")
+                with run_scope(batch.sparkSession):
+                    done = pseudonymise_table(people, mapping_path, mode=mode, secret=secret, salt=salt)
+                    done.write.mode("overwrite").parquet(f"{output}/batch={number}")
             finally:
                 if mode == "random":
                     people.unpersist()
@@ -91,10 +92,11 @@ def report_batch(batch: DataFrame, number: int, report: str, qi: Sequence[str],
     if not qi or not sensitive:
         raise ValueError("a report on arrival needs a quasi-identifier and a sensitive column")
     state = ProfileState(spark, f"{report}/state", qi)
-    state.add(value_profile(batch, qi, sensitive), number)
-    profile = materialise(state.upto(number), "profile")
-    rows = report_of_profile(profile, qi, sensitive).select(F.lit("stream").alias("dataset"), "*")
-    write_report(rows, f"{report}/reports/{number:012d}", mode="overwrite")
+    with run_scope(spark):
+        state.add(value_profile(batch, qi, sensitive), number)
+        profile = materialise(state.upto(number), "profile")
+        rows = report_of_profile(profile, qi, sensitive).select(F.lit("stream").alias("dataset"), "*")
+        write_report(rows, f"{report}/reports/{number:012d}", mode="overwrite")
 
 
 def latest_report(spark: SparkSession, report: str) -> DataFrame | None:
