@@ -39,6 +39,24 @@ def test_special_strings_and_long_runs():
     assert encoded(texts) == [plain(t) for t in texts]
 
 
+LONG_RUNS = [c * 3_000_000 for c in " \n\t"] + ["\u3000" * 1_000_000, "word" + " \t" * 700_000 + "end", "a\u3000" + "\u3000" * 400_000 + "b  c", "x" * 150_000 + " y"]
+
+
+@pytest.mark.parametrize("text", LONG_RUNS, ids=range(len(LONG_RUNS)))
+def test_very_long_white_space(text):
+    assert encoded(["before", text, "after  it"]) == [plain("before"), plain(text), plain("after  it")]
+
+
+def test_very_long_white_space_in_tables(spark):
+    rows = [(k, t) for k, t in enumerate([" " * 1_000_000, "a" + "\n" * 1_200_000 + "b", None, "", "a a", "a a"])]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1, 7, "z") for i, t in rows], SCHEMA)
+    got = packing.pack(docs).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(expected_pieces(rows))
+    check_layout(got)
+    lengths = [len(plain(t)) for _, t in rows]
+    assert {tuple(r) for r in packing.length_histogram(docs).collect()} == {(n, lengths.count(n)) for n in lengths}
+
+
 def expected_pieces(rows, capacity=1024):
     for doc_id, text in rows:
         ids = [*plain(text), 2]

@@ -132,7 +132,11 @@ def pack(
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """length, n_docs: how many texts encode to how many tokens; null and empty texts have length 0."""
+    """length, n_docs: how many texts encode to how many tokens; null and empty texts have length 0.
+
+    Rows that repeat are texts of their own, whatever their id. Texts of any length are encoded whole, long runs of white space
+    included. Other columns play no part. An empty table gives an empty result.
+    """
     path = vocabulary or default_vocabulary()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +159,8 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     length (the limit), n_docs and tokens of that length, docs_longer and tokens_longer (suffix sums), docs_at_most,
     rank_low and rank_high (the quantiles whose value is this length: low < q <= high), kept_tokens (the total when every
     document is cut to the limit) and lost_tokens. Limits between two lengths follow from the next lower row:
-    kept_tokens + docs_longer * (limit - length). An empty histogram gives an empty result.
+    kept_tokens + docs_longer * (limit - length). Other columns play no part; each length has one row. An empty histogram gives
+    an empty result.
     """
     histogram = materialise(histogram, "lengths").withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("_block", F.floor(F.col("length") / BLOCK))
     # A row for each block of lengths: their number depends on the longest text only.

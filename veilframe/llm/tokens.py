@@ -19,6 +19,8 @@ import pyarrow as pa
 from veilframe.llm.common import BYTE_CODES, SPACE, slices, span_hashes
 
 SLICE_BYTES = 2 << 20
+#: Bytes of a unit above which ``tokenizers`` encodes it: the other library's pattern fails on a million white spaces in a row.
+LONG_UNIT = 100_000
 #: Fixed value: how the byte-level vocabulary splits text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -73,6 +75,7 @@ class Encoder:
         for k, merge in enumerate(content["model"]["merges"]):
             if content["model"]["vocab"]["".join(merge if isinstance(merge, list) else merge.split(" "))] != 256 + k:
                 raise ValueError("the ids of the vocabulary do not follow its merges")
+        self.path, self._library = path, None
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.bytes_of = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
         for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
@@ -85,7 +88,20 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def long(self, text: str) -> np.ndarray:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return np.asarray(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def plain(self, text: str) -> np.ndarray:
+        if len(text) > LONG_UNIT:  # no more characters than bytes
+            return self.long(text)
+        return self._short(text)
+
+    def _short(self, text: str) -> np.ndarray:
+        """Of text without very long runs of white space."""
         return np.asarray(self.encoding.encode_to_numpy(text, allowed_special="all"), np.uint32)
 
     def _of_units(self, data: np.ndarray, solid: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +109,9 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         # Units that may stand in one string: white space starts them, and no white space ends them. Others stay alone.
-        together, length = SPACE[data[starts]] & solid[ends - 1], ends - starts
-        joined = self.plain(data[spans_of(starts[together], length[together])].tobytes().decode())
+        length = ends - starts
+        together = SPACE[data[starts]] & solid[ends - 1] & (length <= LONG_UNIT)
+        joined = self._short(data[spans_of(starts[together], length[together])].tobytes().decode())
         sizes = np.zeros(len(starts), np.int64)
         sizes[together] = np.diff(np.searchsorted(np.cumsum(self.bytes_of[joined]), np.cumsum(length[together]), "right"), prepend=0)
         alone = {k: self.plain(data[starts[k] : ends[k]].tobytes().decode()) for k in np.flatnonzero(~together).tolist()}
