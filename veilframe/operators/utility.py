@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.draws import uniform
+from veilframe.operators.comoments import co_moments
 from veilframe.operators.privacy import metric_rows
 from veilframe.operators.profile import describe_numeric, dtype_counts, value_counts
 from veilframe.operators.shape import null_count, rows
@@ -67,23 +67,6 @@ def similarity(original: DataFrame, synthetic: DataFrame, cols: Sequence[str] |
     return per_column.unionByName(overall, allowMissingColumns=True)
 
 
-def _correlations(df: DataFrame, cols: Sequence[str], side: str) -> DataFrame:
-    """(a, b, corr_<side>) for every ordered pair over the complete rows; null for a constant column.
-
-    One pass sums the products of whole vectors, so that the plan does not grow with the square of the width; the driver sees
-    one matrix of columns by columns.
-    """
-    numbers = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]).dropna()
-    vectors = VectorAssembler(inputCols=numbers.columns, outputCol="_v").transform(numbers).select("_v")
-    blank = [[None] * len(cols)] * len(cols)
-    matrix, varies = blank, [False] * len(cols)
-    if len(vectors.take(2)) == 2:
-        matrix = Correlation.corr(vectors, "_v").first()[0].toArray().tolist()
-        varies = [v > 0 for v in vectors.select(Summarizer.variance(F.col("_v"))).first()[0]]
-    cells = [(a, b, matrix[i][j] if varies[i] and varies[j] else None) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return df.sparkSession.createDataFrame(cells, f"a string, b string, corr_{side} double")
-
-
 def matrix_fidelity(real: DataFrame, synthetic: DataFrame, key: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Per column mean and population std on both sides; an ``overall`` row with the mean absolute
     error of the cells of equal ``key`` and the mean absolute gap of the correlation matrices."""
@@ -101,12 +84,15 @@ def matrix_fidelity(real: DataFrame, synthetic: DataFrame, key: str, cols: Seque
     def total(prefix: str) -> Column:
         return reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)) for i in range(len(cols))])
 
-    overall = F.lit("overall").alias("column")
-    errors = totals.select(overall, F.try_divide(total("e"), total("n")).alias("mae"))
-    matrices = _correlations(real, cols, "real").join(_correlations(synthetic, cols, "synthetic"), ["a", "b"])
-    drift = matrices.groupBy(overall).agg(F.avg(F.abs(F.col("corr_real") - F.col("corr_synthetic"))).alias("correlation_mae"))
-    per_column = _moments(real, cols, "real", F.stddev_pop).join(_moments(synthetic, cols, "synthetic", F.stddev_pop), "column")
-    return per_column.unionByName(errors.join(drift, "column"), allowMissingColumns=True)
+    errors = totals.select(F.lit("overall").alias("column"), F.try_divide(total("e"), total("n")).alias("mae"))
+    states = co_moments([real, synthetic], cols)
+    known = lambda x: None if np.isnan(x) else float(x)
+    sides = [[(float(m) if n else None, known(d)) for n, m, d in zip(s.known, s.mean, s.deviation())] for s in states]
+    gap = np.abs(states[0].correlations() - states[1].correlations())
+    drift = float(gap[~np.isnan(gap)].mean()) if not np.isnan(gap).all() else None
+    cells = [(c, *one, *two, None) for c, one, two in zip(cols, *sides)] + [("overall", None, None, None, None, drift)]
+    schema = "column string, mean_real double, std_real double, mean_synthetic double, std_synthetic double, correlation_mae double"
+    return real.sparkSession.createDataFrame(cells, schema).join(F.broadcast(errors), "column", "left")
 
 
 def synthetic_quality(synthetic: DataFrame) -> DataFrame:
