@@ -12,14 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.session import materialise
+from veilframe.session import materialise, materialise_bucketed
 
 RANGE, POSITION = "_range", "_position"
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
-def ranged(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """``df`` plus its range number and its position in the range, both stored.
+def ranged(df: DataFrame, order_by: Sequence[str], ranges: int | None = None, bucketed: bool = False) -> DataFrame:
+    """``df`` plus its range number and its position in the range, both stored, on demand in hash buckets of the range.
 
     ``order_by`` has to be a total order (end it with a unique key): it makes the result repeatable and
     lets the range sampler split a value that many rows share. Without ``ranges`` their number is that of
@@ -31,6 +31,9 @@ def ranged(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) ->
         .withColumn(RANGE, F.spark_partition_id())
         .withColumn(POSITION, F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)))
     )
+    if bucketed:
+        # Each range is one task's and goes to one file; twice as many buckets as ranges keep most ranges apart.
+        return materialise_bucketed(placed, "ranged", RANGE, 2 * (ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return materialise(placed, "ranged")
 
 
@@ -58,10 +61,13 @@ def fill_directional(
     columns: Sequence[str] | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Forward fill, then backward fill, in ``order_by`` order (within ``partition_by`` if given)."""
+    """Forward fill, then backward fill, in ``order_by`` order (within ``partition_by`` if given).
+
+    The table is shuffled once, into its ranges; the windows below read them as they are stored.
+    """
     groups = list(partition_by)
     columns = list(columns) if columns else [c for c in df.columns if c not in {*order_by, *groups}]
-    placed = ranged(df, [*groups, *order_by], ranges)
+    placed = ranged(df, [*groups, *order_by], ranges, bucketed=True)
     segment = [*groups, RANGE]
 
     per_segment = []
@@ -81,8 +87,10 @@ def fill_directional(
             F.last(f"_last{i}", ignorenulls=True).over(earlier).alias(f"_before{i}"),
             F.last(f"_first{i}", ignorenulls=True).over(later).alias(f"_after{i}"),
         ]
-    crossing = edges.withColumn("_segments", F.count("*").over(whole)).filter("_segments > 1")
-    carry = crossing.select(*[F.col(g).alias(f"_g{j}") for j, g in enumerate(segment)], *carries)
+    # Without groups every range has its row, which also tells its first known values.
+    crossing = edges.withColumn("_segments", F.count("*").over(whole)).filter("_segments > 1") if groups else edges
+    firsts = [] if groups else [f"_first{i}" for i in range(len(columns))]
+    carry = crossing.select(*[F.col(g).alias(f"_g{j}") for j, g in enumerate(segment)], *carries, *firsts)
 
     same = F.lit(True)
     for j, g in enumerate(segment):
@@ -96,7 +104,7 @@ def fill_directional(
         c: F.coalesce(
             F.last(c, ignorenulls=True).over(so_far),
             F.col(f"_before{i}"),
-            F.first(c, ignorenulls=True).over(all_rows),
+            F.first(c, ignorenulls=True).over(all_rows) if groups else F.col(f"_first{i}"),
             F.col(f"_after{i}"),
         )
         for i, c in enumerate(columns)

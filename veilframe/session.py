@@ -77,3 +77,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """The same, in hash buckets of a column: grouping and windows by it (and more) need no exchange."""
+    spark, plain = df.sparkSession, [f"c{i}" for i in range(len(df.columns))]  # names that any catalog takes
+    name = f"veilframe_{label}_{uuid.uuid4().hex}"
+    key = plain[df.columns.index(column)]
+    writer = df.toDF(*plain).write.format("parquet").bucketBy(buckets, key)
+    writer.option("path", scratch_path(spark, label)).saveAsTable(name)
+    stored = spark.table(name).toDF(*df.columns)
+    spark.sql(f"DROP TABLE {name}")  # the table is external: its files stay, and the plan knows them
+    return stored
