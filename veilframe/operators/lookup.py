@@ -20,7 +20,7 @@ BROADCAST_BYTES = 64 << 20
 _SALTS = 1 << 16
 
 
-def _spread_join(
+def spread_join(
     rows: DataFrame, table: DataFrame, heavy: DataFrame, on: Sequence[str], names: Sequence[str], spread: Sequence[str]
 ) -> DataFrame:
     """``rows`` plus the ``names`` columns of ``table``; ``heavy`` is at most ``HEAVY_LIMIT`` of its rows."""
@@ -64,7 +64,7 @@ def lookup_join(
         return df.join(table, key, "left")
     names = [c for c in table.columns if c != key]
     few = table.filter(F.col(key).isin(heavy) if heavy else F.lit(False))
-    return _spread_join(df, table, few, [key], names, spread=df.columns)
+    return spread_join(df, table, few, [key], names, spread=df.columns)
 
 
 def attach_totals(
@@ -77,4 +77,4 @@ def attach_totals(
     # Both uses keep the same columns and filters, so that they share one exchange.
     keyed = per_key.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]) & (F.col("_members") > 0))
     heavy = keyed.orderBy(F.desc("_members"), *on).limit(HEAVY_LIMIT)
-    return _spread_join(rows, keyed, heavy, on, list(totals), spread)
+    return spread_join(rows, keyed, heavy, on, list(totals), spread)
