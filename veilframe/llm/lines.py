@@ -1,13 +1,16 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words. Sets are ordered by rarity, so that two sets of Jaccard similarity 0.8 share a word in their
-prefixes: they meet in an equi-join on prefix words, under filters by size, by position of the shared word, and by a parity
-signature (the bits in which two signatures differ are words that one set alone has). What is left is verified on full sets.
+prefixes: they are dealt by prefix words and meet in the order of size, under filters by size, by position of the shared word,
+and by a parity signature (the bits in which two signatures differ are words that one set alone has). What is left is verified
+on full sets.
 
-Equal sets are one class from the start. What the join leaves are candidates; their components are compared inside tasks, a
-set shipped once, so that a family of near copies costs its members and not its pairs. A prefix word that very many classes
-share is not joined: its classes are compared inside tasks too, chunk by chunk. Only counts leave a task. A pair that shares such
-words is counted at the least of them, any other pair in its component, so nothing is counted twice and no pair is lost.
+Equal sets are one class from the start, and a class sends one prefix. Prefix words are counted before they are dealt: those of
+one class stay where they are. What meets are candidates, of which a task gives no more than what connects them; their
+components are compared inside tasks, a set shipped once, so that a family of near copies costs its members and not its pairs.
+A prefix word that very many classes share is not dealt: its classes are compared inside tasks too, chunk by chunk. Only counts
+leave a task. A pair that shares such words is counted at the least of them, any other pair in its component, so nothing is
+counted twice and no pair is lost.
 
 Rarity is a logarithm of how often words of a hashed counter occur in all texts; any fixed order gives the same links, so
 colliding counters cost time only. A counter of one tells that a word cannot be shared, and it is left out of the join.
@@ -19,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import GOLDEN, U64, arrow_map, components, may_hold, membership, mixed, pick, ragged, slices, word_hashes, words
+from veilframe.operators.lookup import HEAVY_LIMIT, spread_join
 from veilframe.session import materialise
 
 COUNTERS = 1 << 24
@@ -74,6 +78,19 @@ def ordered_sets(data: np.ndarray, starts: np.ndarray, rare: np.ndarray) -> tupl
     return hashes[new], np.bincount(line[new], minlength=lines)
 
 
+def byte_table(steps: DataFrame):
+    """A broadcast byte for each of ``COUNTERS`` spots, from rows (spot, step) with each spot once; zero where there is none."""
+    cells = (
+        steps.select((F.col("spot") / 8).cast("long").alias("cell"), F.expr("shiftleft(step, cast(pmod(spot, 8) * 8 as int))").alias("bits"))
+        .groupBy("cell")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+    got = cells.toArrow()  # at most COUNTERS / 8 rows
+    out = np.zeros(COUNTERS // 8, np.int64)
+    out[got["cell"].to_numpy()] = got["bits"].to_numpy()
+    return steps.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+
+
 def word_counters(docs: DataFrame):
     """A broadcast byte of rarity for each of ``COUNTERS`` hashed words, from all texts (16 MB at any input)."""
 
@@ -89,17 +106,7 @@ def word_counters(docs: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part].astype(np.int64))], ["spot", "n"])
 
     counted = arrow_map(docs.select("text"), make, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n"))
-    step = F.least(F.lit(255), 1 + F.floor(4 * F.log2("n"))).cast("long")
-    cells = (
-        counted.select((F.col("spot") / 8).cast("long").alias("cell"), step.alias("step"), "spot")
-        .select("cell", F.expr("shiftleft(step, cast(pmod(spot, 8) * 8 as int))").alias("bits"))
-        .groupBy("cell")
-        .agg(F.bit_or("bits").alias("bits"))
-    )
-    got = cells.toArrow()  # at most COUNTERS / 8 rows
-    out = np.zeros(COUNTERS // 8, np.int64)
-    out[got["cell"].to_numpy()] = got["bits"].to_numpy()
-    return docs.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+    return byte_table(counted.select("spot", F.least(F.lit(255), 1 + F.floor(4 * F.log2("n"))).cast("long").alias("step")))
 
 
 def _sums(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +127,7 @@ def line_table(docs: DataFrame, rare) -> DataFrame:
     """A row for each line with words: doc_id, text_hash, line_no, d1, d2 (digest), size, parity, more, skip, prefix.
 
     The prefix holds the upper halves of hashes: two words that share one meet in the join for nothing, and are told apart after
-    it. It is null where it cannot match another set and where the task has given it before.
+    it. It is null where it cannot match another set and where the task has given it before; so are the signatures.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +162,8 @@ def line_table(docs: DataFrame, rare) -> DataFrame:
                     pa.array(d1[kept].view(np.int64)),
                     pa.array(d2[kept].view(np.int64)),
                     pa.array(sizes[kept]),
-                    pa.array(parity[kept].view(np.int64)),
-                    pa.array(more[kept].view(np.int64)),
+                    pa.array(parity[kept].view(np.int64), mask=~take[kept]),
+                    pa.array(more[kept].view(np.int64), mask=~take[kept]),
                     pa.array(skip[kept]),
                     prefix,
                 ],
@@ -268,47 +275,130 @@ def compare(group: pa.Table) -> pa.Table:
     return pa.table({"d1": column(0, pa.int64()), "d2": column(1, pa.int64()), "links": column(2, pa.int64()), "earliest": column(3, group.schema.field("place").type)})
 
 
-def candidates(table: DataFrame) -> DataFrame:
-    """a, b: classes (d1) that may be similar, token null; or a class, null, and a crowded token with its number of members."""
-    # Several tasks may have given a class; the window spills and does not hold a frequent word's rows in memory.
-    meeting = (
-        table.where("size(prefix) > 0")
-        .select("d1", "size", "parity", "more", "skip", F.posexplode("prefix").alias("at", "token"))
-        .select("token", "d1", "size", "parity", "more", (F.col("at") + F.col("skip")).alias("at"))
-        .withColumn("members", F.count("*").over(Window.partitionBy("token")))
-    )
-    alone = meeting.where(F.col("members") <= CROWD)
-    left, right = (alone.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("d1", "size", "parity", "more", "at")]) for x in "ab")
-    apart = "bit_count(parity_a ^ parity_b) + bit_count(more_a ^ more_b)"
-    folded = "bit_count(parity_a ^ more_a ^ parity_b ^ more_b)"
-    pairs = (
-        left.join(right, "token")
-        .where("d1_a < d1_b AND 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
-        .where("9 * least(size_a - at_a, size_b - at_b) >= 4 * (size_a + size_b)")
-        .where(f"9 * if((size_a > {WIDE}) = (size_b > {WIDE}), {apart}, {folded}) <= size_a + size_b")
-        .select(F.col("d1_a").alias("a"), F.col("d1_b").alias("b"))
-        .distinct()
-    )
-    none = lambda kind: F.lit(None).cast(kind)
-    crowd = meeting.where(F.col("members") > CROWD).select(F.col("d1").alias("a"), none("long").alias("b"), "token", "members").distinct()
-    return pairs.select("a", "b", none("int").alias("token"), none("long").alias("members")).unionByName(crowd)
+def crowd_levels(classes: DataFrame):
+    """A broadcast byte for each of ``COUNTERS`` hashed prefix words, of the word in it that most classes have.
 
+    0: no other class has it; 1: as many as ``CROWD`` have it; above: a step of their number, four for each doubling.
+    """
+    counted = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    step = F.when(F.col("n") <= CROWD, 1).otherwise(F.least(F.lit(255), 2 + F.floor(4 * F.log2("n")))).cast("long")
+    spot = F.pmod(F.col("token").cast("long"), F.lit(COUNTERS))
+    return byte_table(counted.groupBy(spot.alias("spot")).agg(F.max(step).alias("step")))
+
+
+def _prefixes(batch: pa.RecordBatch, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix words of the classes of a batch, end to end: class, position in the whole set, word, level."""
+    lists = batch.column(batch.schema.get_field_index("prefix"))
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    token = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return owner, at, token, levels[token & (COUNTERS - 1)]
 
-def cells(found: DataFrame) -> DataFrame:
+
+def near_pairs(key: np.ndarray, d1: np.ndarray, parity: np.ndarray, more: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of one word may be similar, for rows in the order of key (word and size): indices a and b.
+
+    Sizes grow along a word's rows, so a row is done as soon as the row k places on is too large for it.
+    """
+    token, size = key >> 32, key & 0xFFFFFFFF
+    wide, room = size > WIDE, size - at
+    left, right = [], []
+    a = np.arange(len(key))
+    k = 1
+    while len(a := a[: np.searchsorted(a, len(key) - k)]):
+        a = a[(token[a] == token[a + k]) & (5 * size[a] >= 4 * size[a + k])]
+        b = a + k
+        total = size[a] + size[b]
+        some = np.flatnonzero((9 * np.minimum(room[a], room[b]) >= 4 * total) & (d1[a] != d1[b]))
+        x, y = a[some], b[some]
+        one, two = parity[x] ^ parity[y], more[x] ^ more[y]
+        apart = np.where(wide[x] == wide[y], np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
+        fit = 9 * apart <= total[some]
+        left.append(x[fit])
+        right.append(y[fit])
+        k += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect just what the edges (a, b) connect: from each node to the least one it reaches."""
+    nodes, spots = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = spots[: len(a)], spots[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root != root[root]).any():
+            root = root[root]
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[far], nodes[root[far]]
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b (d1) that connect classes that may be similar; rows come in the order of key and no word has over ``CROWD`` of them."""
+    names = ("key", "d1", "parity", "more", "at")
+
+    def edges(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x, y = near_pairs(rows[0], rows[1], rows[2].view(U64), rows[3].view(U64), rows[4])
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in connected(rows[1][x], rows[1][y])], ["a", "b"])
+
+    rest = [np.zeros(0, np.int64)] * len(names)
+    for batch in batches:
+        rows = [np.concatenate([old, batch.column(n).to_numpy()]) for old, n in zip(rest, names)]
+        word = rows[0] >> 32
+        whole = int(np.searchsorted(word, word[-1])) if len(word) else 0  # the last word may go on
+        yield from edges([r[:whole] for r in rows])
+        rest = [r[whole:] for r in rows]
+    yield from edges(rest)
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges a, b that connect classes (d1) that may be similar, and d1, crowds, levels: the crowded words of classes with such."""
+    classes = classes.where("size(prefix) > 0").select("d1", "size", "parity", "more", "skip", "prefix")
+    held = crowd_levels(classes)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, at, token, level = _prefixes(batch, held.value)
+            take = np.flatnonzero(level == 1)
+            owner = owner[take]
+            d1, size, parity, more, skip = (batch.column(c).to_numpy() for c in ("d1", "size", "parity", "more", "skip"))
+            columns = [token[take] << 32 | size[owner], d1[owner], parity[owner], more[owner], at[take] + skip[owner]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "d1", "parity", "more", "at"])
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, _, token, level = _prefixes(batch, held.value)
+            take = np.flatnonzero(level > 1)
+            some, counts = np.unique(owner[take], return_counts=True)
+            lists = [ragged(token[take], counts, pa.int32()), ragged(level[take].astype(np.int32), counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("d1").take(pa.array(some)), *lists], ["d1", "crowds", "levels"])
+
+    dealt = arrow_map(classes, deal, "key long, d1 long, parity long, more long, at long")
+    dealt = dealt.repartition(F.expr("shiftright(key, 32)")).sortWithinPartitions("key")
+    crowd = arrow_map(classes.select("d1", "prefix"), crowded, "d1 long, crowds array<int>, levels array<int>")
+    return arrow_map(dealt, meet, "a long, b long"), materialise(crowd, "crowds")
+
+
+def cells(edges: DataFrame, crowd: DataFrame) -> DataFrame:
     """kind, key, x, y, component, chunk, d1, crowds: which sets are compared with which, each component and crowd in chunks."""
-    crowd = found.where("token IS NOT NULL")
-    crowds = crowd.groupBy(F.col("a").alias("d1")).agg(F.collect_set("token").alias("crowds"))  # at most a prefix
-    labels = components(found.where("token IS NULL").select("a", "b"), "families").withColumnRenamed("node", "d1")
+    labels = components(edges, "families").withColumnRenamed("node", "d1")
     families = materialise(labels.join(labels.groupBy("component").agg(F.count("*").alias("members")), "component"), "labels")
     few = max(1, families.count() // 2_000)
     zero = F.lit(0).cast("long")
     small = families.where(F.col("members") <= CHUNK).select(
         F.lit(0).alias("kind"), F.pmod(F.xxhash64("component"), F.lit(few)).alias("key"), zero.alias("x"), zero.alias("y"), "component", zero.alias("chunk"), "d1"
     )
+    at_most = F.ceil(F.pow(F.lit(2.0), (F.col("of.levels") - 1) / 4)).cast("long")  # members of a word of that level
+    crowd_rows = crowd.select("d1", F.explode(F.arrays_zip("crowds", "levels")).alias("of"))
     large = (
         families.where(F.col("members") > CHUNK)
         .select(F.lit(0).alias("kind"), F.col("component").alias("key"), "component", "members", "d1")
-        .unionByName(crowd.select(F.lit(1).alias("kind"), F.col("token").cast("long").alias("key"), zero.alias("component"), "members", F.col("a").alias("d1")))
+        .unionByName(crowd_rows.select(F.lit(1).alias("kind"), F.col("of.crowds").cast("long").alias("key"), zero.alias("component"), at_most.alias("members"), "d1"))
     )
     chunks = F.ceil(F.col("members") / (CHUNK // 2)).cast("long")
     mine = F.pmod(F.xxhash64("d1"), chunks)
@@ -317,7 +407,7 @@ def cells(found: DataFrame) -> DataFrame:
     # Small families share cells of about two thousand sets; x = y = -1 keeps them apart from a large family's key.
     small = small.withColumns({"x": F.lit(-1).cast("long"), "y": F.lit(-1).cast("long")})
     every = small.unionByName(large.select("kind", "key", "cell.*", "component", "chunk", "d1"))
-    return every.join(crowds, "d1", "left")
+    return every.join(crowd.select("d1", "crowds"), "d1", "left")
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,17 +424,22 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rare = word_counters(docs)
     table = materialise(line_table(docs, rare), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "line_no")
-    classes = materialise(table.groupBy("d1", "d2").agg(F.min(place).alias("place")), "classes")
-    todo = materialise(cells(materialise(candidates(table), "candidates")).join(classes, "d1"), "cells")
+    once = [F.max(c).alias(c) for c in ("size", "parity", "more", "skip", "prefix")]  # all that are not null are equal
+    classes = materialise(table.groupBy("d1", "d2").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *once), "classes")
+    todo = materialise(cells(*candidates(classes)).join(classes.select("d1", "d2", "place"), "d1"), "cells")
     compared = todo.join(set_table(docs, todo.select("d1").distinct(), rare), ["d1", "d2"])
     shape = "d1 long, d2 long, links long, earliest struct<null_id: boolean, doc_id: bigint, text_hash: bigint, line_no: bigint>"
     found = compared.groupBy("kind", "key", "x", "y").applyInArrow(compare, shape)
-    links = found.groupBy("d1", "d2").agg(F.sum("links").alias("n_links"), F.min("earliest").alias("earliest"))
-    known = classes.select("d1", "d2", "place").join(links, ["d1", "d2"], "left").select(
-        "d1", "d2", F.col("place").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.least("place", F.coalesce("earliest", "place")).alias("earliest")
+    links = materialise(found.groupBy("d1", "d2").agg(F.sum("links").alias("n_links"), F.min("earliest").alias("earliest")), "links")
+    known = classes.select("d1", "d2", "place", "lines").join(links, ["d1", "d2"], "left").select(
+        "d1", "d2", F.col("place").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.least("place", F.coalesce("earliest", "place")).alias("earliest"), "lines"
     )
+    # A class may hold a third of all lines: the most frequent ones come by broadcast, their lines spread over the shuffle.
+    names = ["first", "n_links", "earliest"]
+    often = known.orderBy(F.desc("lines"), "d1", "d2").limit(HEAVY_LIMIT)
+    lines = spread_join(table.select("doc_id", "text_hash", "line_no", "d1", "d2"), known, often, ["d1", "d2"], names, ["text_hash", "line_no"])
     name = F.concat_ws(":", F.coalesce(F.col("first.doc_id").cast("string"), F.lit("null")), F.col("first.line_no"))
-    return table.join(known, ["d1", "d2"]).select("doc_id", "text_hash", "line_no", name.alias("class_id"), "n_links", (F.col("earliest") < place).alias("removed"))
+    return lines.select("doc_id", "text_hash", "line_no", name.alias("class_id"), "n_links", (F.col("earliest") < place).alias("removed"))
 
 
 def without_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
