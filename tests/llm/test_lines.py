@@ -90,3 +90,35 @@ def test_ordered_sets_do_not_depend_on_the_slice():
     assert number.tolist() == [0, 1, 0, 0, 1, 2] and text.tolist() == [0, 0, 1, 2, 2, 2]
     keys, sizes = lines.ordered_sets(data, starts, rare)
     assert sizes.tolist() == [3, 0, 0, 1, 0, 2] and len(keys) == 6
+
+
+def test_near_pairs_and_what_connects_them():
+    rng = np.random.default_rng(5)
+    n = 400
+    size = rng.integers(4, 70, n)
+    key = np.sort(rng.integers(-3, 3, n) << 32 | size)
+    size, at = key & 0xFFFFFFFF, rng.integers(0, 3, n)
+    d1 = rng.integers(0, 300, n)
+    one, two = (rng.integers(0, 4, n).astype(np.uint64) for _ in "ab")
+    two[size <= lines.WIDE] = 0
+    a, b = lines.near_pairs(key, d1, one, two, at)
+    want = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            x, y = int(one[i] ^ one[j]), int(two[i] ^ two[j])
+            apart = x.bit_count() + y.bit_count() if (size[i] > lines.WIDE) == (size[j] > lines.WIDE) else (x ^ y).bit_count()
+            if key[i] >> 32 == key[j] >> 32 and d1[i] != d1[j] and 5 * size[i] >= 4 * size[j] and 9 * min(size[i] - at[i], size[j] - at[j]) >= 4 * (size[i] + size[j]):
+                if 9 * apart <= size[i] + size[j]:
+                    want.add((i, j))
+    assert set(zip(a.tolist(), b.tolist())) == want and want
+
+    def parts(edges):
+        root = {}
+        for x, y in edges:
+            rx, ry = root.setdefault(x, x), root.setdefault(y, y)
+            root = {k: min(rx, ry) if v in (rx, ry) else v for k, v in root.items()}
+        return root
+
+    few = list(zip(a.tolist(), b.tolist()))[::40]
+    x, y = lines.connected(np.array([e[0] for e in few]), np.array([e[1] for e in few]))
+    assert parts(zip(x.tolist(), y.tolist())) == parts(few) and len(x) <= len(few)

@@ -18,7 +18,7 @@ colliding counters cost time only. A counter of one tells that a word cannot be
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from veilframe.operators.lookup import HEAVY_LIMIT, spread_join
 from veilframe.session import materialise
 
 COUNTERS = 1 << 24
+BLOCK = 1 << 12
 CROWD = 512
 CHUNK = 2048
 SLAB = 4096
@@ -78,35 +79,52 @@ def ordered_sets(data: np.ndarray, starts: np.ndarray, rare: np.ndarray) -> tupl
     return hashes[new], np.bincount(line[new], minlength=lines)
 
 
-def byte_table(steps: DataFrame):
-    """A broadcast byte for each of ``COUNTERS`` spots, from rows (spot, step) with each spot once; zero where there is none."""
-    cells = (
-        steps.select((F.col("spot") / 8).cast("long").alias("cell"), F.expr("shiftleft(step, cast(pmod(spot, 8) * 8 as int))").alias("bits"))
-        .groupBy("cell")
-        .agg(F.bit_or("bits").alias("bits"))
-    )
-    got = cells.toArrow()  # at most COUNTERS / 8 rows
-    out = np.zeros(COUNTERS // 8, np.int64)
-    out[got["cell"].to_numpy()] = got["bits"].to_numpy()
-    return steps.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+def slot_bytes(df: DataFrame, spots: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], step: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``step`` of how often each of ``COUNTERS`` spots occurs in all that ``spots`` gives for the batches of ``df``.
+
+    Tasks count in arrays and send what is not zero in blocks, which other tasks add up; a byte for each spot (16 MB at any
+    input) reaches the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int32)  # of one task
+        for found in spots(batches):
+            spot, often = np.unique(found, return_counts=True)
+            counts[spot.astype(np.int64)] += often.astype(np.int32)
+        spot = np.flatnonzero(counts)
+        ends = np.searchsorted(spot, np.arange(0, COUNTERS + BLOCK, BLOCK))
+        some = np.flatnonzero(np.diff(ends))
+        blocks = [spot[ends[k] : ends[k + 1]] for k in some.tolist()]
+        columns = [some, [(x % BLOCK).astype(np.uint16).tobytes() for x in blocks], [counts[x].tobytes() for x in blocks]]
+        for at in range(0, len(some), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 256], t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["block", "spots", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}  # no more than COUNTERS numbers
+        for batch in batches:
+            for block, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                total = totals.setdefault(block, np.zeros(BLOCK, np.int64))
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int32)
+        columns = [pa.array(list(totals), pa.int64()), pa.array([step(t).tobytes() for t in totals.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "bytes"])
+
+    counted = arrow_map(df, count, "block long, spots binary, counts binary").repartition("block")
+    got = arrow_map(counted, add, "block long, bytes binary").toArrow()
+    out = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint8)
+    for block, values in zip(got["block"].to_pylist(), got["bytes"].to_pylist()):
+        out[block] = np.frombuffer(values, np.uint8)
+    return out.reshape(-1)
 
 
 def word_counters(docs: DataFrame):
     """A broadcast byte of rarity for each of ``COUNTERS`` hashed words, from all texts (16 MB at any input)."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64 if COUNTERS < 1 << 20 else np.int32)
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, data, offsets in slices(batches):
             begin, end, _ = words(data, offsets)
-            spot, often = np.unique(word_hashes(data, begin, end) & U64(COUNTERS - 1), return_counts=True)
-            counts[spot.astype(np.int64)] += often.astype(counts.dtype)
-        spot = np.flatnonzero(counts)
-        for at in range(0, len(spot), 1 << 16):
-            part = spot[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part].astype(np.int64))], ["spot", "n"])
+            yield word_hashes(data, begin, end) & U64(COUNTERS - 1)
 
-    counted = arrow_map(docs.select("text"), make, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n"))
-    return byte_table(counted.select("spot", F.least(F.lit(255), 1 + F.floor(4 * F.log2("n"))).cast("long").alias("step")))
+    return docs.sparkSession.sparkContext.broadcast(slot_bytes(docs.select("text"), spots, rarity))
 
 
 def _sums(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,17 +193,26 @@ def line_table(docs: DataFrame, rare) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, rare) -> DataFrame:
-    """d1, d2, keys: full sets; at least those of the wanted d1, each once for a task that has it."""
-    held = membership(wanted, "d1")
+    """d1, d2, keys: full sets; at least those of the lines that ``wanted`` names by place, each once for a task that has it.
+
+    Only lines that a bit set of these places may hold are taken apart again.
+    """
+    spot = F.col("place.text_hash").bitwiseXOR(F.col("place.line_no"))
+    held = membership(wanted.select(spot.alias("spot")), "spot")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple[int, int]] = set()
-        for _, data, offsets in slices(batches):
-            starts, _, _ = split_lines(data, offsets)
-            keys, sizes = ordered_sets(data, starts, rare.value)
+        for rows, data, offsets in slices(batches):
+            starts, text, number = split_lines(data, offsets)
+            of = rows.column(0).to_numpy(zero_copy_only=False)[text] ^ number
+            some = np.flatnonzero(may_hold(held.value, of.view(U64))).tolist()
+            if not some:
+                continue
+            data = np.concatenate([data[starts[k] : starts[k + 1]] for k in some])
+            keys, sizes = ordered_sets(data, np.concatenate([[0], np.cumsum([starts[k + 1] - starts[k] for k in some])]), rare.value)
             d1, d2, *_ = _sums(keys, sizes)
             take = []
-            for line in np.flatnonzero(may_hold(held.value, d1) & (sizes >= LEAST_SIZE)).tolist():
+            for line in np.flatnonzero(sizes >= LEAST_SIZE).tolist():
                 if (name := (int(d1[line]), int(d2[line]))) not in given:
                     given.add(name)
                     take.append(line)
@@ -200,7 +227,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, rare) -> DataFrame:
                     ["d1", "d2", "keys"],
                 )
 
-    return arrow_map(docs.select("text"), make, "d1 long, d2 long, keys array<bigint>")
+    return arrow_map(docs.where(F.col("text").isNotNull()).select("text_hash", "text"), make, "d1 long, d2 long, keys array<bigint>")
 
 
 def _incidence(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -280,10 +307,31 @@ def crowd_levels(classes: DataFrame):
 
     0: no other class has it; 1: as many as ``CROWD`` have it; above: a step of their number, four for each doubling.
     """
-    counted = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    step = F.when(F.col("n") <= CROWD, 1).otherwise(F.least(F.lit(255), 2 + F.floor(4 * F.log2("n")))).cast("long")
+    spark = classes.sparkSession
+    prefixes = classes.select("prefix")
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield batch.column("prefix").flatten().to_numpy(zero_copy_only=False).astype(np.int64) & (COUNTERS - 1)
+
+    levels = slot_bytes(prefixes, spots, lambda n: np.where(n > CROWD, 255, n > 1).astype(np.uint8))
+    if not (levels == 255).any():
+        return spark.sparkContext.broadcast(levels)
+    rough = spark.sparkContext.broadcast(levels)
+
+    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token = batch.column("prefix").flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(token[rough.value[token.astype(np.int64) & (COUNTERS - 1)] == 255])], ["token"])
+
+    # Only the words of spots that many prefixes have are counted one by one.
+    counted = arrow_map(prefixes, perhaps, "token int").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    step = F.when(F.col("n") <= CROWD, 1).otherwise(F.least(F.lit(255), 2 + F.floor(4 * F.log2("n")))).cast("int")
     spot = F.pmod(F.col("token").cast("long"), F.lit(COUNTERS))
-    return byte_table(counted.groupBy(spot.alias("spot")).agg(F.max(step).alias("step")))
+    got = counted.groupBy(spot.alias("spot")).agg(F.max(step).alias("step")).toArrow()  # at most COUNTERS rows
+    levels = np.where(levels == 255, 0, levels).astype(np.uint8)
+    levels[got["spot"].to_numpy()] = got["step"].to_numpy()
+    return spark.sparkContext.broadcast(levels)
 
 
 def _prefixes(batch: pa.RecordBatch, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -427,7 +475,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     once = [F.max(c).alias(c) for c in ("size", "parity", "more", "skip", "prefix")]  # all that are not null are equal
     classes = materialise(table.groupBy("d1", "d2").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *once), "classes")
     todo = materialise(cells(*candidates(classes)).join(classes.select("d1", "d2", "place"), "d1"), "cells")
-    compared = todo.join(set_table(docs, todo.select("d1").distinct(), rare), ["d1", "d2"])
+    compared = todo.join(set_table(docs, todo.select("place"), rare), ["d1", "d2"])
     shape = "d1 long, d2 long, links long, earliest struct<null_id: boolean, doc_id: bigint, text_hash: bigint, line_no: bigint>"
     found = compared.groupBy("kind", "key", "x", "y").applyInArrow(compare, shape)
     links = materialise(found.groupBy("d1", "d2").agg(F.sum("links").alias("n_links"), F.min("earliest").alias("earliest")), "links")
