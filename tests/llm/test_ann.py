@@ -65,3 +65,26 @@ def test_tiles_keep_the_heap_over_many_tiles(monkeypatch):
     want = brute([r for r in rows], 1, 4)
     got = sorted((q, r + 1, -c, s) for q, h in enumerate(heaps) for r, (s, c) in enumerate(sorted(h, reverse=True)))
     assert got == [w for w in want if w[0] < 20]
+
+
+def test_any_size_of_doubles(spark):
+    """Squares and products that leave the range of doubles lose no neighbour."""
+    schema = "vec_id long, embedding array<double>"
+    rng = random.Random(4)
+    for size in (1e-170, 1e-160, 1e150, 1e200, None):
+        scale = lambda: size or 10.0 ** rng.randint(-300, 150)
+        rows = [(i, [rng.gauss(0, 1) * s for _ in range(6)]) for i in range(300) for s in (scale(),)]
+        rows += [(1000, [1e-200, 0.0] + [0.0] * 4), (1001, [1e200, 0.0] + [0.0] * 4), (1020, [5e-324] * 6), (1040, [1e308] * 6), (1041, [1e308, -1e308] * 3)]
+        got = sorted(map(tuple, ann.nearest(spark.createDataFrame(rows, schema), every=10, k=5).collect()))
+        want = []
+        for q, left in rows:
+            if q % 10 == 0:
+                scored = []
+                for c, right in rows:
+                    if c != q:
+                        total = 0.0
+                        for x, y in zip(left, right):
+                            total += x * y
+                        scored.append((math.inf if math.isnan(total) else -total, c))
+                want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(sorted(scored)[:5])]
+        assert got == sorted(want)

@@ -19,22 +19,46 @@ QUERY_STRIPE, CANDIDATE_STRIPE = 2048, 8192
 TILE = 1024
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whole steps in -127..127, the step of each vector, and the lengths of vector, rounded vector and error."""
-    peak = np.abs(x).max(1)
-    step = np.where(peak > 0, peak / 127, 1.0)
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whole steps in -127..127, the step of each vector, the lengths of vector, rounded vector and error, and an exponent.
+
+    Each vector is divided by two to its exponent first, so that its largest component lies between a half and one and no
+    square leaves the range of doubles. Step and lengths are those of the divided vector.
+    """
+    exponent = np.frexp(np.abs(x).max(1))[1]
+    x = np.ldexp(x, -exponent[:, None])
+    step = np.abs(x).max(1) / 127
+    step = np.where(step > 0, step, 1.0)
     steps = np.rint(x / step[:, None]).astype(np.int8)
     rounded = steps * step[:, None]
     length = lambda v: np.sqrt((v * v).sum(1)) * (1 + 1e-9)
-    return steps, step, length(x), length(rounded), length(x - rounded)
+    return steps, step, length(x), length(rounded), length(x - rounded), exponent
+
+
+def bounds(near: np.ndarray, slack: np.ndarray, left: np.ndarray, right: np.ndarray, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest inner product in double precision, for products and slacks of vectors divided by 2 to their exponents.
+
+    Products that underflow are off by less than ``dimension`` of the smallest doubles. A sum that may overflow on its way is
+    not bounded at all, so its pair is kept and computed.
+    """
+    low, high = near - slack, near + slack
+    if max(np.abs(left).max(), np.abs(right).max()) < 400:  # both factors and all products are ordinary numbers
+        scale = np.exp2(left)[:, None] * np.exp2(right)[None, :]
+        return low * scale, high * scale
+    exponent = left[:, None] + right[None, :]
+    tiny = 2 * dimension * np.nextafter(0, 1)
+    with np.errstate(over="ignore", under="ignore"):
+        low, high = np.ldexp(low, exponent) - tiny, np.ldexp(high, exponent) + tiny
+    wild = exponent + np.log2(dimension) >= 1022
+    return np.where(wild, -np.inf, low), np.where(wild, np.inf, high)
 
 
 def best_of_stripes(query_ids, queries, candidate_ids, candidates, k: int) -> list[list[tuple[float, int]]]:
     """For each query its k best (score, -id) among the candidates with another id, as a heap."""
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     exact = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64  # whole numbers stay exact
-    qs, q_step, q_len, _, q_err = quantised(queries)
-    cs, c_step, c_len, c_rounded, c_err = quantised(candidates)
+    qs, q_step, q_len, _, q_err, q_exp = quantised(queries)
+    cs, c_step, c_len, c_rounded, c_err, c_exp = quantised(candidates)
     floor = np.full(len(query_ids), -np.inf)
     for a in range(0, len(query_ids), TILE):
         rows = slice(a, a + TILE)
@@ -46,15 +70,18 @@ def best_of_stripes(query_ids, queries, candidate_ids, candidates, k: int) -> li
             near *= c_step[None, cols]
             slack = np.outer(q_err[rows], c_rounded[cols]) + np.outer(q_len[rows], c_err[cols] + 1e-12 * c_len[cols])
             own = query_ids[rows, None] == candidate_ids[None, cols]
-            low = np.where(own, -np.inf, near - slack)
+            low, high = bounds(near, slack, q_exp[rows], c_exp[cols], queries.shape[1])
+            low = np.where(own, -np.inf, low)
             if low.shape[1] > k:
                 reach = np.maximum(floor[rows], np.partition(low, -k, axis=1)[:, -k])
             else:
                 reach = floor[rows]
-            i, j = np.nonzero((near + slack >= reach[:, None]) & ~own)
+            i, j = np.nonzero((high >= reach[:, None]) & ~own)
             score = np.zeros(len(i))
-            for d in range(queries.shape[1]):  # in the order of the components, in double precision
-                score += queries[a + i, d] * candidates[b + j, d]
+            with np.errstate(all="ignore"):
+                for d in range(queries.shape[1]):  # in the order of the components, in double precision
+                    score += queries[a + i, d] * candidates[b + j, d]
+            score = np.where(np.isnan(score), -np.inf, score)
             for q, value, c in zip((a + i).tolist(), score.tolist(), candidate_ids[b + j].tolist()):
                 heap = heaps[q]
                 if len(heap) < k:
@@ -72,7 +99,8 @@ def nearest(
 
     Nearest is the largest inner product, ties go to the smaller id; fewer than k candidates give fewer rows. Vectors that
     are null, empty or zero, or hold null or non-finite components, and rows without an id take no part. Vectors of different
-    lengths are not comparable. Of rows with one id the largest vector counts, as arrays are ordered. Other columns play no
+    lengths are not comparable. Components of any size of doubles are taken as they are: a product may be infinite or zero, and a
+    sum that is no number (infinite parts of both signs) counts as minus infinity. Of rows with one id the largest vector counts, as arrays are ordered. Other columns play no
     part; an empty table gives an empty result.
     """
     vector = F.col("vector")
