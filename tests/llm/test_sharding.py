@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -50,3 +51,21 @@ def test_matrix_is_exact_and_hypergeometric():
     assert abs(np.mean(ours) - 6) < 0.05 and abs(np.std(ours) - np.std(theirs)) < 0.05
     big = [sharding.hypergeometric(10**12, 23 * 10**12, 1 << 20, x) for x in u[:200]]
     assert abs(np.mean(big) - (1 << 20) / 24) < 60
+
+
+def test_every_deal_is_equally_likely(spark, monkeypatch):
+    """Which rows share a shard, drawn by groups of blocks, against the 20 ways to put six rows in two shards of three."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(sharding, "GROUP_PARTITIONS", 1)
+    docs = spark.createDataFrame([(i, "x", None, None) for i in range(6)], SCHEMA).repartitionByRange(2, "doc_id")
+    ways = Counter()
+    for blocks in ([2, 1], [1, 2]):
+        for seed in range(3000):
+            top = sharding.communication_matrix([3, 3], [3, 3], seed)
+            low = [sharding.group_matrix(blocks, row.tolist(), seed, k) for k, row in enumerate(top)]
+            ways[(tuple(blocks), *(int(m[0, 0]) for m in low), int(top[0, 0]))] += 1
+    for (blocks, a, b, k), n in ways.items():
+        one = lambda x, k: math.comb(blocks[0], x) * math.comb(blocks[1], k - x)
+        chance = one(a, k) * one(b, 3 - k) / math.comb(6, 3)
+        assert abs(n - 3000 * chance) < 5 * math.sqrt(3000 * chance) + 1
+    check(sharding.shard(docs, shards=2).collect(), [(i, "x") for i in range(6)], 2)

@@ -1,6 +1,7 @@
 """A uniform shuffle of rows into shards of exact sizes, by a hypergeometric communication matrix.
 
-How many rows of each block go to each shard is drawn first, exactly as a uniform permutation of all rows would deal them.
+How many rows of each block go to each shard is drawn first, exactly as a uniform permutation of all rows would deal them:
+for groups of blocks in the driver, then for the blocks of each group in a task of its own.
 Then a block permutes its rows and cuts them at those counts, shards exchange, and each shard's rows are permuted again. A
 block is a run of at most ``BLOCK_ROWS`` rows of one input partition, stored with its rows, so that a lost task deals the
 same cards again.
@@ -9,6 +10,7 @@ same cards again.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from veilframe.operators.ordered import with_row_index
 from veilframe.session import materialise
 
 BLOCK_ROWS = 1 << 20
+GROUP_PARTITIONS = 64  # input partitions whose blocks are drawn by one task
 
 
 def hypergeometric(good: int, bad: int, draws: int, u: float) -> int:
@@ -35,7 +38,7 @@ def hypergeometric(good: int, bad: int, draws: int, u: float) -> int:
     return low + int(min(np.searchsorted(total, u * total[-1], "right"), high - low))
 
 
-def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.ndarray:
+def communication_matrix(blocks: list[int], shards: list[int], seed: int | list[int]) -> np.ndarray:
     """Rows from each block to each shard; row sums are ``blocks``, column sums ``shards``."""
     rng = np.random.default_rng(seed)
     left, out = list(shards), np.zeros((len(blocks), len(shards)), np.int64)
@@ -50,6 +53,11 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.
     return out
 
 
+def group_matrix(blocks: list[int], room: list[int], seed: int, group: int) -> np.ndarray:
+    """The matrix of one group's blocks, whose shares of the shards are drawn already."""
+    return communication_matrix(blocks, room, [seed, group + 1])  # a zero at the end would repeat the draws of ``seed`` alone
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 42) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
@@ -67,13 +75,20 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     in_partition = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     stored = materialise(placed.withColumn("_block", F.shiftleft(F.spark_partition_id().cast("long"), 13) + F.floor(in_partition / BLOCK_ROWS)), "rows")
 
-    counts = sorted((r["_block"], r["count"]) for r in stored.groupBy("_block").count().collect())  # a row for each block
-    total = sum(c for _, c in counts)
+    counts = stored.groupBy("_block").agg(F.count("*").alias("_rows")).withColumn("_group", F.floor(F.col("_block") / (GROUP_PARTITIONS << 13)))
+    groups = sorted(map(tuple, counts.groupBy("_group").agg(F.sum("_rows")).collect()))  # a row for 64 partitions
+    total = sum(c for _, c in groups)
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
-    matrix = communication_matrix([c for _, c in counts], sizes, seed)
-    cuts = stored.sparkSession.createDataFrame(
-        [(block, row) for (block, _), row in zip(counts, np.cumsum(matrix, axis=1).tolist())], "_block long, _cuts array<long>"
-    )
+    matrix = communication_matrix([c for _, c in groups], sizes, seed)
+    rooms = stored.sparkSession.createDataFrame([(group, row) for (group, _), row in zip(groups, matrix.tolist())], "_group long, _room array<long>")
+
+    def draw(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_block")
+        number, room = group["_group"][0].as_py(), group["_room"][0].as_py()
+        rows = group_matrix(group["_rows"].to_pylist(), room, seed, number)
+        return pa.table({"_block": group["_block"], "_cuts": pa.array(np.cumsum(rows, axis=1).tolist(), pa.list_(pa.int64()))})
+
+    cuts = counts.join(rooms, "_group").groupBy("_group").applyInArrow(draw, "_block long, _cuts array<long>")
     local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed), "_row"), "_row")
     dealt = (
         stored.withColumn("_rank", F.row_number().over(local) - 1)
