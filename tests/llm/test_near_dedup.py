@@ -38,7 +38,7 @@ def brute(rows, percent=85):
 
 
 def found(spark, rows):
-    return sorted((tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).drop("text_hash").collect()), key=repr)
+    return sorted((tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).drop("text_hash", "chosen").collect()), key=repr)
 
 
 def edited(rng, words, edits):

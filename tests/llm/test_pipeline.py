@@ -75,3 +75,17 @@ def test_near_duplicates_from_four_fifths(spark):
     want = sorted(r[0] for r in near_brute([r[:2] for r in rows], 80) if r[3])
     assert sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, MEDIUM).collect()) == want
     assert 40 < len(want) < sum(r[3] for r in near_brute([r[:2] for r in rows]))
+
+
+def test_near_duplicates_without_ids(spark):
+    """One of three near copies without an id stays, and every row without words."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:-1] + [f"end{k}"]) for k in range(3)]
+    rows = [(None, t, "en", "s", 0) for t in near] + [(None, t, lang, source, 0) for t, lang, source in ((None, "en", "s"), (None, "en", "t"), ("", "de", "s"), ("", "de", "s"))]
+    rows += [(7, " ".join(words), "fr", "u", 0), (7, " ".join(words[:-1] + ["other"]), "fr", "u", 0), (9, "alone here", "fr", "u", 0), (9, "alone here", "de", "u", 0)]
+    for part, groups in ((rows[:7], 1), (rows[:9], 1), (rows, 2)):
+        docs = spark.createDataFrame(part, "doc_id long, text string, lang string, source string, n_chars long")
+        kept = cp.drop_near_duplicates(spark, docs, MEDIUM).collect()
+        assert sum(not (r["text"] or "").strip() for r in kept) == 4
+        with_words = [r for r in kept if (r["text"] or "").strip()]
+        assert len(with_words) == groups and (len(part) == 7 or {r["doc_id"] for r in with_words} <= {7, 9})

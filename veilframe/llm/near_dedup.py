@@ -291,21 +291,23 @@ def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_hash for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, text_hash, chosen for every row of ``docs``.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; a component is what links
     reach, named by its smallest id, and the document of that id is kept. A text without words (null, empty, white space)
     has no set, is linked with nothing and is its own component. Rows that repeat are one class and stay rows; among rows
     with the same id and similar texts all are kept. A null id counts only where no other id is in the component; then the
-    component is null. Other columns play no part. An empty table gives an empty result. Two linked sets share no band with a
+    component is null. ``chosen`` marks one text of each component, whatever its ids: that of the smallest id (null last) and text
+    hash; rows without words are all chosen. Other columns play no part. An empty table gives an empty result. Two linked sets share no band with a
     chance of at most ``MISS``; a ``percent`` too low for that is refused.
     """
     banding(percent)
     docs = pick(docs, doc_id=id_col, text=text_col)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     table = materialise(sketch_table(docs, shingle), "sketches")
+    name = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")
     classes = materialise(
-        table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("registers").alias("registers")),
+        table.where("n > 0").groupBy("digest").agg(F.min(name).alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers")),
         "classes",
     )
     bands = band_table(classes, percent)
@@ -321,10 +323,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = components(links.unionByName(more), "components")
 
     named = classes.join(final, classes["digest"] == final["node"], "left").select(
-        "digest", "least_id", F.coalesce("component", "digest").alias("component")
+        "digest", "least", F.coalesce("component", "digest").alias("component")
     )
-    lowest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    names = named.join(lowest, "component").select("digest", "component_id")
+    lowest = named.groupBy("component").agg(F.min("least").alias("least"))
+    names = named.drop("least").join(lowest, "component").select("digest", "least")
     placed = table.drop("registers").join(names, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    component = F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    chosen = (F.col("n") == 0) | F.col("least").eqNullSafe(name)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", chosen.alias("chosen"))

@@ -27,7 +27,7 @@ def op3_boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_setsketch(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dedup.near_duplicates(_read(spark, sf, "documents")).drop("text_hash")
+    return near_dedup.near_duplicates(_read(spark, sf, "documents")).drop("text_hash", "chosen")
 
 
 def op5_hypergeometric(spark: SparkSession, sf: str) -> DataFrame:
