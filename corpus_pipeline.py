@@ -26,7 +26,10 @@ def _named(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; the score depends on the text alone."""
+    """Documents that the quality classifier does not reject; the score depends on the text alone.
+
+    So rows that repeat go or stay together; null and empty texts have a score like any other. An empty table gives an empty one.
+    """
     scorer = quality.fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, scorer)
 
@@ -38,21 +41,28 @@ def drop_similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Rows that repeat id and text stay once.
+    """One row of each group of near-duplicates: of the smallest id (null last), of these of the smallest text hash.
 
-    Only rows whose id is null or repeats, with texts that differ, can stay beside a near-duplicate of the same id.
+    Ids may be null or repeat: a group keeps one row all the same, and one of rows that repeat. Rows without words (null, empty,
+    white space) are near nothing and all stay. An empty table gives an empty one.
     """
-    kept = _named(docs, near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept"), "left_semi").withColumn("_hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
+    kept = _named(docs, found.where("chosen"), "left_semi").withColumn("_hash", F.xxhash64("text"))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = kept.withColumn("_row", F.when(wordless, F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
+    return kept.dropDuplicates(["doc_id", "_hash", "_row"]).drop("_hash", "_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; rows of one id and text go or stay together."""
     return _named(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed best-fit into sequences of at most 1024 tokens."""
+    """Pieces of all documents, packed best-fit into sequences of at most 1024 tokens.
+
+    A null or empty text is its end token alone; each row that repeats has pieces of its own. An empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
