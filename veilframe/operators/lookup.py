@@ -30,7 +30,8 @@ def spread_join(
         loose = loose | F.col(c).isNull()
     salt = F.when(loose, F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.lit(_SALTS)) + 1).otherwise(F.lit(0))
     salted = rows.join(F.broadcast(few), list(on), "left").withColumn("_salt", salt.cast("bigint"))
-    rest = table.select(*on, *names, F.lit(0).cast("bigint").alias("_salt"))
+    # Zero, but no constant: a constant the optimiser would put in place of the salt, and the shuffle would go by the keys alone.
+    rest = table.select(*on, *names, F.pmod(F.xxhash64(*on), F.lit(1)).alias("_salt"))
     joined = salted.join(rest, [*on, "_salt"], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_heavy_{n}", n).alias(n) for n in names])
 
