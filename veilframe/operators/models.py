@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from veilframe.operators.features import apply_encoder, fit_encoder
+from veilframe.operators.forest import forest_scores
 from veilframe.operators.utility import common_numeric, holdout_split
 from veilframe.schema import TARGET_CANDIDATES, find_column
-from veilframe.session import durable_dir, materialise
+from veilframe.session import materialise
 
 PRESERVED_GAP = 0.1
-#: The deepest tree Spark grows; leaves are pure or of one row long before.
+#: The deepest tree by default; leaves are pure or of one cell long before.
 MAX_DEPTH = 30
 MODELS = ("random_forest", "logistic_regression")
 RESULT_SCHEMA = (
@@ -31,14 +32,9 @@ def pick_target(original: DataFrame, synthetic: DataFrame, candidates: Sequence[
     return next((find_column(original, c) for c in candidates if find_column(original, c) and find_column(synthetic, c)), None)
 
 
-def _estimator(model: str, train: DataFrame, trees: int, max_depth: int):
-    if model == "random_forest":
-        # The node of every row is kept instead of found from the root at each level, with its lineage cut every ten levels.
-        return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=42, cacheNodeIds=True, checkpointInterval=10)
-    if model == "logistic_regression":
-        # An L2 penalty of weight 1 on the summed loss is 1/n on the mean loss.
-        return LogisticRegression(maxIter=1000, regParam=1.0 / max(train.count(), 1), standardization=False, tol=1e-4)
-    raise ValueError(f"model must be one of {', '.join(MODELS)}")
+def _regression(train: DataFrame) -> LogisticRegression:
+    # An L2 penalty of weight 1 on the summed loss is 1/n on the mean loss.
+    return LogisticRegression(maxIter=1000, regParam=1.0 / max(train.count(), 1), standardization=False, tol=1e-4)
 
 
 def _prepared(df: DataFrame, key: str, features: Sequence[str], target: str, codes: DataFrame, seed: int) -> DataFrame:
@@ -51,11 +47,12 @@ def _prepared(df: DataFrame, key: str, features: Sequence[str], target: str, cod
     return split.select("features", F.col(target).cast("double").alias("label"), "is_test")
 
 
-def _score(model, test: DataFrame, binary: bool) -> tuple[float | None, float | None]:
-    scored = model.transform(test)
-    accuracy = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
-    auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored) if binary else None
-    return accuracy, auc
+def _score(scored: DataFrame, raw: str, binary: bool) -> tuple[float | None, float | None]:
+    """Accuracy and AUC over (label, prediction, ``raw``) that stand for ``rows`` rows each."""
+    right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("rows")).otherwise(0))
+    accuracy = scored.agg(F.try_divide(right, F.sum("rows"))).first()[0]
+    evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC", rawPredictionCol=raw, weightCol="rows")
+    return accuracy, evaluator.evaluate(scored) if binary else None
 
 
 def model_utility(
@@ -74,8 +71,8 @@ def model_utility(
     Features are the columns numeric in both tables. No rows without a target or a feature.
     """
     spark = original.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(durable_dir(spark))
+    if unknown := [m for m in models if m not in MODELS]:
+        raise ValueError(f"model must be one of {', '.join(MODELS)}, not {', '.join(unknown)}")
     target = target or pick_target(original, synthetic)
     if target is None:
         return spark.createDataFrame([], RESULT_SCHEMA)
@@ -84,7 +81,8 @@ def model_utility(
     if not features:
         return spark.createDataFrame([], RESULT_SCHEMA)
     codes = materialise(fit_encoder(original.select(name), [name]), "labels")
-    binary = codes.count() == 2
+    classes = codes.count()
+    binary = classes == 2
 
     prepared = [
         _prepared(df, key, features, name, codes, seed).persist(StorageLevel.MEMORY_AND_DISK) for df in (original, synthetic)
@@ -96,7 +94,12 @@ def model_utility(
             scores = []
             for rows in prepared:
                 train = rows.filter(~F.col("is_test"))
-                scores.append(_score(_estimator(model, train, trees, max_depth).fit(train), test, binary))
+                if model == "random_forest":
+                    scored = forest_scores(train, test, len(features), classes, trees, max_depth)
+                    scores.append(_score(materialise(scored, "scores"), "score", binary))
+                else:
+                    scored = _regression(train).fit(train).transform(test).withColumn("rows", F.lit(1))
+                    scores.append(_score(scored, "rawPrediction", binary))
             (acc_o, auc_o), (acc_s, auc_s) = scores
             gap = acc_s - acc_o if acc_o is not None and acc_s is not None else None
             results.append((model, name, acc_o, acc_s, gap, auc_o, auc_s, gap is not None and abs(gap) < PRESERVED_GAP))
