@@ -193,3 +193,47 @@ def test_model_adds_spans_that_the_base_patterns_miss(spark):
     assert hits >= 0.7 * wanted and hits >= 0.95 * got  # recall and precision of what is added
     numbers = ["version 3.2.1 of 2024-01-05", "token = '04dbebab91ab85687d33eeaaf9ac699e1188f962'", "9807915762804490 items", "call 555 now", "at 12:30 or 13:45:10.250"]
     assert [added(f"{clean[k]} {t} {clean[k]}", []) for k, t in enumerate(numbers)] == [[]] * len(numbers)
+
+
+def test_no_window_is_left_out_from_which_a_span_could_be_added():
+    """Whatever the model says in a window that is not decoded, nothing is evident there; words for signs count too."""
+    rng = np.random.default_rng(8)
+    signs = [" at ", " AT ", "[at]", " (at) ", "{AT}", "\u00a0at\u00a0", " @ ", "@"]
+    dots = [".", " dot ", "[.]", " . ", "\u2003dot ", "(DOT)"]
+    added = 0
+    for k in range(60):
+        fill = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(60))
+        at = int(rng.integers(0, len(fill)))
+        mail = "tom" + "x" * int(rng.integers(0, 30)) + signs[k % len(signs)] + "host" + dots[k % len(dots)] + "org"
+        text = f"{fill[:at]} {mail} {fill[at:]}"
+        decoded = set(pii.windows(pii.char_codes(text))[0].tolist())
+        for start in range(0, max(len(text) - pii.WINDOW, 0) + pii.STRIDE, pii.STRIDE):
+            said = [(int(s), int(s + n)) for s, n in zip(rng.integers(0, pii.WINDOW - 12, 40), rng.integers(2, 80, 40)) if s + n <= pii.WINDOW]
+            evident = [pii.settled(text, start + s, min(start + e, len(text)), kind) for s, e in said for kind in pii.KINDS if start + s < len(text)]
+            assert start in decoded or not any(evident)
+            added += any(evident)
+        assert decoded
+    assert added > 60
+    for plain_text in ("we met at the end. Then we left", "look at that", "", "\u00e9\u00e9"):
+        assert not len(pii.windows(pii.char_codes(plain_text))[0])
+
+
+def test_texts_without_digits_and_at_signs_are_shown_to_the_model(spark, monkeypatch):
+    """A model that knows one address written in words finds it wherever it lies."""
+    said = "anna at garden dot org"
+
+    class Knows:
+        def decode(self, codes):
+            tags = np.zeros(codes.shape, np.int64)
+            for k, row in enumerate(codes):
+                at = "".join(map(chr, row)).find(said)
+                if at >= 0:
+                    tags[k, at : at + len(said)] = 2
+                    tags[k, at] = 1
+            return tags
+
+    monkeypatch.setattr(pii, "train", lambda codes, tags: Knows())
+    texts = ["write to a.b@c.org", said, f"please ask {said} about it", "word " * 100 + said + " word" * 100, "anna at home. Then", None, ""]
+    out = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {k: f"email:{t.index(said)}:{t.index(said) + len(said)}" for k, t in enumerate(texts) if t and said in t}
+    assert {r["doc_id"]: r["spans"] for r in out if r["n_added"]} == want and all(r["n_email"] == (r["doc_id"] == 0) for r in out)

@@ -3,8 +3,9 @@
 The model is trained in numpy, on the driver, from a bounded sample of windows whose labels are the spans that the base
 patterns find. A text is covered by overlapping windows; each is decoded by Viterbi, and the spans of all windows of a text
 are reconciled together: a span cut by a window's edge is left to the neighbour that sees it whole, and of overlapping spans
-the one further from its window's edges stays. A span of any kind holds a digit or an at sign, so a window without either
-holds none and is not decoded.
+the one further from its window's edges stays. What is added has to be evident by itself (`settled`), that is, to hold a digit, an
+at sign or the word for one, from ``BEFORE`` code points before its window to ``BEHIND`` behind it. Where there is none of these
+nothing can be added whatever the model says, and the window need not be decoded; all others are.
 
 The labelled windows teach what the base patterns know already. So the model also learns from varied copies of them, in which the
 same data are written as people write them otherwise: words or brackets for the at sign and dots, spaced or bracketed addresses,
@@ -77,6 +78,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 CODES, PAD, OTHER = 130, 129, 128
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WINDOW, STRIDE = 96, 48
+#: How far before and behind what the model has seen a span may begin and end.
+BEFORE, BEHIND = 16, 32
 HIDDEN = 24
 SAMPLE_WINDOWS = 2000
 SAMPLE_DOCS = 50_000
@@ -89,6 +92,8 @@ VARIED = 2
 ENDINGS = ("com", "org", "net", "de", "fr", "es", "io", "edu", "co.uk")
 _AT = r"(?:@|\s+@\s*|\s*@\s+|\s+(?:at|AT)\s+|\s*[\[({]\s*(?:at|AT|@)\s*[\])}]\s*)"
 _DOT = r"(?:\.|\s+\.\s*|\s*\.\s+|\s+(?:dot|DOT)\s+|\s*[\[({]\s*(?:dot|DOT|\.)\s*[\])}]\s*)"
+#: A word for the at sign, where an evident e-mail address may go on around it.
+_WORD_SIGN = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?=[\s\[({{])(?={_AT}[A-Za-z0-9-]+{_DOT}[A-Za-z0-9-])")
 #: What a span of the model has to look like as a whole; separators are free within bounds.
 _EVIDENT = {
     "email": re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"),
@@ -103,15 +108,22 @@ def char_codes(text: str) -> np.ndarray:
 
 
 def _triggers(codes: np.ndarray) -> np.ndarray:
-    return (codes >= 48) & (codes <= 57) | (codes == 64)
+    """Where a text holds what every evident span holds: a digit, an at sign, or a word for one between a name and a host.
+
+    Of other characters only spaces play a part in that, so all of them are taken for spaces.
+    """
+    found = (codes >= 48) & (codes <= 57) | (codes == 64)
+    text = np.where(codes < OTHER, codes, 32).astype(np.uint8).tobytes().decode("ascii")
+    found[[m.start() for m in _WORD_SIGN.finditer(text)]] = True
+    return found
 
 
 def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and padded codes of the windows that hold a digit or an at sign; overlapping windows cover the whole text."""
+    """Starts and padded codes of all windows that a span can be added from; overlapping windows cover the whole text."""
     count = max(1, -(-max(len(codes) - WINDOW, 0) // STRIDE) + 1)
     starts = np.arange(count) * STRIDE
     seen = np.concatenate([[0], np.cumsum(_triggers(codes))])
-    starts = starts[seen[np.minimum(starts + WINDOW, len(codes))] > seen[starts]] if len(codes) else starts[:0]
+    starts = starts[seen[np.minimum(starts + WINDOW + BEHIND, len(codes))] > seen[np.maximum(starts - BEFORE, 0)]] if len(codes) else starts[:0]
     padded = np.concatenate([codes, np.full(WINDOW, PAD)])
     return starts, padded[starts[:, None] + np.arange(WINDOW)]
 
@@ -290,7 +302,7 @@ def settled(text: str, s: int, e: int, kind: str) -> tuple[int, int] | None:
 
     if s < e and apart(s, e) and evident(kind, text[s:e]):
         return s, e
-    near = [m.span() for m in _EVIDENT[kind].finditer(text, max(0, s - 16), e + 32)] if s < e else []
+    near = [m.span() for m in _EVIDENT[kind].finditer(text, max(0, s - BEFORE), e + BEHIND)] if s < e else []
     shared = lambda m: min(e, m[1]) - max(s, m[0])
     best = max(near, key=shared, default=(0, 0))
     return best if 2 * shared(best) >= e - s and apart(*best) and evident(kind, text[best[0] : best[1]]) else None
@@ -358,8 +370,8 @@ def varied(codes: np.ndarray, tags: np.ndarray, copies: int = VARIED, seed: int
 
 
 def labelled_windows(docs: DataFrame, limit: int = SAMPLE_WINDOWS, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of at most ``limit`` different windows that hold a digit or an at sign, from about ``sample_docs``
-    documents chosen by hash.
+    """Codes and tags of at most ``limit`` different windows that a span can be added from, from about ``sample_docs`` documents
+    chosen by hash.
 
     Those whose hashes come first, except that windows with a span and windows without one have a quarter of ``limit`` each,
     as far as there are so many. So neither copies of a text nor many windows of one kind fill the sample.
@@ -368,7 +380,7 @@ def labelled_windows(docs: DataFrame, limit: int = SAMPLE_WINDOWS, sample_docs:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
             codes_out, tags_out = [], []
-            for text in _texts_with_triggers(rows, data, offsets).values():
+            for text in _texts(rows, data, offsets).values():
                 codes = char_codes(text)
                 tags = np.concatenate([tags_of(base_spans(text), len(codes)), np.zeros(WINDOW, np.int64)])
                 starts, cut = windows(codes)
@@ -390,11 +402,10 @@ def labelled_windows(docs: DataFrame, limit: int = SAMPLE_WINDOWS, sample_docs:
     return read("codes"), read("tags")
 
 
-def _texts_with_triggers(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict[int, str]:
-    """The texts of a slice that hold a digit or an at sign, by row."""
-    seen = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57) | (data == 64))])
+def _texts(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict[int, str]:
+    """The texts of a slice that are not empty, by row."""
     raw = data.tobytes()
-    return {t: raw[offsets[t] : offsets[t + 1]].decode() for t in np.flatnonzero(seen[offsets[1:]] > seen[offsets[:-1]]).tolist()}
+    return {t: raw[offsets[t] : offsets[t + 1]].decode() for t in np.flatnonzero(offsets[1:] > offsets[:-1]).tolist()}
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -405,7 +416,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row of ``docs``.
 
     Counts and checksum are those of the base spans; ``spans`` holds the model's spans as well. A null text is empty and has
-    no spans, like a text without digits and at signs. Null ids and rows that repeat are rows like any other. Other columns
+    no spans. Null ids and rows that repeat are rows like any other. Other columns
     play no part. An empty table gives an empty result; without labelled windows there is no model and nothing is added.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -415,7 +426,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()
         for rows, data, offsets in slices(batches):
-            texts = _texts_with_triggers(rows, data, offsets)
+            texts = _texts(rows, data, offsets)
             base = {t: base_spans(text) for t, text in texts.items()}
             found: dict[int, list] = {t: [] for t in texts}
             if model and texts:
