@@ -122,3 +122,69 @@ def test_near_pairs_and_what_connects_them():
     few = list(zip(a.tolist(), b.tolist()))[::40]
     x, y = lines.connected(np.array([e[0] for e in few]), np.array([e[1] for e in few]))
     assert parts(zip(x.tolist(), y.tolist())) == parts(few) and len(x) <= len(few)
+
+
+def test_common_words_ship_no_sets(spark, monkeypatch):
+    """Lines that share their rarest word with many others, and are similar to one of them at most."""
+    for name, value in (("CROWD", 8), ("CHUNK", 16)):
+        monkeypatch.setattr(lines, name, value)
+    stored = {}
+    plain = lines.materialise
+
+    def watched(df, label, *more, **named):
+        stored[label] = plain(df, label, *more, **named)
+        return stored[label]
+
+    monkeypatch.setattr(lines, "materialise", watched)
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        line = f"rare{i % 5} " + " ".join(f"often{w}" for w in rng.sample(range(60), 14))
+        rows.append((i, line + (f"\n{line} often60" if i % 50 == 0 else ""), "x", 1))
+    assert found(spark, rows) == brute(spark, rows)
+    assert 12 <= stored["cells"].count() < 40 and stored["classes"].count() == 306
+
+
+def test_near_edges_connect_what_first_words_pair(monkeypatch):
+    monkeypatch.setattr(lines, "PAIRS", 20)
+    rng = np.random.default_rng(6)
+    n = 500
+    size = rng.integers(4, 70, n)
+    key = np.sort(rng.integers(0, 3, n) << 32 | size)
+    size, at = key & 0xFFFFFFFF, rng.integers(0, 5, n)
+    d1 = rng.integers(0, 400, n)
+    one, two = (rng.integers(0, 16, n).astype(np.uint64) for _ in "ab")
+    two[size <= lines.WIDE] = 0
+    x, y = lines.near_pairs(key, d1, one, two, at)
+    first = 9 * (at[x] + at[y]) <= size[x] + size[y]
+    a, b = lines.near_edges(key, d1, one, two, at)
+    want = lines.connected(d1[x[first]], d1[y[first]])
+    assert len(a) and (a.tolist(), b.tolist()) == (want[0].tolist(), want[1].tolist())
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 1000):
+        token, cell, size, at = (rng.integers(0, 1 << bits, n) for bits in (32, 32, 7, 4))
+        d1, parity, more = (rng.integers(-(1 << 63), 1 << 63, n) for _ in range(3))
+        more[size <= lines.WIDE] = 0
+        columns = [token, cell, size, at, d1, parity.view(np.uint64), more.view(np.uint64)]
+        back = lines.unpack_rows(lines.pack_rows(*columns))
+        assert all((x == y).all() and len(x) == n for x, y in zip(columns, back))
+
+
+def test_shuffle_files_go_with_what_is_stored(spark):
+    import time
+
+    from veilframe.session import materialise
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    shuffles = lambda: {b for b in env.blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffles(), spark.conf.get(name)
+    stored = materialise(spark.range(1000).repartition(3, "id"), "tidy", tidy=True)
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(name) == was and stored.count() == 1000

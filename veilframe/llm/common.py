@@ -174,21 +174,22 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[spot >> U64(6)] >> (spot & U64(63))) & U64(1) == 1
 
 
-def components(edges: DataFrame, label: str) -> DataFrame:
+def components(edges: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     """(node, component) of undirected edges (a, b): the smallest node reachable; nodes without edges are absent.
 
     Alternates large-star and small-star rewiring until nothing changes; each round is a stored table. Aggregates and
     joins on a node only, so a hub is split by adaptive execution, and rounds grow with the logarithm of the longest chain.
+    With ``tidy`` shuffle files of a round go with it.
     """
     spark = edges.sparkSession
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label, tidy)
     seen = None
     while True:
         around = both(current)
         low = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = around.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        large = materialise(large, label)
+        large = materialise(large, label, tidy)
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
             large.join(low, "a")
@@ -197,7 +198,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        current = materialise(small, label)
+        current = materialise(small, label, tidy)
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break

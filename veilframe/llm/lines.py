@@ -6,11 +6,11 @@ and by a parity signature (the bits in which two signatures differ are words tha
 on full sets.
 
 Equal sets are one class from the start, and a class sends one prefix. Prefix words are counted before they are dealt: those of
-one class stay where they are. What meets are candidates, of which a task gives no more than what connects them; their
-components are compared inside tasks, a set shipped once, so that a family of near copies costs its members and not its pairs.
-A prefix word that very many classes share is not dealt: its classes are compared inside tasks too, chunk by chunk. Only counts
-leave a task. A pair that shares such words is counted at the least of them, any other pair in its component, so nothing is
-counted twice and no pair is lost.
+one class stay where they are. A class is dealt as signatures of some 25 bytes, packed by bucket of words, however many classes
+share the word; those of a word that very many share are dealt to each two chunks of them. What meets are candidates, of which a
+task gives no more than what connects them; their components are compared inside tasks, a set shipped once, so that a family of
+near copies costs its members and not its pairs. Only counts leave a task. Full sets are shipped for candidates alone, whatever
+words they share, so that disk grows with the input although common words are shared by ever more classes.
 
 Rarity is a logarithm of how often words of a hashed counter occur in all texts; any fixed order gives the same links, so
 colliding counters cost time only. A counter of one tells that a word cannot be shared, and it is left out of the join.
@@ -27,11 +27,17 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import GOLDEN, U64, arrow_map, components, may_hold, membership, mixed, pick, ragged, slices, word_hashes, words
 from veilframe.operators.lookup import HEAVY_LIMIT, spread_join
-from veilframe.session import materialise
+from veilframe.session import materialise, tidy_shuffles
 
 COUNTERS = 1 << 24
 BLOCK = 1 << 12
-CROWD = 512
+#: Classes that meet at one word in one place; those of a word with more are dealt in chunks of half as many, each two of which meet.
+CROWD = 1 << 14
+#: Dealt rows of a bucket, about, and rows that a task deals at a time.
+BUCKET = 1 << 17
+DEALT = 1 << 19
+#: Candidate pairs that are held before they are reduced to what connects them.
+PAIRS = 1 << 20
 CHUNK = 2048
 SLAB = 4096
 #: Jaccard of 4/5: overlap * 9 >= 4 * (sum of sizes). Sets of three words or fewer match only themselves.
@@ -109,7 +115,8 @@ def slot_bytes(df: DataFrame, spots: Callable[[Iterator[pa.RecordBatch]], Iterat
         yield pa.RecordBatch.from_arrays(columns, ["block", "bytes"])
 
     counted = arrow_map(df, count, "block long, spots binary, counts binary").repartition("block")
-    got = arrow_map(counted, add, "block long, bytes binary").toArrow()
+    with tidy_shuffles(df.sparkSession):
+        got = arrow_map(counted, add, "block long, bytes binary").toArrow()
     out = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint8)
     for block, values in zip(got["block"].to_pylist(), got["bytes"].to_pylist()):
         out[block] = np.frombuffer(values, np.uint8)
@@ -250,17 +257,14 @@ def _shared(lists: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def linked_sets(keys: list[np.ndarray], crowds: list[np.ndarray], token: int | None = None) -> np.ndarray:
-    """Which sets are similar and counted here: those that share no crowded prefix word, or for a ``token`` none less than it."""
+def linked_sets(keys: list[np.ndarray]) -> np.ndarray:
+    """Which sets are similar."""
     sizes = np.array([len(k) for k in keys])
     if len(keys) == 2:
         common = np.full((2, 2), len(np.intersect1d(*keys, assume_unique=True)), np.float32)
     else:
         common = _shared(keys)
     linked = 9 * common >= 4 * (sizes[:, None] + sizes[None, :])
-    less = [c if token is None else c[c < token] for c in crowds]
-    if sum(map(len, less)):
-        linked &= _shared(less) == 0
     np.fill_diagonal(linked, False)
     return linked
 
@@ -270,12 +274,10 @@ def _place_key(p: dict) -> tuple:
 
 
 def compare(group: pa.Table) -> pa.Table:
-    """Links and the earliest linked place of the sets of a cell: components whole, or a chunk or two of a large group."""
+    """Links and the earliest linked place of the sets of a cell: components whole, or a chunk or two of a large one."""
     d1, d2, chunk, part = (group[c].to_numpy() for c in ("d1", "d2", "chunk", "component"))
     keys = [k.values.to_numpy().view(U64) for k in group["keys"]]
-    crowds = [np.sort(c.values.to_numpy()) if c.is_valid else np.zeros(0, np.int32) for c in group["crowds"]]
     places = group["place"].to_pylist()
-    token = group["key"][0].as_py() if group["kind"][0].as_py() else None
     across = group["x"][0].as_py() != group["y"][0].as_py()
     seen: dict[tuple, int] = {}
     for k, name in enumerate(zip(part.tolist(), d1.tolist(), d2.tolist())):
@@ -287,7 +289,7 @@ def compare(group: pa.Table) -> pa.Table:
     for own in members.values():
         if len(own) < 2:
             continue
-        linked = linked_sets([keys[k] for k in own], [crowds[k] for k in own], token)
+        linked = linked_sets([keys[k] for k in own])
         if across:
             linked &= chunk[own][:, None] != chunk[own][None, :]
         links = linked.sum(1)
@@ -344,118 +346,196 @@ def _prefixes(batch: pa.RecordBatch, levels: np.ndarray) -> tuple[np.ndarray, np
     return owner, at, token, levels[token & (COUNTERS - 1)]
 
 
-def near_pairs(key: np.ndarray, d1: np.ndarray, parity: np.ndarray, more: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of one word may be similar, for rows in the order of key (word and size): indices a and b.
+def pairs_by_distance(
+    key: np.ndarray, parity: np.ndarray, more: np.ndarray, at: np.ndarray, apart: Callable[[np.ndarray, np.ndarray], np.ndarray], first: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows a and b of one word, in the order of key, that may be similar and that ``apart`` lets pass: one place apart, then two, ...
 
-    Sizes grow along a word's rows, so a row is done as soon as the row k places on is too large for it.
+    Sizes grow along a word's rows, so a row is done as soon as the row k places on is too large for it. With ``first`` a pair
+    is looked for at the first word alone that its sets share: then all words before it are in one set only.
     """
-    token, size = key >> 32, key & 0xFFFFFFFF
-    wide, room = size > WIDE, size - at
-    left, right = [], []
+    size = key & 0xFFFFFFFF
+    room, wide = size - at, size > WIDE
+    ahead = (9 * at - size).astype(np.int32)
+    reach = np.searchsorted(key, (key >> 32 << 32) + 5 * size // 4, "right") - np.arange(len(key))  # places to the first row that is too large
     a = np.arange(len(key))
     k = 1
-    while len(a := a[: np.searchsorted(a, len(key) - k)]):
-        a = a[(token[a] == token[a + k]) & (5 * size[a] >= 4 * size[a + k])]
-        b = a + k
-        total = size[a] + size[b]
-        some = np.flatnonzero((9 * np.minimum(room[a], room[b]) >= 4 * total) & (d1[a] != d1[b]))
-        x, y = a[some], b[some]
+    while len(a := a[reach[a] > k]):
+        x = a[ahead[a] + ahead[a + k] <= 0] if first else a
+        y = x + k
+        total = size[x] + size[y]
+        some = np.flatnonzero(9 * np.minimum(room[x], room[y]) >= 4 * total)
+        some = some[apart(x[some], y[some])]
+        x, y = x[some], y[some]
         one, two = parity[x] ^ parity[y], more[x] ^ more[y]
-        apart = np.where(wide[x] == wide[y], np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
-        fit = 9 * apart <= total[some]
-        left.append(x[fit])
-        right.append(y[fit])
+        bits = np.where(wide[x] == wide[y], np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
+        fit = 9 * bits <= total[some]
+        yield x[fit], y[fit]
         k += 1
+
+
+def near_pairs(key: np.ndarray, d1: np.ndarray, parity: np.ndarray, more: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of one word may be similar, for rows in the order of key (word and size): indices a and b."""
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    found = [(none, none), *pairs_by_distance(key, parity, more, at, lambda x, y: d1[x] != d1[y], False)]
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect just what the edges (a, b) connect: from each node to the least one it reaches."""
-    nodes, spots = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = spots[: len(a)], spots[len(a) :]
-    root = np.arange(len(nodes))
+def united(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``root``, the least node that each node reaches, after the edges (x, y) are added."""
     while (root[x] != root[y]).any():
         low = np.minimum(root[x], root[y])
         np.minimum.at(root, root[x], low)
         np.minimum.at(root, root[y], low)
         while (root != root[root]).any():
             root = root[root]
+    return root
+
+
+def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect just what the edges (a, b) connect: from each node to the least one it reaches."""
+    nodes, spots = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = united(np.arange(len(nodes)), spots[: len(a)], spots[len(a) :])
     far = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[far], nodes[root[far]]
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b (d1) that connect classes that may be similar; rows come in the order of key and no word has over ``CROWD`` of them."""
-    names = ("key", "d1", "parity", "more", "at")
+def near_edges(key: np.ndarray, d1: np.ndarray, parity: np.ndarray, more: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (d1) that connect all rows that may be similar, for rows in the order of key.
 
-    def edges(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x, y = near_pairs(rows[0], rows[1], rows[2].view(U64), rows[3].view(U64), rows[4])
+    What is connected already is not looked at again, and no more than ``PAIRS`` pairs and those of one distance are held.
+    """
+    names, node = np.unique(d1, return_inverse=True)
+    root = np.arange(len(names))
+    left, right, held = [], [], 0
+    for k, (x, y) in enumerate(pairs_by_distance(key, parity, more, at, lambda x, y: root[node[x]] != root[node[y]], True), 1):
         if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in connected(rows[1][x], rows[1][y])], ["a", "b"])
+            left.append(node[x])
+            right.append(node[y])
+            held += len(x)
+        if held > PAIRS or held and k & (k - 1) == 0:
+            root = united(root, np.concatenate(left), np.concatenate(right))
+            left, right, held = [], [], 0
+    if held:
+        root = united(root, np.concatenate(left), np.concatenate(right))
+    far = np.flatnonzero(root != np.arange(len(names)))
+    return names[far], names[root[far]]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: bytes of small numbers that are zero lie together and compress."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def pack_rows(token: np.ndarray, cell: np.ndarray, size: np.ndarray, at: np.ndarray, d1: np.ndarray, parity: np.ndarray, more: np.ndarray) -> bytes:
+    """Dealt rows as bytes; ``more`` of sets above ``WIDE`` only, since others have none."""
+    return b"".join(
+        [len(token).to_bytes(4, "little"), _planes(token), _planes(cell), _planes(size), _planes(at), d1.tobytes(), parity.tobytes(), more[size > WIDE].tobytes()]
+    )
 
-    rest = [np.zeros(0, np.int64)] * len(names)
-    for batch in batches:
-        rows = [np.concatenate([old, batch.column(n).to_numpy()]) for old, n in zip(rest, names)]
-        word = rows[0] >> 32
-        whole = int(np.searchsorted(word, word[-1])) if len(word) else 0  # the last word may go on
-        yield from edges([r[:whole] for r in rows])
-        rest = [r[whole:] for r in rows]
-    yield from edges(rest)
 
+def unpack_rows(data: bytes) -> list[np.ndarray]:
+    """token, cell, size, at, d1, parity, more as they were packed."""
+    n = int.from_bytes(data[:4], "little")
+    small = np.frombuffer(data, np.uint8, 16 * n, 4).reshape(4, 4, n).transpose(0, 2, 1)
+    columns = list(np.ascontiguousarray(small).view("<u4").reshape(4, n).astype(np.int64))
+    d1, parity = np.frombuffer(data, np.int64, n, 4 + 16 * n), np.frombuffer(data, U64, n, 4 + 24 * n)
+    more = np.zeros(n, U64)
+    more[columns[2] > WIDE] = np.frombuffer(data, U64, -1, 4 + 32 * n)
+    return [*columns, d1, parity, more]
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges a, b that connect classes (d1) that may be similar, and d1, crowds, levels: the crowded words of classes with such."""
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b (d1) that connect classes that may be similar, from packed rows in the order of their buckets."""
+
+    def edges(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        token, cell, size, at, d1, parity, more = (np.concatenate(c) for c in zip(*map(unpack_rows, packed)))
+        order = np.lexsort((size, token << 32 | cell))
+        token, cell = token[order], cell[order]
+        new = np.ones(len(token), np.int64)
+        new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+        a, b = near_edges(np.cumsum(new) << 32 | size[order], d1[order], parity[order], more[order], at[order])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    bucket, packed = None, []
+    for batch in batches:
+        for of, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows")):
+            if of != bucket and packed:
+                yield from edges(packed)
+                packed = []
+            bucket = of
+            packed.append(rows.as_py())
+    if packed:
+        yield from edges(packed)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Edges a, b that connect classes (d1) that may be similar."""
     classes = classes.where("size(prefix) > 0").select("d1", "size", "parity", "more", "skip", "prefix")
     held = crowd_levels(classes)
+    total = classes.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    buckets, half = 1 + total // BUCKET, max(1, CROWD // 2)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, at, token, level = _prefixes(batch, held.value)
-            take = np.flatnonzero(level == 1)
-            owner = owner[take]
-            d1, size, parity, more, skip = (batch.column(c).to_numpy() for c in ("d1", "size", "parity", "more", "skip"))
-            columns = [token[take] << 32 | size[owner], d1[owner], parity[owner], more[owner], at[take] + skip[owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "d1", "parity", "more", "at"])
-
-    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, _, token, level = _prefixes(batch, held.value)
-            take = np.flatnonzero(level > 1)
-            some, counts = np.unique(owner[take], return_counts=True)
-            lists = [ragged(token[take], counts, pa.int32()), ragged(level[take].astype(np.int32), counts, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("d1").take(pa.array(some)), *lists], ["d1", "crowds", "levels"])
-
-    dealt = arrow_map(classes, deal, "key long, d1 long, parity long, more long, at long")
-    dealt = dealt.repartition(F.expr("shiftright(key, 32)")).sortWithinPartitions("key")
-    crowd = arrow_map(classes.select("d1", "prefix"), crowded, "d1 long, crowds array<int>, levels array<int>")
-    return arrow_map(dealt, meet, "a long, b long"), materialise(crowd, "crowds")
-
-
-def cells(edges: DataFrame, crowd: DataFrame) -> DataFrame:
-    """kind, key, x, y, component, chunk, d1, crowds: which sets are compared with which, each component and crowd in chunks."""
-    labels = components(edges, "families").withColumnRenamed("node", "d1")
-    families = materialise(labels.join(labels.groupBy("component").agg(F.count("*").alias("members")), "component"), "labels")
+        kept: list[list[np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*kept)]
+            kept.clear()
+            bucket = (mixed((columns[0] << 32 | columns[1]).view(U64) + U64(GOLDEN)) % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, columns = bucket[order], [c[order] for c in columns]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends = np.append(cuts[1:], len(bucket))
+            rows = [pack_rows(*(c[i:j] for c in columns)) for i, j in zip(cuts.tolist(), ends.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(rows, pa.binary())], ["bucket", "rows"])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                owner, at, token, level = _prefixes(batch, held.value)
+                take = np.flatnonzero(level > 0)
+                owner, at, token, level = owner[take], at[take], token[take] & 0xFFFFFFFF, level[take]
+                d1, size, parity, more, skip = (batch.column(c).to_numpy() for c in ("d1", "size", "parity", "more", "skip"))
+                # A chunk of a crowded word meets each other one: one row for each of them.
+                many = np.where(level > 1, np.minimum(np.ceil(2.0 ** ((level.astype(np.float64) - 1) / 4) / half), 1 << 16), 2).astype(np.int64)
+                mine = np.where(level > 1, mixed(d1[owner].view(U64)) % many.astype(U64), 0).astype(np.int64)
+                of = np.repeat(np.arange(len(take)), many - 1)
+                other = np.arange(len(of)) - np.repeat(np.cumsum(many - 1) - (many - 1), many - 1)
+                mine = mine[of]
+                other += other >= mine
+                cell = np.where(level[of] > 1, np.minimum(mine, other) << 16 | np.maximum(mine, other), 0)
+                owner, at, token = owner[of], at[of], token[of]
+                if len(of):
+                    kept.append([token, cell, size[owner], at + skip[owner], d1[owner], parity[owner].view(U64), more[owner].view(U64)])
+                if sum(len(k[0]) for k in kept) >= DEALT:
+                    yield packed()
+        if kept:
+            yield packed()
+
+    dealt = arrow_map(classes, deal, "bucket long, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    return arrow_map(dealt, meet, "a long, b long")
+
+
+def cells(edges: DataFrame) -> DataFrame:
+    """key, x, y, component, chunk, d1: which sets are compared with which, each large component in chunks."""
+    labels = components(edges, "families", tidy=True).withColumnRenamed("node", "d1")
+    families = materialise(labels.join(labels.groupBy("component").agg(F.count("*").alias("members")), "component"), "labels", tidy=True)
     few = max(1, families.count() // 2_000)
     zero = F.lit(0).cast("long")
+    # Small families share cells of about two thousand sets; x = y = -1 keeps them apart from a large family's key.
+    alone = F.lit(-1).cast("long")
     small = families.where(F.col("members") <= CHUNK).select(
-        F.lit(0).alias("kind"), F.pmod(F.xxhash64("component"), F.lit(few)).alias("key"), zero.alias("x"), zero.alias("y"), "component", zero.alias("chunk"), "d1"
-    )
-    at_most = F.ceil(F.pow(F.lit(2.0), (F.col("of.levels") - 1) / 4)).cast("long")  # members of a word of that level
-    crowd_rows = crowd.select("d1", F.explode(F.arrays_zip("crowds", "levels")).alias("of"))
-    large = (
-        families.where(F.col("members") > CHUNK)
-        .select(F.lit(0).alias("kind"), F.col("component").alias("key"), "component", "members", "d1")
-        .unionByName(crowd_rows.select(F.lit(1).alias("kind"), F.col("of.crowds").cast("long").alias("key"), zero.alias("component"), at_most.alias("members"), "d1"))
+        F.pmod(F.xxhash64("component"), F.lit(few)).alias("key"), alone.alias("x"), alone.alias("y"), "component", zero.alias("chunk"), "d1"
     )
     chunks = F.ceil(F.col("members") / (CHUNK // 2)).cast("long")
     mine = F.pmod(F.xxhash64("d1"), chunks)
     cell = lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"))
-    large = large.select("kind", "key", F.explode(F.transform(F.sequence(zero, chunks - 1), cell)).alias("cell"), "component", mine.alias("chunk"), "d1")
-    # Small families share cells of about two thousand sets; x = y = -1 keeps them apart from a large family's key.
-    small = small.withColumns({"x": F.lit(-1).cast("long"), "y": F.lit(-1).cast("long")})
-    every = small.unionByName(large.select("kind", "key", "cell.*", "component", "chunk", "d1"))
-    return every.join(crowd.select("d1", "crowds"), "d1", "left")
+    large = families.where(F.col("members") > CHUNK).select(
+        F.col("component").alias("key"), F.explode(F.transform(F.sequence(zero, chunks - 1), cell)).alias("cell"), "component", mine.alias("chunk"), "d1"
+    )
+    return small.unionByName(large.select("key", "cell.*", "component", "chunk", "d1"))
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -470,15 +550,15 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = pick(docs, doc_id=id_col, text=text_col)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rare = word_counters(docs)
-    table = materialise(line_table(docs, rare), "lines")
+    table = materialise(line_table(docs, rare), "lines", tidy=True)
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "line_no")
     once = [F.max(c).alias(c) for c in ("size", "parity", "more", "skip", "prefix")]  # all that are not null are equal
-    classes = materialise(table.groupBy("d1", "d2").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *once), "classes")
-    todo = materialise(cells(*candidates(classes)).join(classes.select("d1", "d2", "place"), "d1"), "cells")
+    classes = materialise(table.groupBy("d1", "d2").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *once), "classes", tidy=True)
+    todo = materialise(cells(candidates(classes)).join(classes.select("d1", "d2", "place"), "d1"), "cells", tidy=True)
     compared = todo.join(set_table(docs, todo.select("place"), rare), ["d1", "d2"])
     shape = "d1 long, d2 long, links long, earliest struct<null_id: boolean, doc_id: bigint, text_hash: bigint, line_no: bigint>"
-    found = compared.groupBy("kind", "key", "x", "y").applyInArrow(compare, shape)
-    links = materialise(found.groupBy("d1", "d2").agg(F.sum("links").alias("n_links"), F.min("earliest").alias("earliest")), "links")
+    found = compared.groupBy("key", "x", "y").applyInArrow(compare, shape)
+    links = materialise(found.groupBy("d1", "d2").agg(F.sum("links").alias("n_links"), F.min("earliest").alias("earliest")), "links", tidy=True)
     known = classes.select("d1", "d2", "place", "lines").join(links, ["d1", "d2"], "left").select(
         "d1", "d2", F.col("place").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.least("place", F.coalesce("earliest", "place")).alias("earliest"), "lines"
     )

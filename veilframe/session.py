@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,11 +71,24 @@ def run_scope(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once, read back: cuts lineage, survives lost executors, keeps column pruning."""
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it ends, instead of when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialise(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
+    """Write once, read back: cuts lineage, survives lost executors, keeps column pruning. ``tidy``: see ``tidy_shuffles``."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with tidy_shuffles(spark) if tidy else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
