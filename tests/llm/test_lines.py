@@ -188,3 +188,11 @@ def test_shuffle_files_go_with_what_is_stored(spark):
             break
         time.sleep(0.1)
     assert not left and spark.conf.get(name) == was and stored.count() == 1000
+
+
+def test_texts_are_shuffled_after_the_lines(spark):
+    rows = [(1, "a b c d e\nown words", "x", 1), (2, "e d c b a\nother words stay", None, 2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = lines.without_lines(docs, lines.similar_lines(docs))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "class_id" not in plan and out.count() == 2

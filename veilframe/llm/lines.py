@@ -571,9 +571,12 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the removed lines of ``found``; other columns as they are. Texts that lose nothing are unchanged."""
+    """``docs`` without the removed lines of ``found``; other columns as they are. Texts that lose nothing are unchanged.
+
+    The removed lines are stored first, so that what was shuffled to find them is gone when the texts are.
+    """
     gone = found.where("removed").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
+    gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"), "gone", tidy=True)
     text = F.col(f"`{text_col}`")
     joined = docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
     kept = F.filter(F.split(text, "\n", -1), lambda _, k: ~F.array_contains(F.col("_gone"), k.cast("long")))
